@@ -63,25 +63,32 @@ def merge_variants(hits: DataFrame, key: str, score: str, weight: str = "weight"
     return best.select("qid", key, f"b.{score}", "b.variant")
 
 
-def expand_queries(queries: DataFrame, rules: DataFrame, max_variants: int = 3) -> DataFrame:
+def expand_queries(queries: DataFrame, rules: Sequence[dict], max_variants: int = 3) -> DataFrame:
     """Query variants: the original plus alias rules whose every group has a trigger in the query.
 
-    rules: (rule_no, name, weight, groups array<array<string>>, terms array<string>); the rule
-    table is configuration, checked small before it is broadcast.
+    rules: configuration, each {name, weight, groups: list of trigger lists, terms}.  The rules become
+    one array expression per query row; only rules that fire are exploded.
     """
-    q = queries.select("qid", X.collapse_spaces("query").alias("query")).where("query <> ''")
-    norm = X.normalize_query("query")
-    fires = F.size("groups") > 0
-    fires = fires & F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(F.col("norm"), X.normalize_query(t))))
-    r = rules.withColumn("text", F.array_join(F.filter(F.transform("terms", F.trim), lambda t: t != ""), " "))
-    hits = (
-        q.withColumn("norm", norm).join(scale.small_side(r, 10_000), fires & (F.col("text") != ""))
-        .select("qid", "norm", "rule_no", F.col("name"), F.col("text").alias("query"), F.col("weight").cast("double").alias("weight"))
-        .withColumn("key", X.normalize_query("query")).where("key <> norm")
-    )
+    clean = lambda t: " ".join(t.lower().split())
+    q = queries.select("qid", X.collapse_spaces("query").alias("query")).where("query <> ''").withColumn("norm", X.normalize_query("query"))
+    fired = []
+    for number, r in enumerate(rules, 1):
+        text = " ".join(t.strip() for t in r["terms"] if t.strip())
+        if not r["groups"] or not text:
+            continue
+        hit = F.lit(True)
+        for group in r["groups"]:
+            hit = hit & X.contains_any("norm", [clean(t) for t in group])
+        hit = hit & (F.col("norm") != clean(text))
+        fired.append(F.when(hit, F.struct(
+            F.lit(number).alias("rule_no"), F.lit(r["name"]).alias("name"), F.lit(text).alias("query"),
+            F.lit(float(r["weight"])).alias("weight"), F.lit(clean(text)).alias("key"))))
+    original = q.select("qid", F.lit(0).alias("variant"), F.lit("original").alias("name"), "query", F.lit(1.0).alias("weight"))
+    if not fired:
+        return original
+    hits = q.select("qid", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("r")).select("qid", "r.*")
     once = scale.first_per_key(hits, ["qid", "key"], [F.asc("rule_no")])
     extra = scale.top_per_key(once, ["qid"], [F.asc("rule_no")], max_variants - 1, "variant")
-    original = q.select("qid", F.lit(0).alias("variant"), F.lit("original").alias("name"), "query", F.lit(1.0).alias("weight"))
     return original.unionByName(extra.select("qid", "variant", "name", "query", "weight"))
 
 

@@ -22,10 +22,11 @@ TERM_SALTS = 32
 
 def postings(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
     """(doc_id, dl, term, tf): weighted term counts, partitioned by document."""
-    weighted = [
-        F.transform(X.tokens(F.coalesce(F.col(f), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-        for f, w in fields.items()
-    ]
+    def weigh(field: str, weight: float):
+        return F.transform(
+            X.tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    weighted = [weigh(f, w) for f, w in fields.items()]
     bag = docs.select(F.col(doc_id).alias("doc_id"), F.concat(*weighted).alias("bag")).repartition("doc_id")
     return (
         bag.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("t"))
