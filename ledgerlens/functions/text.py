@@ -193,7 +193,7 @@ def evidence_role(text: str | Column) -> Column:
 def technical_references(text: str | Column) -> Column:
     """Paths, ``name()`` calls, back-ticked identifiers and "function X" names in a text."""
     t = _c(text)
-    ticked = F.transform(F.regexp_extract_all(t, F.lit(K.RE_TECH_BACKTICK), F.lit(1)), F.trim)
+    ticked = F.transform(F.regexp_extract_all(t, F.lit(K.RE_TECH_BACKTICK), F.lit(1)), lambda x: F.trim(x))
     ticked = F.filter(
         ticked,
         lambda x: F.contains(x, F.lit("/")) | F.contains(x, F.lit(".")) | F.contains(x, F.lit("_"))

@@ -1 +1,92 @@
+"""Structured Streaming flows over the given tables, run until the available data is processed."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens import constants as K
+from ledgerlens.operators import vectors as VX
+from ledgerlens.plans import tables as T
+from ledgerlens.plans.registry import query
+from ledgerlens.session import new_folder
+from ledgerlens.streaming import flows as S
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def table_stream(spark, d, name):
+    return S.file_stream(spark, d, T.load(spark, d, name).schema, f"{name}.parquet")
+
+
+@query("m1_file_stream", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type")
+def m1(spark, d):
+    out = new_folder(spark, "m1")
+    S.run_available(table_stream(spark, d, "events"), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"))
+
+
+@query("m2_incremental_view", """
+SELECT 'rec_'||user_id AS event_id, max(event_id) AS position, sha256(arg_max(event_type||'|'||value, event_id)) AS text_sha256 FROM events GROUP BY user_id""")
+def m2(spark, d):
+    """Several files arrive one per trigger; the view holds the newest row per key with its embedding."""
+    base = new_folder(spark, "m2")
+    rows = T.load(spark, d, "events").select(
+        F.concat(F.lit("rec_"), "user_id").alias("event_id"), F.col("event_id").alias("position"),
+        F.concat_ws("|", "event_type", F.col("value").cast("string")).alias("text"))
+    rows = rows.withColumn("text_sha256", F.sha2("text", 256))
+    rows.repartitionByRange(4, "position").write.parquet(f"{base}/in")
+
+    def embed(df):
+        v = VX.embed_blake2b(df, "event_id", "text", 16).withColumnRenamed("doc_id", "event_id")
+        return df.join(v, "event_id", "left")
+
+    stream = S.file_stream(spark, f"{base}/in", rows.schema, "*.parquet", per_trigger=1)
+    S.run_available(stream, S.upsert_view(f"{base}/view", "event_id", "text_sha256", embed, buckets=8), f"{base}/checkpoint")
+    return S.read_upserted(spark, f"{base}/view").where("size(vector) = 16").select("event_id", "position", "text_sha256")
+
+
+@query("m3_refresh_gate", "SELECT event_id FROM ledger_events WHERE event_type <> 'reference_document'")
+def m3(spark, d):
+    out = new_folder(spark, "m3")
+    e = T.events(spark, d).select("event_id", "event_type")
+    e.write.parquet(f"{out}/in")
+    S.run_available(S.refresh_stream(S.file_stream(spark, f"{out}/in", e.schema, "*.parquet")), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").select("event_id")
+
+
+@query("m4_stream_unique_ids", "SELECT DISTINCT user_id FROM events")
+def m4(spark, d):
+    out = new_folder(spark, "m4")
+    e = table_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    S.run_available(S.unique_stream(e, "user_id", "ts", "60 days"), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").select("user_id")
+
+
+@query("m5_stream_state_machine", """
+SELECT run_id, sequence, problem FROM (SELECT run_id, sequence, CASE WHEN from_state IS DISTINCT FROM prev THEN 'from_state'
+ WHEN (coalesce(prev, ''), to_state) NOT IN (('','created'),('created','materialized'),('materialized','preflight_passed'),('preflight_passed','governor_running'),('governor_running','governed'),('governed','workers_running'),('workers_running','completed')) THEN 'transition' END AS problem
+ FROM (SELECT *, lag(to_state) OVER (PARTITION BY run_id ORDER BY sequence) AS prev FROM runtime_events)) WHERE problem IS NOT NULL""")
+def m5(spark, d):
+    out = new_folder(spark, "m5")
+    e = T.runtime_events(spark, d).select("run_id", "sequence", "from_state", "to_state")
+    e.write.parquet(f"{out}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        stream = S.file_stream(spark, f"{out}/in", e.schema, "*.parquet")
+        S.run_available(S.check_transitions_stream(stream, K.RUN_TRANSITIONS), f"{out}/data", f"{out}/checkpoint")
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema("run_id STRING, sequence BIGINT, problem STRING").parquet(f"{out}/data")
+
+
+@query("m6_running_usage", """
+SELECT activity_category, source, count(*) AS n, sum(total_tokens)::BIGINT AS total_tokens FROM usage_checked WHERE message IS NULL GROUP BY activity_category, source""")
+def m6(spark, d):
+    out = new_folder(spark, "m6")
+    u = T.usage(spark, d).drop("ts")
+    u.repartitionByRange(3, "event_id").write.parquet(f"{out}/in")
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/totals")
+    S.run_available(S.running_usage(S.file_stream(spark, f"{out}/in", u.schema, "*.parquet", per_trigger=1)), save, f"{out}/checkpoint", "complete")
+    return spark.read.parquet(f"{out}/totals")

@@ -45,22 +45,25 @@ def _latest(spark: SparkSession, base: str, before: int) -> str | None:
 def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
     """A foreachBatch function that keeps a keyed view current.
 
-    Each batch writes one new version ``b<batch_id>``: rows of untouched hash buckets are carried over,
-    touched buckets are rewritten with the batch's rows in place of the old ones.  A repeated batch
-    rewrites the same folder from the same predecessor, so a retry changes nothing.
-    Rows whose text hash is unchanged keep their stored columns (no new embedding).
+    Each batch writes one new version ``b<batch_id>`` from the version before it, with the changed rows in
+    place of the old ones.  A repeated batch rewrites the same folder from the same predecessor, so a
+    retry changes nothing.  Rows that are older than the stored row, or whose text hash is unchanged,
+    keep the stored columns (no new embedding).
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.col("position")).alias("r")).select(key, "r.*")
+        others = [c for c in batch.columns if c != key]
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col("position")).alias("r")).select(key, "r.*")
         before = _latest(spark, base, batch_id)
         if before is None:
             rows = embed(newest) if embed else newest
         else:
             old = spark.read.parquet(before).drop("_bucket")
-            changed = newest.join(old.select(key, text_hash), [key, text_hash], "left_anti")
+            have = old.select(key, F.col("position").alias("_p"), F.col(text_hash).alias("_h"))
+            later = F.col("_p").isNull() | ((F.col("position") > F.col("_p")) & (F.col(text_hash) != F.col("_h")))
+            changed = newest.join(have, key, "left").where(later).drop("_p", "_h")
             fresh = embed(changed) if embed else changed
             rows = old.join(changed.select(key), key, "left_anti").unionByName(fresh)
         rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/b{batch_id}")
@@ -99,23 +102,19 @@ class ChainState(StatefulProcessor):
         self.last = handle.getValueState("last", "sequence long, state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else (0, None)
-        for chunk in rows:
-            out = []
-            for r in chunk.sort_values("sequence").itertuples(index=False):
-                start = None if r.from_state is None or pd.isna(r.from_state) else r.from_state
-                problem = None
-                if r.sequence != state[0] + 1:
-                    problem = "sequence"
-                elif start != state[1]:
-                    problem = "from_state"
-                elif (state[1] or "", r.to_state) not in self.legal:
-                    problem = "transition"
-                if problem:
-                    out.append((key[0], int(r.sequence), problem))
-                state = (int(r.sequence), r.to_state)
-            yield pd.DataFrame(out, columns=["run_id", "sequence", "problem"])
-        self.last.update(state)
+        sequence, current = self.last.get() if self.last.exists() else (0, None)
+        arrived = pd.concat(list(rows)).sort_values("sequence")  # one run's share of one trigger
+        out = []
+        for r in arrived.itertuples(index=False):
+            start = None if pd.isna(r.from_state) else r.from_state
+            problem = (
+                "sequence" if r.sequence != sequence + 1 else "from_state" if start != current
+                else "transition" if (current or "", r.to_state) not in self.legal else None)
+            if problem:
+                out.append((key[0], int(r.sequence), problem))
+            sequence, current = int(r.sequence), r.to_state
+        self.last.update((sequence, current))
+        yield pd.DataFrame(out, columns=["run_id", "sequence", "problem"])
 
     def close(self) -> None:
         pass
