@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,12 +106,17 @@ def is_structural(query: str | Column) -> Column:
 
 def contains_any(text: str | Column, words: Sequence[str]) -> Column:
     t = _c(text)
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))
+    return reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
 
 
 def marker_count(text: str | Column, words: Sequence[str]) -> Column:
     t = _c(text)
-    return F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(t, w)))
+    return reduce(lambda a, b: a + b, [F.contains(t, F.lit(w.lower())).cast("int") for w in words])
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, also inside array lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def weighted_markers(text: str | Column, weights: dict[str, float]) -> Column:
@@ -164,8 +170,9 @@ def audit_terms(query: str | Column) -> Column:
     return F.array_distinct(F.concat(exact_terms(query), asked_concepts(query, K.CONCEPT_ALIASES)))
 
 
-def evidence_category(text: str | Column, path: str | Column) -> Column:
-    t = F.lower(_c(text))
+def evidence_category(lowered: str, path: str | Column) -> Column:
+    """Category of an evidence text; ``lowered`` names a column of lower-cased text."""
+    t = F.col(lowered)
     return (
         F.when(contains_any(t, K.DECISION_EVIDENCE_MARKERS), "decision")
         .when(contains_any(t, K.METRIC_EVIDENCE_MARKERS), "metric")
@@ -174,8 +181,9 @@ def evidence_category(text: str | Column, path: str | Column) -> Column:
     )
 
 
-def evidence_role(text: str | Column) -> Column:
-    t = F.lower(_c(text))
+def evidence_role(lowered: str) -> Column:
+    """Role of an evidence text; ``lowered`` names a column of lower-cased text."""
+    t = F.col(lowered)
     return (
         F.when(
             F.contains(t, F.lit("\nuncertainty:"))

@@ -111,6 +111,7 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], order: str, value: str, sampl
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     rows = numbered.select(*by, (F.col("_pos") - 1).alias("_pos"), F.col(value).alias("_x"))
     draws = rows.select(*by, F.col("_pos").alias("_j")).join(F.broadcast(sizes.select(*by, "n")) if scale.fits(sizes) else sizes.select(*by, "n"), by)
+    draws = draws.repartition(df.sparkSession.sparkContext.defaultParallelism)  # few rows, many draws each
     draws = draws.select(*by, "n", "_j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_j").cast("string"))
     draws = draws.select(*by, "_b", (F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("n")).alias("_pos"))

@@ -20,34 +20,43 @@ from ledgerlens.functions import text as X
 TERM_SALTS = 32
 
 
-def postings(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
-    """(doc_id, dl, term, tf): weighted term counts, partitioned by document."""
+def _bags(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
+    """(doc_id, bag): weighted tokens of all fields of a document."""
+
     def weigh(field: str, weight: float):
         return F.transform(
             X.tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    weighted = [weigh(f, w) for f, w in fields.items()]
-    bag = docs.select(F.col(doc_id).alias("doc_id"), F.concat(*weighted).alias("bag")).repartition("doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.concat(*[weigh(f, w) for f, w in fields.items()]).alias("bag"))
+
+
+def postings(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
+    """(doc_id, dl, term, tf): weighted term counts, partitioned by document."""
     return (
-        bag.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("t"))
+        _bags(docs, doc_id, fields).repartition("doc_id")
+        .select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("t"))
         .groupBy("doc_id", "dl", F.col("t.term").alias("term"))
         .agg(F.sum("t.w").alias("tf"))
     )
 
 
-def corpus_stats(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+def corpus_stats(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
     """One row: number of documents and mean length, empty documents included."""
-    length = sum((F.size(X.tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_dl"))
+    return _bags(docs, doc_id, fields).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("bag")).alias("avg_dl"))
 
 
 def build_lexical_index(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> dict[str, DataFrame]:
-    """Postings, per-document lengths, term statistics and corpus statistics."""
-    p = postings(docs, doc_id, fields)
+    """Postings, distinct terms per document, term statistics and corpus statistics.
+
+    Document frequencies need no grouping by document: distinct terms are taken inside the row
+    and counted map-side.
+    """
+    seen = _bags(docs, doc_id, fields).select(F.explode(F.array_distinct(F.col("bag")["term"])).alias("term"))
     return {
-        "postings": p,
-        "terms": p.groupBy("term").agg(F.count(F.lit(1)).alias("df")),
-        "corpus": corpus_stats(docs, fields),
+        "postings": postings(docs, doc_id, fields),
+        "seen": seen,
+        "terms": seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+        "corpus": corpus_stats(docs, doc_id, fields),
     }
 
 
@@ -55,21 +64,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(X.tokens("query"))).alias("term"))
 
 
-def _match(p: DataFrame, terms: DataFrame) -> DataFrame:
+def _match(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows joined with the query terms: broadcast when these are few, else on (term, salt)."""
     if scale.fits(terms):
-        return p.join(F.broadcast(terms), "term")
+        return rows.join(F.broadcast(terms), "term")
     salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-    return (
-        p.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS)))
-        .join(salted, ["term", "_salt"]).drop("_salt")
-    )
+    dealt = rows.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS)))
+    return dealt.join(salted, ["term", "_salt"]).drop("_salt")
 
 
 def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """(qid, doc_id, score) of every document sharing a term with the query."""
-    p, terms = index["postings"], query_terms(queries)
+    terms = query_terms(queries)
     wanted = terms.select("term").distinct()
-    df = _match(p.select("doc_id", "term"), wanted).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if scale.fits(wanted):
+        df = index["seen"].join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        df = index["terms"].join(wanted, "term", "left_semi")
     n = index["corpus"].select("n_docs").scalar()
     avg = index["corpus"].select("avg_dl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -78,7 +89,7 @@ def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
         F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avg)
     )
     return (
-        _match(p, weighted).groupBy("qid", "doc_id")
+        _match(index["postings"], weighted).groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.col("idf") * saturation), 6).alias("score"))
     )
 

@@ -22,12 +22,17 @@ def _found_terms(text: Column, terms: str, weight) -> Column:
         F.filter(F.col(terms), lambda t: F.contains(text, t)), F.lit(0.0), lambda a, t: a + weight(t))
 
 
-def _best_line(content: str, start: str, line_score) -> Column:
+def _best_line(lowered: str, start: str, line_score) -> Column:
     """Number of the first line with the highest score."""
-    scored = F.transform(X.lines_of(F.lower(F.col(content))), lambda ln, i: F.struct(line_score(ln).alias("s"), (-i).alias("i")))
+    scored = F.transform(X.lines_of(lowered), lambda ln, i: F.struct(line_score(ln).alias("s"), (-i).alias("i")))
     return F.col(start) - F.array_max(scored)["i"]
 
 
+def _lowered(rows: DataFrame) -> DataFrame:
+    """Lower-cased text and query as columns t and q, computed once per row."""
+    return rows.withColumn("t", F.lower("content")).withColumn("q", F.lower("query"))
+
+
 def anchored_events(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(qid, event_id): events named in the query, and hits whose id carries a version-round label of it."""
     q = queries.select(
@@ -40,8 +45,8 @@ def anchored_events(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return j.where(named | by_round).select("qid", "event_id")
 
 
-def anchor_score(content: str, query: str, terms: str) -> Column:
-    t, q = F.lower(F.col(content)), F.lower(F.col(query))
+def anchor_score(lowered: str, lowered_query: str, terms: str) -> Column:
+    t, q = F.col(lowered), F.col(lowered_query)
     score = _found_terms(t, terms, lambda x: F.when(x.rlike(NUMBER), 20.0).when(x.rlike(r"\d"), 9.0).otherwise(4.0))
     score = score + X.weighted_markers(t, K.ANCHOR_ROLE_WEIGHTS)
     has = lambda m: F.contains(t, F.lit(m))
@@ -61,17 +66,17 @@ def rerank_anchor(queries: DataFrame, hits: DataFrame, passages: DataFrame, limi
     template = hits.groupBy("qid", "event_id").agg(F.max("score").alias("template_score"))
     pool = template.join(anchored_events(queries, hits), ["qid", "event_id"], "left_semi")
     q = queries.select("qid", "query", X.anchor_terms("query").alias("terms"))
-    rows = pool.join(q, "qid").join(passages, "event_id")
+    rows = _lowered(pool.join(q, "qid").join(passages, "event_id"))
     line = lambda ln: _found_terms(ln, "terms", lambda x: F.when(x.rlike(NUMBER), 15.0).otherwise(5.0)) + X.weighted_markers(ln, K.ANCHOR_ROLE_WEIGHTS)
     rows = rows.select(
-        "qid", "event_id", "passage_id", "start_line", "end_line", F.round(anchor_score("content", "query", "terms"), 3).alias("role_score"),
-        _best_line("content", "start_line", line).alias("focus_line"), "template_score")
+        "qid", "event_id", "passage_id", "start_line", "end_line", F.round(anchor_score("t", "q", "terms"), 3).alias("role_score"),
+        _best_line("t", "start_line", line).alias("focus_line"), "template_score")
     rows = rows.withColumn("hybrid_score", F.round(F.col("template_score") + F.col("role_score") / 1000, 6))
     return scale.top_per_key(rows, ["qid", "event_id"], [F.desc("role_score"), F.desc("hybrid_score"), F.asc("start_line"), F.asc("passage_id")], limit)
 
 
-def audit_score(content: str, query: str, exact: str, concepts: str) -> Column:
-    t, q = F.lower(F.col(content)), F.lower(F.col(query))
+def audit_score(lowered: str, lowered_query: str, exact: str, concepts: str) -> Column:
+    t, q = F.col(lowered), F.col(lowered_query)
     score = _found_terms(t, exact, lambda x: F.lit(28.0))
     marker_hits = F.lit(0.0)
     for concept, markers in K.AUDIT_ROLE_MARKERS.items():
@@ -93,7 +98,7 @@ def rerank_audit(queries: DataFrame, hits: DataFrame, passages: DataFrame, k: in
     template = hits.where(like).groupBy("qid", "event_id").agg(F.max("score").alias("template_score"))
     template = scale.top_per_key(template, ["qid"], [F.desc("template_score"), F.asc("event_id")], events, "event_rank")
     q = queries.select("qid", "query", F.array_distinct(X.exact_terms("query")).alias("exact"), X.asked_concepts("query", K.CONCEPT_ALIASES).alias("concepts"))
-    rows = template.join(q, "qid").join(passages, "event_id")
+    rows = _lowered(template.join(q, "qid").join(passages, "event_id"))
 
     def line(ln):
         s = _found_terms(ln, "exact", lambda x: F.lit(30.0))
@@ -103,7 +108,7 @@ def rerank_audit(queries: DataFrame, hits: DataFrame, passages: DataFrame, k: in
 
     rows = rows.select(
         "qid", "event_id", "passage_id", "start_line", "end_line", "template_score",
-        F.round(audit_score("content", "query", "exact", "concepts"), 3).alias("role_score"), _best_line("content", "start_line", line).alias("focus_line"))
+        F.round(audit_score("t", "q", "exact", "concepts"), 3).alias("role_score"), _best_line("t", "start_line", line).alias("focus_line"))
     rows = rows.withColumn("hybrid_score", F.round(F.col("template_score") + F.col("role_score") / 1000, 6))
     order = [F.desc("role_score"), F.desc("hybrid_score"), F.asc("start_line"), F.asc("passage_id")]
     kept = scale.top_per_key(rows, ["qid", "event_id"], order, per_event, "event_place")
@@ -154,9 +159,8 @@ def conflicts(evidence: DataFrame) -> DataFrame:
 
     evidence: qid, event_id, content.
     """
-    t = F.lower("content")
-    any_of = lambda patterns: F.bool_or(t.rlike("|".join(f"(?:{p})" for p in patterns)))
-    e = evidence.groupBy("qid", "event_id").agg(any_of(K.PASS_PATTERNS).alias("p"), any_of(K.FAIL_PATTERNS).alias("f"))
+    any_of = lambda patterns: F.bool_or(F.col("t").rlike("|".join(f"(?:{p})" for p in patterns)))
+    e = evidence.withColumn("t", F.lower("content")).groupBy("qid", "event_id").agg(any_of(K.PASS_PATTERNS).alias("p"), any_of(K.FAIL_PATTERNS).alias("f"))
     n = lambda c: F.count(F.when(c, 1))
     g = e.groupBy("qid").agg(n(F.col("p") & ~F.col("f")).alias("n_passed"), n(~F.col("p") & F.col("f")).alias("n_failed"), n(F.col("p") & F.col("f")).alias("n_mixed"))
     return g.withColumn("conflict", ((F.col("n_passed") > 0) & (F.col("n_failed") > 0)) | (F.col("n_mixed") > 0))
@@ -170,11 +174,13 @@ def coverage(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     anchors = F.transform(F.regexp_extract_all("query", F.lit(K.RE_COVERAGE_ANCHOR), F.lit(0)), F.lower)
     items = F.array_distinct(F.concat(anchors, X.asked_concepts("query", K.COVERAGE_ALIASES)))
     q = queries.select("qid", F.array_distinct(anchors).alias("anchors"), items.alias("items"))
-    t = F.lower("content")
+    t = F.col("t")
     names = [F.when(X.contains_any(t, words), F.lit(c)) for c, words in K.COVERAGE_ALIASES.items()]
     present = F.filter(F.array(*names), lambda x: x.isNotNull())
-    hit = F.filter("items", lambda x: F.when(F.array_contains("anchors", x), F.contains(t, x)).otherwise(F.array_contains(present, x)))
-    found = evidence.join(q.where(F.size("items") > 0), "qid").select("qid", F.explode(hit).alias("x")).distinct()
+    hit = X.bind(present, lambda here: F.filter(
+        "items", lambda x: F.when(F.array_contains("anchors", x), F.contains(t, x)).otherwise(F.array_contains(here, x))))
+    joined = evidence.withColumn("t", F.lower("content")).join(q.where(F.size("items") > 0), "qid")
+    found = joined.select("qid", F.explode(hit).alias("x")).distinct()
     asked = q.select("qid", F.explode("items").alias("x"))
     gone = asked.join(found, ["qid", "x"], "left_anti").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("missing"))
     out = q.join(gone, "qid", "left").select("qid", F.size("items").alias("n_asked"), F.coalesce("missing", F.lit("")).alias("missing"))
@@ -186,7 +192,8 @@ def ground(queries: DataFrame, evidence: DataFrame) -> DataFrame:
 
     evidence: qid, event_id, path, content (the hits with their lines).
     """
-    e = evidence.withColumn("category", X.evidence_category("content", "path")).withColumn("role", X.evidence_role("content"))
+    e = evidence.withColumn("t", F.lower("content"))
+    e = e.withColumn("category", X.evidence_category("t", "path")).withColumn("role", X.evidence_role("t"))
     n = lambda c: F.count(F.when(F.col("category") == c, 1)).alias(f"n_{c}")
     g = e.groupBy("qid").agg(F.count(F.lit(1)).alias("n_evidence"), n("decision"), n("metric"), n("audit"), n("general"),
                              F.count(F.when(F.col("role") != "unknown", 1)).alias("n_with_role"))

@@ -13,82 +13,79 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import constants as K
 from ledgerlens import scale
+from ledgerlens.functions import text as X
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
+WORD_SLICE = 100_000
 
 
 # --- embedding ---------------------------------------------------------------
-def feature_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, feature, n): ``token:`` features and ``trigram:`` features of ``^token$``."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(K.WORD_PATTERN), F.lit(0))
-    terms = (
-        docs.select(F.col(doc_id).alias("doc_id"), words.alias("w")).repartition("doc_id")
-        .select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    )
-    padded = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)),
-        lambda i: F.concat(F.lit("trigram:"), F.substr(padded, i, F.lit(3))),
-    )
-    features = F.concat(F.array(F.concat(F.lit("token:"), F.col("term"))), grams)
-    return terms.select("doc_id", "n", F.explode(features).alias("feature"))
-
-
-def hashed_weights(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
-    """Sparse signed-hash embedding: (doc_id, bucket, weight), unit length per document."""
-    h = F.md5("feature")
-    bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dims
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    sums = (
-        feature_counts(docs, doc_id, text)
-        .groupBy("doc_id", bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("v"))
-    )
-    norms = sums.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return (
-        sums.join(norms, "doc_id").where("v <> 0 AND norm > 0")
-        .select("doc_id", "bucket", (F.col("v") / F.col("norm")).alias("weight"))
-    )
-
-
-def dense(weights: DataFrame, dims: int) -> DataFrame:
-    """Sparse weights -> (doc_id, vector array<double>); a group holds at most ``dims`` entries."""
-    m = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    packed = weights.groupBy("doc_id").agg(m.alias("m"))
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
-                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return packed.select("doc_id", cells.alias("vector"))
+# Embedding is a map over rows: no shuffle.  Inside an Arrow batch the words are
+# factorised, each distinct word is hashed once, and documents add word vectors.
+
+
+def _md5(feature: str) -> tuple[int, int]:
+    d = hashlib.md5(feature.encode()).digest()
+    return int.from_bytes(d[:4], "big"), d[4]
+
+
+def _blake2b(feature: str) -> tuple[int, int]:
+    d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "little"), d[4]
+
+
+def _word_vector(word: str, dims: int, digest: Callable[[str], tuple[int, int]]) -> np.ndarray:
+    """Signed buckets of ``token:word`` and of the trigrams of ``^word$``."""
+    v = np.zeros(dims, dtype="int32")
+    padded = f"^{word}$"
+    for feature in [f"token:{word}", *(f"trigram:{padded[i:i + 3]}" for i in range(max(1, len(word))))]:
+        bucket, sign = digest(feature)
+        v[bucket % dims] += 1 if sign & 1 else -1
+    return v
+
+
+def _hash_vectors(texts: list, dims: int, digest: Callable[[str], tuple[int, int]]) -> list:
+    """Unit vectors of token lists; null where nothing is left after cancellation."""
+    lengths = np.fromiter((len(t) for t in texts), dtype="int64", count=len(texts))
+    sums = np.zeros((len(texts), dims))
+    words = np.concatenate([np.asarray(t, dtype=object) for t in texts]) if len(texts) else np.empty(0, dtype=object)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    for at in range(0, len(words), WORD_SLICE):
+        codes, distinct = pd.factorize(words[at:at + WORD_SLICE])
+        table = np.vstack([_word_vector(w, dims, digest) for w in distinct])
+        own = owner[at:at + WORD_SLICE]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sums[own[starts]] += np.add.reduceat(table[codes], starts)
+    norms = np.sqrt((sums * sums).sum(axis=1))
+    return [(row / n).tolist() if n else None for row, n in zip(sums, norms)]
 
 
 def embed_hash(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
-    return dense(hashed_weights(docs, doc_id, text, dims), dims)
+    """(doc_id, vector): signed-hash embedding with md5 digests over lower-cased words; word-free texts are left out."""
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(words: pd.Series) -> pd.Series:
+        return pd.Series(_hash_vectors(words.tolist(), dims, _md5))
 
-def _signed_hash(text: str, dims: int) -> list[float] | None:
-    cells = np.zeros(dims)
-    for word in re.findall(r"[^\W_]+", text.casefold()):
-        padded = f"^{word}$"
-        for feature in [f"token:{word}", *(f"trigram:{padded[i:i + 3]}" for i in range(max(1, len(padded) - 2)))]:
-            digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-            cells[int.from_bytes(digest[:4], "little") % dims] += 1.0 if digest[4] & 1 else -1.0
-    norm = float(np.sqrt((cells * cells).sum()))
-    return None if norm == 0 else (cells / norm).tolist()
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(K.WORD_PATTERN), F.lit(0))
+    return docs.select(F.col(doc_id).alias("doc_id"), encode(words).alias("vector")).where("vector IS NOT NULL")
 
 
 def embed_blake2b(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
-    """Signed-hash embedding with 8-byte blake2b digests (a hash Spark has no function for)."""
+    """The same embedding with 8-byte blake2b digests over case-folded words, which Spark has no functions for."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _signed_hash(t, dims))
+        return pd.Series(_hash_vectors([re.findall(r"[^\W_]+", t.casefold()) for t in s], dims, _blake2b))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), encode(F.col(text)).alias("vector"))
+    return docs.select(F.col(doc_id).alias("doc_id"), encode(F.col(text)).alias("vector")).where("vector IS NOT NULL")
 
 
 def embed_with(docs: DataFrame, doc_id: str, text: str, fn: Callable[[list[str]], Sequence[Sequence[float]]],
@@ -113,15 +110,15 @@ def embed_with(docs: DataFrame, doc_id: str, text: str, fn: Callable[[list[str]]
     return docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("vector"))
 
 
-def normalize_vector(col: str, dims: int | None = None):
+def normalize_vector(col: str, dims: int | None = None) -> Column:
     """Prefix of ``dims`` values scaled to unit length; null for zero or non-finite vectors."""
     v = F.col(col) if dims is None else F.slice(F.col(col), 1, dims)
-    v = F.transform(v, lambda x: x.cast("double"))
-    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) | (top == 0)
-    return F.when(~bad, F.transform(scaled, lambda x: x / norm))
+    top = lambda u: F.aggregate(u, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x * x))
+    divided = lambda u, by: X.bind(by, lambda d: F.transform(u, lambda x: x / d))
+    bad = lambda u: F.exists(u, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) | (top(u) == 0)
+    unit = lambda u: X.bind(divided(u, top(u)), lambda s: divided(s, length(s)))
+    return X.bind(F.transform(v, lambda x: x.cast("double")), lambda u: F.when(~bad(u), unit(u)))
 
 
 def vector_quality(df: DataFrame, vector: str, dims: int, tolerance: float = 1e-5) -> DataFrame:

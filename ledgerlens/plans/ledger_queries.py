@@ -183,7 +183,8 @@ def core_raw(spark, d):
 
 
 def core_records(spark, d):
-    return core_raw(spark, d).withColumn("r", F.from_json("raw", R.RECORD_SCHEMA)).select("k", "raw", "r.*")
+    """Raw JSON is written first, so that it is read and parsed like a ledger."""
+    return written(core_raw(spark, d), "records").withColumn("r", F.from_json("raw", R.RECORD_SCHEMA)).select("k", "raw", "r.*")
 
 
 @query("b1_core_record_rules", """
@@ -288,7 +289,7 @@ def b5(spark, d):
 
 @query("b6_commit_check", """
 WITH c AS (SELECT record_id, approval_ref, o_orderkey, CASE record_kind WHEN 'P' THEN 'proposed' ELSE 'completed' END AS status FROM approval_refs),
-used AS (SELECT * FROM c WHERE record_id IN (SELECT 'ord_'||l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)),
+used AS (SELECT * FROM c WHERE record_id IN (SELECT 'ord_'||l_orderkey FROM lineitem WHERE l_quantity >= 45)),
 fresh AS (SELECT * FROM c WHERE record_id NOT IN (SELECT record_id FROM used)),
 j AS (SELECT f.*, m.message AS why, f.o_orderkey % 17 <> 1 AS named, f.o_orderkey % 19 <> 2 AS carried FROM fresh f LEFT JOIN approval_issues m
   ON m.record_id = f.record_id AND f.o_orderkey % 17 <> 1 AND m.message IS NOT NULL)
@@ -304,7 +305,7 @@ def b6(spark, d):
         "record_id", F.when(F.col("record_kind") == "P", "proposed").otherwise("completed").alias("status"),
         F.when(F.col("o_orderkey") % 17 != 1, F.col("approval_ref")).otherwise(F.lit("ticket")).alias("approval_ref"),
         F.when(F.col("o_orderkey") % 19 != 2, F.array("approval_ref")).otherwise(F.array(F.lit("other"))).alias("approval_refs"))
-    used = T.load(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.concat(F.lit("ord_"), "l_orderkey").alias("id"))
+    used = T.load(spark, d, "lineitem").where("l_quantity >= 45").select(F.concat(F.lit("ord_"), "l_orderkey").alias("id"))
     return V.check_commit(cand, used, issues)
 
 
@@ -760,8 +761,8 @@ SELECT source AS view, CASE WHEN hash % 7 = 1 THEN 'missing' WHEN hash % 7 IN (2
 def l2(spark, d):
     now = I.fingerprint(T.files(spark, d), ["source"]).select(F.col("source").alias("view"), "fingerprint", F.col("file_count").alias("row_count"))
     n = F.replace(F.col("view"), F.lit("src"), F.lit("")).cast("bigint")
-    stored = now.where(n % 7 != 1).select(
-        "view", F.when(n % 7 == 2, "v0").otherwise("v1").alias("schema_version"), F.when(n % 7 == 3, F.lit("x")).otherwise(F.col("fingerprint")).alias("fingerprint"),
+    stored = now.select(
+        "view", F.when(n % 7 == 2, "v0").otherwise("v1").alias("schema_version"), F.when(n % 7 == 1, F.lit(None)).when(n % 7 == 3, F.lit("x")).otherwise(F.col("fingerprint")).alias("fingerprint"),
         (F.col("row_count") + F.when(n % 7 == 4, 1).otherwise(0)).alias("row_count"), F.when(n % 5 == 0, "failed").otherwise("succeeded").alias("health"))
     return I.view_status(stored, now, "v1")
 
@@ -818,7 +819,7 @@ SELECT run_id, state, event_count, head_hash, CASE WHEN n % 4 = 0 THEN CASE WHEN
 def l5b(spark, d):
     states = I.current_state(T.runtime_events(spark, d))
     n = F.replace(F.col("run_id"), F.lit("run_"), F.lit("")).cast("bigint")
-    seals = states.where(n % 4 != 0).select("run_id", F.col("state").alias("terminal_state"), (F.col("event_count") + F.when(n % 5 == 1, 1).otherwise(0)).alias("event_count"), "head_hash")
+    seals = states.select("run_id", F.when(n % 4 != 0, F.col("state")).alias("terminal_state"), (F.col("event_count") + F.when(n % 5 == 1, 1).otherwise(0)).alias("event_count"), "head_hash")
     return I.verify_seals(states, seals)
 
 

@@ -201,8 +201,8 @@ _embed_ctes("docvec", "documents", "doc_id", "text")
 
 @query("j4_hash_embedding", "SELECT doc_id, bucket, round(weight, 6) AS weight FROM docvec_weights")
 def j4(spark, d):
-    w = VX.hashed_weights(T.load(spark, d, "documents"), "doc_id", "text", DIMS)
-    return w.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+    v = VX.embed_hash(T.load(spark, d, "documents"), "doc_id", "text", DIMS)
+    return v.select("doc_id", F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("j4_hash_embedding_blake2b")
@@ -342,13 +342,13 @@ def c18(spark, d):
 
 
 @query("f13_adaptive_route", """
-WITH m AS (SELECT qid, CASE WHEN structural THEN 'structural_query_lexical_fast_path' WHEN qid IN (SELECT DISTINCT qid FROM sem_ranked WHERE qid % 4 <> 3) THEN 'natural_language_semantic_route' ELSE 'semantic_empty_lexical_fallback' END AS reason FROM structural)
-SELECT qid, event_id, rank, score, reason, 'semantic' AS route FROM (SELECT * FROM sem_ranked WHERE rank <= 10 AND qid % 4 <> 3) JOIN m USING (qid) WHERE reason = 'natural_language_semantic_route'
+WITH m AS (SELECT qid, CASE WHEN structural THEN 'structural_query_lexical_fast_path' WHEN qid IN (SELECT qid FROM sem_ranked) THEN 'natural_language_semantic_route' ELSE 'semantic_empty_lexical_fallback' END AS reason FROM structural)
+SELECT qid, event_id, rank, score, reason, 'semantic' AS route FROM (SELECT * FROM sem_ranked WHERE rank <= 10) JOIN m USING (qid) WHERE reason = 'natural_language_semantic_route'
 UNION ALL SELECT qid, event_id, rank, score, reason, 'lexical' FROM (SELECT * FROM event_first WHERE rank <= 10) JOIN m USING (qid) WHERE reason <> 'natural_language_semantic_route'""")
 def f13(spark, d):
     e = T.events(spark, d)
     lex = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10)
-    sem = written(semantic_list(spark, d, 10, written(passages(spark, d), "passages")).where("qid % 4 <> 3"), "semantic")
+    sem = written(semantic_list(spark, d, 10, written(passages(spark, d), "passages")), "semantic")
     return U.route(marked_queries(spark, d), lex, sem)
 
 
@@ -486,7 +486,8 @@ CTES["evidence_classes"] = f"SELECT qid, event_id, t, {_CATEGORY} AS category, {
 
 @query("c24_evidence_category", "SELECT event_id, category, role FROM evidence_classes")
 def c24(spark, d):
-    return marked_passages(spark, d).select("event_id", X.evidence_category("content", "path").alias("category"), X.evidence_role("content").alias("role"))
+    p = marked_passages(spark, d).withColumn("t", F.lower("content"))
+    return p.select("event_id", X.evidence_category("t", "path").alias("category"), X.evidence_role("t").alias("role"))
 
 
 CTES["verdicts"] = """SELECT qid, count(*) FILTER (p AND NOT f) AS n_passed, count(*) FILTER (f AND NOT p) AS n_failed, count(*) FILTER (p AND f) AS n_mixed FROM (SELECT qid, event_id,
@@ -542,7 +543,7 @@ def j3(spark, d):
 def j7(spark, d):
     p = _whole_passages(spark, d).select("event_id", F.sha2("content", 256).alias("text_sha256"))
     n = F.substring("event_id", 5, 20).cast("bigint")
-    stored = p.where(n % 6 != 0).withColumn("text_sha256", F.when(n % 9 == 1, "old").otherwise(F.col("text_sha256")))
+    stored = p.withColumn("event_id", F.when(n % 6 == 0, F.concat(F.lit("old_"), "event_id")).otherwise(F.col("event_id"))).withColumn("text_sha256", F.when(n % 9 == 1, "old").otherwise(F.col("text_sha256")))
     return PK.changed_texts(p, stored, "event_id", "text_sha256").select("event_id")
 
 
@@ -551,3 +552,29 @@ def e13(spark, d):
     p = _whole_passages(spark, d).select("event_id", F.sha2("content", 256).alias("text_sha256"))
     have = T.load(spark, d, "labels").select(F.concat(F.lit("evt_"), "doc_id").alias("event_id"))
     return p.join(have, "event_id", "left_anti")
+
+
+# --- filters and joins of ranked lists ----------------------------------------------------------------
+@query("d2_filter_after_fusion", f"""
+WITH f AS ({_rrf_sql("event_first", 10, 80, 1.0, 1.0, 10)}) SELECT f.qid, f.event_id, f.rank FROM f JOIN ledger_events USING (event_id) WHERE status = 'completed'""")
+def d2(spark, d):
+    e = T.events(spark, d)
+    return f10(spark, d).join(e.where("status = 'completed'").select("event_id"), "event_id", "left_semi").select("qid", "event_id", "rank")
+
+
+@query("e1_hits_to_events", """
+SELECT qid, rank, event_id, e.status, e.date, e.source_path AS path FROM event_first f JOIN ledger_events e USING (event_id) WHERE rank <= 10""")
+def e1(spark, d):
+    e = T.events(spark, d)
+    hits = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10).select("qid", "rank", "event_id")
+    return hits.join(e.select("event_id", "status", "date", F.col("source_path").alias("path")), "event_id")
+
+
+@query("e10_fusion_join", """
+SELECT coalesce(l.qid, w.qid) AS qid, coalesce(l.event_id, w.event_id) AS event_id, l.rank AS plain_rank, w.rank AS weighted_rank FROM (SELECT * FROM event_first WHERE rank <= 20) l
+FULL OUTER JOIN (SELECT * FROM evw_hits WHERE rank <= 20) w ON l.qid = w.qid AND l.event_id = w.event_id""")
+def e10(spark, d):
+    e = T.events(spark, d)
+    a = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 20).select("qid", "event_id", F.col("rank").alias("plain_rank"))
+    b = LX.bm25_topk(T.search_queries(spark, d), event_index(e, WEIGHTED_FIELDS), 20).select("qid", F.col("doc_id").alias("event_id"), F.col("rank").alias("weighted_rank"))
+    return a.join(b, ["qid", "event_id"], "full_outer")

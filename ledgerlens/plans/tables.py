@@ -13,8 +13,12 @@ from ledgerlens import scale
 from ledgerlens.plans.registry import CTES
 
 
+WORK_HEAVY = ("documents", "pages", "conversations", "embeddings", "orders")
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return scale.spread(df) if name in WORK_HEAVY else df
 
 
 # --- files, registry, lines --------------------------------------------------
@@ -208,13 +212,12 @@ CTES["amendments"] = """SELECT event_id AS position, 'amd_'||event_id AS amendme
 
 def payloads(spark, d):
     """Original payload fields of the amended records (field ``error`` is missing for some)."""
-    return load(spark, d, "events").select("user_id", "event_type").distinct().where(
-        "NOT (event_type = 'error' AND user_id % 10 = 3)"
-    ).selectExpr("concat('rec_', user_id) AS record_id", "event_type AS k", "'0' AS value")
+    return load(spark, d, "events").selectExpr(
+        "concat('rec_', user_id) AS record_id", "CASE WHEN event_type = 'error' AND user_id % 10 = 3 THEN 'gone' ELSE event_type END AS k"
+    ).distinct().selectExpr("record_id", "k", "'0' AS value")
 
 
-CTES["payloads"] = """SELECT DISTINCT 'rec_'||user_id AS record_id, event_type AS k, '0' AS value FROM events
-  WHERE NOT (event_type = 'error' AND user_id % 10 = 3)"""
+CTES["payloads"] = """SELECT DISTINCT 'rec_'||user_id AS record_id, CASE WHEN event_type = 'error' AND user_id % 10 = 3 THEN 'gone' ELSE event_type END AS k, '0' AS value FROM events"""
 
 
 # --- usage, runs, traces ---------------------------------------------------------
