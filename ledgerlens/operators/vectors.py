@@ -74,6 +74,7 @@ def embed_hash(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> Data
     def encode(words: pd.Series) -> pd.Series:
         return pd.Series(_hash_vectors(words.tolist(), dims, _md5))
 
+    encode = encode.asNondeterministic()  # evaluated once per row, not once per use
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(K.WORD_PATTERN), F.lit(0))
     return docs.select(F.col(doc_id).alias("doc_id"), encode(words).alias("vector")).where("vector IS NOT NULL")
 
@@ -85,6 +86,7 @@ def embed_blake2b(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> D
     def encode(s: pd.Series) -> pd.Series:
         return pd.Series(_hash_vectors([re.findall(r"[^\W_]+", t.casefold()) for t in s], dims, _blake2b))
 
+    encode = encode.asNondeterministic()  # evaluated once per row, not once per use
     return docs.select(F.col(doc_id).alias("doc_id"), encode(F.col(text)).alias("vector")).where("vector IS NOT NULL")
 
 

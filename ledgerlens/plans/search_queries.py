@@ -543,7 +543,7 @@ def j3(spark, d):
 def j7(spark, d):
     p = _whole_passages(spark, d).select("event_id", F.sha2("content", 256).alias("text_sha256"))
     n = F.substring("event_id", 5, 20).cast("bigint")
-    stored = p.withColumn("event_id", F.when(n % 6 == 0, F.concat(F.lit("old_"), "event_id")).otherwise(F.col("event_id"))).withColumn("text_sha256", F.when(n % 9 == 1, "old").otherwise(F.col("text_sha256")))
+    stored = p.withColumns({"event_id": F.when(n % 6 == 0, F.concat(F.lit("old_"), "event_id")).otherwise(F.col("event_id")), "text_sha256": F.when(n % 9 == 1, "old").otherwise(F.col("text_sha256"))})
     return PK.changed_texts(p, stored, "event_id", "text_sha256").select("event_id")
 
 

@@ -28,27 +28,35 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | st
     q.awaitTermination()
 
 
-def _latest(spark: SparkSession, base: str, before: int) -> str | None:
-    """Newest complete version folder written by a batch earlier than ``before``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = sorted(int(n[1:]) for n in done if n.startswith("b") and n[1:].isdigit() and int(n[1:]) < before)
-    for n in reversed(numbers):
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/b{n}/_SUCCESS")):
-            return f"{base}/b{n}"
-    return None
+def _live_parts(spark: SparkSession, base: str, before: int) -> dict[int, str]:
+    """Bucket -> newest folder holding it, over the finished versions earlier than batch ``before``.
+
+    Only folder names reach the driver: at most one per bucket and version.
+    """
+    jvm = spark.sparkContext._jvm
+    path_of = jvm.org.apache.hadoop.fs.Path
+    root = path_of(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    numbers = sorted((int(n[1:]) for n in names(root) if n[:1] == "b" and n[1:].isdigit() and int(n[1:]) < before), reverse=True)
+    live: dict[int, str] = {}
+    for n in numbers:
+        if not fs.exists(path_of(f"{base}/b{n}/_SUCCESS")):
+            continue
+        for part in names(path_of(f"{base}/b{n}")):
+            if part.startswith("_bucket="):
+                live.setdefault(int(part.split("=")[1]), f"{base}/b{n}/{part}")
+    return live
 
 
 def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
     """A foreachBatch function that keeps a keyed view current.
 
-    Each batch writes one new version ``b<batch_id>`` from the version before it, with the changed rows in
-    place of the old ones.  A repeated batch rewrites the same folder from the same predecessor, so a
-    retry changes nothing.  Rows that are older than the stored row, or whose text hash is unchanged,
-    keep the stored columns (no new embedding).
+    The view is split into hash buckets of the key; choose ``buckets`` so that one bucket is one
+    comfortable file.  A batch rewrites only the buckets its changed rows fall into, as version
+    ``b<batch_id>``; readers take the newest version of every bucket.  A repeated batch rewrites the
+    same folder from the same predecessors, so a retry changes nothing.  Rows that are older than
+    the stored row, or whose text hash is unchanged, keep the stored columns (no new embedding).
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -56,11 +64,14 @@ def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame]
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         others = [c for c in batch.columns if c != key]
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col("position")).alias("r")).select(key, "r.*")
-        before = _latest(spark, base, batch_id)
-        if before is None:
+        live = _live_parts(spark, base, batch_id)
+        if not live:
             rows = embed(newest) if embed else newest
         else:
-            old = spark.read.parquet(before).drop("_bucket")
+            touched = [r[0] for r in newest.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+            parts = [live[b] for b in touched if b in live]
+            stored = spark.read.parquet(*(parts or list(live.values())))
+            old = stored if parts else stored.limit(0)
             have = old.select(key, F.col("position").alias("_p"), F.col(text_hash).alias("_h"))
             later = F.col("_p").isNull() | ((F.col("position") > F.col("_p")) & (F.col(text_hash) != F.col("_h")))
             changed = newest.join(have, key, "left").where(later).drop("_p", "_h")
@@ -72,7 +83,7 @@ def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame]
 
 
 def read_upserted(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(_latest(spark, base, 1 << 62)).drop("_bucket")
+    return spark.read.parquet(*_live_parts(spark, base, 1 << 62).values())
 
 
 def refresh_stream(events: DataFrame) -> DataFrame:
