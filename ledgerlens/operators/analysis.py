@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as K
 from ledgerlens import scale
 from ledgerlens.operators.validation import usage_problem
+from ledgerlens.session import written
 
 
 def summarize_usage(usage: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, widt
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     cum = scale.running_sum(counts, keys, value, F.col("_n"), "_cum", width)
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    j = cum.join(F.broadcast(total) if scale.fits(total) else total, keys)
+    j = cum.join(total, keys)
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
     before = F.col("_cum") - F.col("_n")
     hit = lambda pos: F.when((before < pos) & (F.col("_cum") >= pos), F.col(value))
@@ -102,15 +103,16 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], order: str, value: str, sampl
     """Mean and 95 % bootstrap interval per group.
 
     Draw j of resample b takes the row number md5(seed:b:j) mod n, so the draws do not depend on
-    partitioning or on a driver-side generator.  Draws are generated next to the rows they number
-    and meet their value by an equi-join (broadcast when the values are few, checked), and are
-    summed map-side per resample.
+    partitioning or on a driver-side generator.  The numbered values are written once; draws are
+    generated next to the rows they number, meet their value by an equi-join (broadcast when the
+    values are few, checked) and are summed map-side per resample.
     """
     by = list(by)
-    numbered = scale.position_in_key(df.where(F.col(value).isNotNull()).select(*by, order, value), by, order, "_pos")
+    values = df.where(F.col(value).isNotNull()).select(*by, order, value)
+    numbered = written(scale.position_in_key(values, by, order, "_pos"), "numbered")
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     rows = numbered.select(*by, (F.col("_pos") - 1).alias("_pos"), F.col(value).alias("_x"))
-    draws = rows.select(*by, F.col("_pos").alias("_j")).join(F.broadcast(sizes.select(*by, "n")) if scale.fits(sizes) else sizes.select(*by, "n"), by)
+    draws = rows.select(*by, F.col("_pos").alias("_j")).join(sizes.select(*by, "n"), by)
     draws = draws.repartition(df.sparkSession.sparkContext.defaultParallelism)  # few rows, many draws each
     draws = draws.select(*by, "n", "_j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_j").cast("string"))

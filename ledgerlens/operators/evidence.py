@@ -273,8 +273,9 @@ def evidence_bundle(requests: DataFrame, views: DataFrame, passages: DataFrame,
     p = scale.first_per_key(p, ["bundle_id", "record_id", "path", "line_start", "line_end"], [F.asc("request_no"), F.asc("ref_no")])
     p = p.withColumn("place", (F.col("request_no") * 1_000_000 + F.col("ref_no")).cast("bigint"))
     p = p.withColumn("n_bytes", F.octet_length("content").cast("bigint"))
-    p = scale.running_sum(p, ["bundle_id"], "place", F.col("n_bytes"), "total_bytes")
-    p = scale.position_in_key(p, ["bundle_id"], "place", "passage_no")
+    width = 1_000_000 * 10_000  # ten thousand requests per slice
+    p = scale.running_sum(p, ["bundle_id"], "place", F.col("n_bytes"), "total_bytes", width)
+    p = scale.position_in_key(p, ["bundle_id"], "place", "passage_no", width)
     limit = (
         F.when(F.col("passage_no") > max_passages, "passages")
         .when(F.col("line_end") - F.col("line_start") + 1 > max_lines, "lines")

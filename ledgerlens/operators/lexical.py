@@ -64,9 +64,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(X.tokens("query"))).alias("term"))
 
 
-def _match(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows joined with the query terms: broadcast when these are few, else on (term, salt)."""
-    if scale.fits(terms):
+def _match(rows: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """Rows joined with the query terms: broadcast when these are few (checked), else on (term, salt)."""
+    if few:
         return rows.join(F.broadcast(terms), "term")
     salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS)))
@@ -76,8 +76,9 @@ def _match(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """(qid, doc_id, score) of every document sharing a term with the query."""
     terms = query_terms(queries)
+    few = scale.fits(terms)  # also bounds the frames derived from the terms below
     wanted = terms.select("term").distinct()
-    if scale.fits(wanted):
+    if few:
         df = index["seen"].join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         df = index["terms"].join(wanted, "term", "left_semi")
@@ -89,7 +90,7 @@ def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
         F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avg)
     )
     return (
-        _match(index["postings"], weighted).groupBy("qid", "doc_id")
+        _match(index["postings"], weighted, few).groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.col("idf") * saturation), 6).alias("score"))
     )
 

@@ -138,19 +138,24 @@ def stage_order(date: str, event_id: str) -> dict[str, Column]:
     }
 
 
-def metric_anchors(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """Events whose id carries a round (and version, when named) the metric query asks for.
+def metric_anchors(queries: DataFrame, events: DataFrame, limit: int = 5) -> DataFrame:
+    """First ``limit`` events, in stage order, whose id carries a round (and version, when named) a metric query asks for.
 
-    Labels are exploded on both sides and joined by equality: no scan of all (query, event) pairs.
-    events: event_id.
+    events: event_id, date.  The first events per (round, version) are picked before the join, so a
+    label shared by a large part of the events meets a query with ``limit`` rows only.
     """
     labels = lambda c, letter: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"(?:^|[^a-z0-9_])({letter}\d+)"), F.lit(1)))
     q = queries.where(X.query_class("query") == "metric").select("qid", labels("query", "r").alias("rounds"), labels("query", "v").alias("versions"))
-    parts = F.split(F.lower("event_id"), "_")
-    e = events.select("event_id", parts.alias("parts"), F.explode(F.array_distinct(F.filter(parts, lambda p: p.rlike(r"^r\d+$")))).alias("label"))
-    hit = q.select("qid", "versions", F.explode("rounds").alias("label")).join(e, "label")
-    ok = (F.size("versions") == 0) | F.exists("versions", lambda v: F.array_contains("parts", v))
-    return hit.where(ok).select("qid", "event_id").distinct()
+    named = F.when(F.size("versions") == 0, F.array(F.lit(""))).otherwise(F.col("versions"))
+    q = q.select("qid", F.explode("rounds").alias("round"), named.alias("named")).select("qid", "round", F.explode("named").alias("version"))
+    part = lambda letter: F.array_distinct(F.filter(F.split(F.lower("event_id"), "_"), lambda p: p.rlike(rf"^{letter}\d+$")))
+    e = events.select("event_id", "date").withColumns(stage_order("date", "event_id"))
+    order = [F.asc("date"), F.asc("version_no"), F.asc("round_no"), F.asc("event_id")]
+    e = e.withColumnRenamed("version", "version_no").select("*", F.explode(part("r")).alias("round"))
+    e = e.select("*", F.explode(F.concat(F.array(F.lit("")), part("v"))).alias("version"))
+    first = scale.top_per_key(e, ["round", "version"], order, limit, "_place").drop("_place")
+    hit = q.join(first, ["round", "version"]).drop("round", "version").distinct()
+    return scale.top_per_key(hit, ["qid"], order, limit).select("qid", "event_id", "rank")
 
 
 # --- grounding -----------------------------------------------------------------------------

@@ -470,10 +470,11 @@ def c19(spark, d):
 
 
 @query("f21_metric_anchors", """
-WITH e AS (SELECT 'evt_v'||(position % 3)||'_r'||(position % 7)||'_'||position AS event_id, position FROM ledger_events)
-SELECT DISTINCT qid, event_id FROM (SELECT qid, versions, unnest(rounds) AS r FROM query_classes WHERE query_class = 'metric') JOIN e ON 'r'||(position % 7) = r WHERE len(versions) = 0 OR list_contains(versions, 'v'||(position % 3))""")
+WITH e AS (SELECT 'evt_v'||(position % 3)||'_r'||(position % 7)||'_'||position AS event_id, position, date FROM ledger_events),
+h AS (SELECT DISTINCT qid, event_id, date, position FROM (SELECT qid, versions, unnest(rounds) AS r FROM query_classes WHERE query_class = 'metric') JOIN e ON 'r'||(position % 7) = r WHERE len(versions) = 0 OR list_contains(versions, 'v'||(position % 3)))
+SELECT qid, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY date, position % 7, event_id) AS rank FROM h) WHERE rank <= 5""")
 def f21(spark, d):
-    e = T.events(spark, d).selectExpr("concat('evt_v', position % 3, '_r', position % 7, '_', position) AS event_id")
+    e = T.events(spark, d).selectExpr("concat('evt_v', position % 3, '_r', position % 7, '_', position) AS event_id", "date")
     return RR.metric_anchors(marked_queries(spark, d), e)
 
 
