@@ -111,7 +111,10 @@ DENIED_FRAGMENTS = ["secret", "token", "credential", "private_key", "api_key", "
 LOW_VALUE_HEADINGS = ["sha256", "files", "artifacts", "environment", "commands", "metadata", "checksums"]
 REFERENCE_EVENT_TYPE = "reference_document"
 REFERENCE_SORT_DATE = "0001-01-01"
-TEXT_EXTENSIONS = [".md", ".txt", ".json", ".jsonl", ".csv", ".tsv", ".bib", ".pdf"]
+TEXT_EXTENSIONS = [
+    "", ".bib", ".cfg", ".csv", ".html", ".ini", ".json", ".jsonl", ".md", ".pdf", ".py", ".rst", ".toml", ".tsv", ".txt",
+    ".xml", ".yaml", ".yml",
+]
 REDACTED = "[REDACTED]"
 CLIP_MARKER = "\n…[truncated]"
 

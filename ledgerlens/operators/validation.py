@@ -68,7 +68,16 @@ def validate_core(records: DataFrame, raw: str = "raw") -> DataFrame:
     for key in ("path", "recorded_value", "corrected_value", "reason"):
         rules.append(rule((F.col("record_kind") == "amendment") & ~payload_has(key), f"/payload/{key}",
                           "amendment must record before/after values and reason"))
-    groups = [unexpected]
+    extra_keys = lambda body, allowed, prefix: F.transform(
+        F.array_sort(F.array_except(F.coalesce(F.json_object_keys(body), F.array()), F.array(*[F.lit(a) for a in allowed]))),
+        lambda f: F.struct(F.concat(prefix, f).alias("path"), F.lit("unexpected property").alias("message"), F.lit("blocking").alias("severity")))
+    groups = [unexpected, extra_keys(F.get_json_object(raw, "$.created_by"), ["actor_id", "actor_type"], F.lit("/created_by/"))]
+    for field, allowed in (("relations", ["type", "target_id"]), ("source_refs", ["artifact_revision_id", "locator", "verification_status"])):
+        texts = F.coalesce(F.from_json(F.get_json_object(raw, f"$.{field}"), "array<string>"), F.array())
+        at = lambda i, f=field: F.concat(F.lit(f"/{f}/"), i.cast("string"))
+        is_item = lambda x: F.coalesce(x.startswith("{"), F.lit(False))
+        groups.append(F.transform(texts, lambda x, i: rule(~is_item(x), at(i), "must be an object")))
+        groups.append(F.flatten(F.transform(texts, lambda x, i: F.when(is_item(x), extra_keys(x, allowed, F.concat(at(i), F.lit("/")))).otherwise(F.array()))))
     for field, pattern in (("contribution_refs", K.RE_CONTRIBUTION_REF), ("approval_refs", K.RE_APPROVAL_REF), ("artifact_refs", K.RE_ARTIFACT_REF)):
         rules.append(rule(not_array(field), f"/{field}", "must be an array"))
         rules.append(rule(F.size(field) != F.size(F.array_distinct(field)), f"/{field}", "must not contain duplicate values"))

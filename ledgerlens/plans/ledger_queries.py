@@ -112,7 +112,7 @@ def a7(spark, d):
     root = new_folder(spark, "usage")
     u = T.usage(spark, d).drop("ts")
     u.write.json(root)
-    return R.read_jsonl(spark, root, u.schema.simpleString()[7:-1].replace(":", " "), "strict").select(
+    return R.read_jsonl(spark, root, u.schema, "strict").select(
         "event_id", "run_id", "source", "total_tokens", "unavailable_reason")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens import constants as K
 from ledgerlens.functions import text as X
@@ -85,7 +86,7 @@ def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return spark.read.schema(RECORD_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, mode: str = "strict") -> DataFrame:
     """strict: the first malformed row fails the job; lenient: malformed rows are dropped."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if mode == "strict" else "DROPMALFORMED").json(path)
 

@@ -133,6 +133,14 @@ def test_core_rules_on_raw_json(frame):
     assert {"/record_id", "/relations", "/payload", "/created_by", "/status", "/occurred_at", "/record_kind"} <= {p for _, p in got}
 
 
+def test_core_rules_see_unknown_nested_fields(frame):
+    raw = ('{"schema_version":"core/1.0","record_id":"claim_1","record_kind":"claim","occurred_at":"2024-01-01T00:00:00Z","recorded_at":"2024-01-01",'
+           '"status":"completed","created_by":{"actor_id":"actor_1","actor_type":"human","x":1},"payload":{},"relations":["loose",{"type":"corrects","target_id":"a","y":2}]}')
+    df = frame([(raw,)], "raw string").withColumn("r", F.from_json("raw", R.RECORD_SCHEMA)).select("raw", "r.*")
+    got = set(rows_of(V.validate_core(df), "path", "message"))
+    assert {("/created_by/x", "unexpected property"), ("/relations/0", "must be an object"), ("/relations/1/y", "unexpected property")} <= got
+
+
 def test_ledger_lines_keep_their_numbers_over_split_files(spark, tmp_path):
     for day in ("2024-01-01", "2024-01-02"):
         folder = tmp_path / "daily" / day
