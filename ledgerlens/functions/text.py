@@ -130,18 +130,21 @@ def weighted_markers(text: str | Column, weights: dict[str, float]) -> Column:
 
 def query_class(query: str | Column) -> Column:
     """timeline / audit / metric / hybrid from marker counts; audit wins ties above zero."""
-    q = F.lower(_c(query))
-    rounds = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?:^|[^a-z0-9_])(r\d+)"), F.lit(1))))
-    versions = F.regexp_count(q, F.lit(r"(?:^|[^a-z0-9_])v\d+"))
-    chain = contains_any(q, K.TIMELINE_LANGUAGE) & ((rounds >= 2) | ((versions > 0) & (rounds > 0)))
-    vocabulary = contains_any(q, K.TIMELINE_MARKERS) & contains_any(q, K.VOCABULARY_MARKERS)
-    audit, metric = marker_count(q, K.AUDIT_TERMS), marker_count(q, K.METRIC_TERMS)
-    return (
-        F.when(vocabulary | chain, "timeline")
-        .when((audit >= metric) & (audit > 0), "audit")
-        .when(metric > 0, "metric")
-        .otherwise("hybrid")
-    )
+
+    def classify(q: Column) -> Column:
+        rounds = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?:^|[^a-z0-9_])(r\d+)"), F.lit(1))))
+        versions = F.regexp_count(q, F.lit(r"(?:^|[^a-z0-9_])v\d+"))
+        chain = contains_any(q, K.TIMELINE_LANGUAGE) & ((rounds >= 2) | ((versions > 0) & (rounds > 0)))
+        vocabulary = contains_any(q, K.TIMELINE_MARKERS) & contains_any(q, K.VOCABULARY_MARKERS)
+        audit, metric = marker_count(q, K.AUDIT_TERMS), marker_count(q, K.METRIC_TERMS)
+        return (
+            F.when(vocabulary | chain, "timeline")
+            .when((audit >= metric) & (audit > 0), "audit")
+            .when(metric > 0, "metric")
+            .otherwise("hybrid")
+        )
+
+    return bind(F.lower(_c(query)), classify)
 
 
 def anchor_terms(query: str | Column) -> Column:
