@@ -186,12 +186,3 @@ def diversify(hits: DataFrame, k: int, event_cap: int = 4, result_family_cap: in
         return pd.DataFrame(taken, columns=[f.name for f in schema.fields])
 
     return clean.groupBy("qid").applyInPandas(walk, schema)
-
-
-def dense_rank_positions(lists: Sequence[DataFrame]) -> DataFrame:
-    """Concatenated lists with an ordinal, in list order."""
-    out = None
-    for i, hits in enumerate(lists):
-        part = hits.withColumn("list", F.lit(i))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out

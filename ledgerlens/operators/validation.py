@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
-from ledgerlens import scale
 from ledgerlens.functions.issues import blank, issue_rows, not_in, not_matching, rule
 
 BAD_ID = "does not match the required identifier pattern"

@@ -378,3 +378,16 @@ def f20(spark, d):
     e = T.events(spark, d).withColumn("stage", (F.datediff(F.to_date("date"), F.lit("2024-01-01").cast("date")).cast("bigint") * 10_000_000_000 + F.col("position")))
     out = RR.timeline(e.select("project", "stage", "event_id", "date", "status", "summary"), "project", "stage")
     return out.select("project", "bundle_no", "n_events", "first_event", "last_event", "first_date", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("i2_global_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def i2(spark, d):
+    o = T.load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return o.orderBy(F.desc("o_totalprice"), F.asc("o_orderkey")).limit(25)
+
+
+@query("i6_first_insert_wins", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def i6(spark, d):
+    """Rows of one key collapse to the smallest; reduced map-side."""
+    li = T.load(spark, d, "lineitem")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
