@@ -6,9 +6,10 @@ import base64
 import codecs
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return found
 
 
+@lru_cache(4)
 def tokenizer_json(path: str, pattern: str = public_tokenizers.PATTERN) -> str:
     """A tokenizers.Tokenizer for a rank file, as JSON text; about 3 MB for 50,000 ranks."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -62,19 +64,36 @@ def tokenizer_json(path: str, pattern: str = public_tokenizers.PATTERN) -> str:
     return tok.to_str()
 
 
+@lru_cache(1)
 def odd_characters() -> str:
     """A character class of what the regex module and the tokenizers library class differently ("" if nothing)."""
     from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    odd: set[str] = set()
+    codes = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    every, odd = "".join(map(chr, codes)), np.zeros(len(codes), bool)
     for kind in (r"\p{L}+", r"\p{N}+", r"\s+"):
-        theirs = {c for p, _ in pre_tokenizers.Split(Regex(kind), "removed").pre_tokenize_str(every) for c in p}
-        odd |= theirs ^ set(regex.sub(kind, "", every))
-    codes = sorted(map(ord, odd))
-    firsts = [c for c in codes if chr(c - 1) not in odd]
-    lasts = [c for c in codes if chr(c + 1) not in odd]
-    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts)) + "]" if codes else ""
+        ours, theirs = np.zeros((2, len(codes)), bool)
+        for m in regex.finditer(kind, every):
+            ours[m.start() : m.end()] = True
+        theirs[:] = True
+        for _, (start, end) in pre_tokenizers.Split(Regex(kind), "removed").pre_tokenize_str(every):
+            theirs[start:end] = False
+        odd |= ours ^ theirs
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], odd, [False]]).astype(np.int8)))
+    firsts, lasts = codes[edges[::2]], codes[edges[1::2] - 1]
+    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts)) + "]" if len(firsts) else ""
+
+
+def latin_pattern(pattern: str) -> str:
+    """``pattern`` for texts of Latin-1 characters, its classes spelled out, for the faster standard module."""
+
+    def members(kind: str) -> str:
+        return "".join(rf"\x{c:02x}" for c in range(256) if regex.match(kind, chr(c)))
+
+    def spelled(m: re.Match) -> str:
+        return re.sub(r"\\p\{\w+\}|\\s", lambda k: members(k[0]), m[0]) if m[0][0] == "[" else f"[{members(m[0])}]"
+
+    return re.sub(r"\[[^\]]*\]|\\p\{\w+\}|\\[sS]", spelled, pattern)
 
 
 class Codec:
@@ -94,6 +113,7 @@ class Codec:
         self.part = Tokenizer.from_str(json)
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
+        self.latin = re.compile(latin_pattern(pattern))
         self.cut = regex.compile(r"(?<=\S)\s")
         values = {c: b for b, c in enumerate(byte_alphabet())}
         vocab = self.whole.get_vocab()
@@ -103,7 +123,7 @@ class Codec:
         self.lengths = np.array([len(t) for t in self.table], np.int64)
         self.names = [str(i) for i in range(len(self.table))]
         self.odd = regex.compile(odd) if odd else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> Iterator[str]:
         start = 0
@@ -115,38 +135,45 @@ class Codec:
             start = at.start()
         yield text[start:]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of the whole text, without special tokens; null is empty."""
-        out: list[int] = []
+    def _found(self, chunk: str) -> list[str] | None:
+        """The pieces of the chunk; None if the library has to cut it."""
+        try:
+            chunk.encode("latin-1")
+            return self.latin.findall(chunk)
+        except UnicodeEncodeError:
+            return None if self.odd and self.odd.search(chunk) else self.pattern.findall(chunk)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids (int32) of the whole text, without special tokens; null is empty."""
+        out = []
         for chunk in self._chunks(text or ""):
-            if self.odd and not chunk.isascii() and self.odd.search(chunk):
-                out += self.whole.encode(chunk, add_special_tokens=False).ids
+            found = self._found(chunk)
+            if found is None:
+                out.append(np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes())
                 continue
-            found = self.pattern.findall(chunk)
-            new = list({*found} - self.known.keys())
-            if new:
-                if len(self.known) > CACHED_PIECES:
-                    self.known.clear()
-                    new = list({*found})
-                for i in range(0, len(new), 4096):
-                    some = new[i : i + 4096]
-                    self.known.update(zip(some, (e.ids for e in self.part.encode_batch_fast(some, add_special_tokens=False))))
-            out += chain.from_iterable(map(self.known.__getitem__, found))
-        return out
-
-    def offsets(self, ids: list[int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+            if len(self.known) > CACHED_PIECES:
+                self.known.clear()
+            new = [p for p in {*found} if p not in self.known]
+            for i in range(0, len(new), 4096):
+                some = new[i : i + 4096]
+                for piece, e in zip(some, self.part.encode_batch_fast(some, add_special_tokens=False)):
+                    self.known[piece] = array("i", e.ids).tobytes()
+            out += map(self.known.__getitem__, found)
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def offsets(self, ids: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """First character and end character of every token; a character split over tokens belongs to each of them."""
         data = np.frombuffer((text or "").encode(), np.uint8)
         char = np.cumsum((data & 0xC0) != 0x80) - 1  # byte -> character
-        ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
-        starts = ends - self.lengths[ids] if ids else ends
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
         return char[starts], char[ends - 1] + 1
 
     def split_characters(self, ids: list[int], data: bytes) -> int:
         """Token boundaries that fall inside a character."""
-        if not ids or data.isascii():
+        if data.isascii():
             return 0
-        ends = np.cumsum(self.lengths[ids])[:-1]
+        ends = np.cumsum(self.lengths[np.array(ids, np.int32)])[:-1]
         return int(((np.frombuffer(data, np.uint8)[ends] & 0xC0) == 0x80).sum())
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -212,7 +239,7 @@ def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def make(own: Codec, array: pa.Array) -> pa.Array:
         rows = []
         for value in array:
-            ids = own.encode(value.as_py())
+            ids = own.encode(value.as_py()).tolist()
             back = own.decode(ids)
             listed = " ".join(map(own.names.__getitem__, ids)).encode()
             rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest(), own.split_characters(ids, back)))
