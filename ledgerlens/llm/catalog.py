@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, exact_dedup, mixing, sharding, url_filter
+from ledgerlens.llm import bpe, classifier, exact_dedup, mixing, sharding, url_filter
 
 
 def _table(spark, folder: str, name: str):
@@ -11,6 +11,7 @@ def _table(spark, folder: str, name: str):
 
 QUERIES = {
     "op1_byte_bpe": lambda spark, folder: bpe.op1_byte_bpe(_table(spark, folder, "documents")),
+    "op10_quality": lambda spark, folder: classifier.op10_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
     "op3_url_reputation": lambda spark, folder: url_filter.op3_url_reputation(_table(spark, folder, "pages"), _table(spark, folder, "labels")),
     "op5_byte_shards": lambda spark, folder: sharding.op5_byte_shards(_table(spark, folder, "documents")),
     "op6_mix_sources": lambda spark, folder: mixing.op6_mix_sources(_table(spark, folder, "documents")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_quality": lambda spark, folder: classifier.op10_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
     "op3_url_reputation": url_filter.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
