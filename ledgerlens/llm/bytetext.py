@@ -96,15 +96,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return span_hash(byte_values(seed)[data], starts, ends, seed & 1)
 
 
-def window_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of ``size`` words inside one text: the positions of the first words, and the hashes."""
-    valid = np.ones(max(0, len(hashes) - size + 1), bool)
-    for back in (bounds[1:-1],):
-        # a window that starts in the last size - 1 words of a text would reach into the next
-        lows = np.maximum(back - size + 1, 0)
-        marks = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(marks, lows, 1)
-        np.add.at(marks, back, -1)
-        valid &= np.cumsum(marks)[: len(valid)] == 0
-    at = np.flatnonzero(valid)
-    return at, span_hash(hashes, at, at + size, kind)
+def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
+    """Whether ``size`` words from each word on lie in one text."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    return np.arange(len(ends)) + size <= ends
+
+
+def window_hashes(hashes: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
+    """Hash of the ``size`` words from each word on, whether or not they lie in one text; the last ``size - 1`` have none."""
+    starts = np.arange(max(0, len(hashes) - size + 1))
+    return span_hash(hashes, starts, starts + size, kind)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` neighbouring values."""
+    have = 1
+    while have * 2 <= width and len(values) > have:
+        values, have = np.minimum(values[:-have], values[have:]), have * 2
+    rest = width - have
+    return np.minimum(values[:-rest], values[rest:]) if rest and len(values) > rest else values[: len(values) - rest]
