@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, classifier, exact_dedup, mixing, sharding, substring_dedup, url_filter
+from ledgerlens.llm import bpe, classifier, exact_dedup, mixing, sharding, substring_dedup, topk, url_filter
 
 
 def _table(spark, folder: str, name: str):
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_byte_shards": lambda spark, folder: sharding.op5_byte_shards(_table(spark, folder, "documents")),
     "op6_mix_sources": lambda spark, folder: mixing.op6_mix_sources(_table(spark, folder, "documents")),
     "op7_exact_dedup": lambda spark, folder: exact_dedup.op7_exact_dedup(_table(spark, folder, "documents")),
+    "op8_topk_vectors": lambda spark, folder: topk.op8_topk_vectors(_table(spark, folder, "embeddings")),
     "op9_substring_dedup": lambda spark, folder: substring_dedup.op9_substring_dedup(_table(spark, folder, "documents")),
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op10_quality": lambda spark, folder: classifier.op10_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
     "op3_url_reputation": url_filter.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_topk_vectors": topk.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
 }
