@@ -18,13 +18,15 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
 
     A text longer than the limit is a run of its own, whole.
     """
-    texts = pc.fill_null(texts.cast(pa.large_utf8()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row = 0
     while row < n:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, classifier, exact_dedup, mixing, near_dup, sharding, substring_dedup, topk, url_filter
+from ledgerlens.llm import bpe, classifier, context_mixing, exact_dedup, mixing, near_dup, sharding, substring_dedup, topk, url_filter
 
 
 def _table(spark, folder: str, name: str):
@@ -11,6 +11,7 @@ def _table(spark, folder: str, name: str):
 
 QUERIES = {
     "op1_byte_bpe": lambda spark, folder: bpe.op1_byte_bpe(_table(spark, folder, "documents")),
+    "op2_context_mixing": lambda spark, folder: context_mixing.op2_context_mixing(_table(spark, folder, "documents")),
     "op10_quality": lambda spark, folder: classifier.op10_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
     "op3_url_reputation": lambda spark, folder: url_filter.op3_url_reputation(_table(spark, folder, "pages"), _table(spark, folder, "labels")),
     "op4_near_duplicates": lambda spark, folder: near_dup.op4_near_duplicates(_table(spark, folder, "documents")),

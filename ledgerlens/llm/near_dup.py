@@ -68,7 +68,7 @@ def jaccard(left: Column, right: Column) -> Column:
     @F.arrow_udf("double")
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
         def sets(texts: pa.Array) -> Iterator[np.ndarray]:
-            for _, _, data, offsets in pieces(texts):
+            for _, _, data, offsets in pieces(texts, 1 << 20):
                 every, cut = shingle_sets(data, offsets)
                 for x, y in zip(cut[:-1], cut[1:]):
                     yield every[x:y]

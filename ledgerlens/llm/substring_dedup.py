@@ -123,10 +123,10 @@ def _windows(rows: DataFrame, length: int, filters) -> DataFrame:
                 digests = [
                     None if some[i] else hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).hexdigest() for i in range(end - first)]
                 place = (at - np.repeat(bounds[:-1], np.diff(cut))).astype(np.int32)
-                kept = pa.compute.if_else(pa.array(some), texts.slice(first, end - first), pa.scalar(None, texts.type))
+                kept = pa.array([texts[first + i].as_py() if some[i] else None for i in range(end - first)], pa.string())
                 yield pa.RecordBatch.from_arrays([
                     batch.column("rid").slice(first, end - first), batch.column("doc_id").slice(first, end - first),
-                    pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.string()), kept.cast(pa.string()),
+                    pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.string()), kept,
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(place)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h)),
                 ], ["rid", "doc_id", "n_words", "kept_sha256", "text", "at", "h"])
 
