@@ -205,31 +205,38 @@ def _udf(path: str, pattern: str, kind: str, make):
     return run
 
 
-def encode_column(df: DataFrame, text_col: str = "text", out: str = "tokens", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Add ``out``: struct of ``ids``, ``starts`` and ``ends`` (character offsets), arrays of int, of the whole text.
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)))
+
+
+def encode_column(
+    df: DataFrame, text_col: str = "text", out: str = "tokens", path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = True,
+) -> DataFrame:
+    """Add ``out``: struct of ``ids`` and, with ``offsets``, of ``starts`` and ``ends`` (characters), arrays of int, of the whole text.
 
     ``path``: a rank file (base64 of the bytes, rank) on the driver; executors get the vocabulary with the code, not the
     file.  Null counts as empty and gives empty arrays.  Rows stay where they are: no shuffle.  A column named ``out`` is
     replaced, all others stay.  Empty tables give no rows.
     """
-    kind = pa.struct([(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")])
+    names = ["ids", "starts", "ends"] if offsets else ["ids"]
 
     def make(own: Codec, array: pa.Array) -> pa.Array:
-        rows = []
+        columns: list[list[np.ndarray]] = [[] for _ in names]
         for value in array:
             text = value.as_py()
             ids = own.encode(text)
-            starts, ends = own.offsets(ids, text)
-            rows.append({"ids": ids, "starts": starts, "ends": ends})
-        return pa.array(rows, kind)
+            for column, part in zip(columns, (ids, *own.offsets(ids, text)) if offsets else (ids,)):
+                column.append(part)
+        return pa.StructArray.from_arrays([_lists(c) for c in columns], names)
 
-    udf = _udf(path or public_tokenizers.path(RANKS), pattern, "struct<ids:array<int>,starts:array<int>,ends:array<int>>", make)
+    udf = _udf(path or public_tokenizers.path(RANKS), pattern, f"struct<{','.join(n + ':array<int>' for n in names)}>", make)
     return df.withColumn(out, udf(F.col(f"`{text_col}`")))
 
 
 def decode_column(df: DataFrame, ids_col: str, out: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add ``out``: the bytes of the ids (binary; null for null).  Bytes, since ids of a part of a text can start or end inside a character."""
-    make = lambda own, array: pa.array([None if v.as_py() is None else own.decode(v.as_py()) for v in array], pa.binary())
+    make = lambda own, array: pa.array([own.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in array], pa.binary())
     return df.withColumn(out, _udf(path or public_tokenizers.path(RANKS), pattern, "binary", make)(F.col(f"`{ids_col}`")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.bytetext import U, byte_values, mixed, pieces, word_hashes, words
+from ledgerlens.llm.order import packed
 
 BUCKETS = 1 << 18
 GRAMS = (3, 5)
@@ -185,5 +186,11 @@ def classify(
         .withColumn("predicted", (F.col(score) >= threshold).cast("int")))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, whole and in their own columns, that the classifier does not reject."""
+    rows = docs.select(packed(docs), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return classify(rows, labels, **options).where("predicted = 1").select("row.*")
+
+
 def op10_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return classify(documents.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
