@@ -16,7 +16,7 @@ from ledgerlens.session import written
 
 LENGTH = 50
 SHORTEST = 20
-BITS_PER_HASH = 16
+BITS_PER_HASH, PROBES = 64, 3
 MAX_FILTER_BITS = 2**28  # 32 MB at most for a task; a fuller filter lets more windows through, never fewer
 BITMAP = 32_768
 NO_ID = 2**63 - 1  # a null id comes after every other
@@ -31,35 +31,47 @@ def levels(length: int, shortest: int = SHORTEST) -> list[int]:
 
 
 class Filter:
-    """Bloom filter (one bit per hash) of the window hashes of a level that occur in two documents or more."""
+    """Bloom filter of the window hashes of a level that occur in two documents or more."""
 
     def __init__(self, size: int, bits: np.ndarray) -> None:
-        self.size, self.bits, self.n = size, bits, U(len(bits) * 8)
+        self.size, self.bits, self.mask = size, bits, U(len(bits) * 8 - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes % self.n
-        return (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        found = np.ones(len(hashes), bool)
+        for k in range(PROBES):
+            at = (hashes >> U(16 * k)) & self.mask
+            found &= (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def _least(hashes: np.ndarray, length: int, size: int) -> tuple[np.ndarray, int]:
+    """Least hash of the ``size``-word windows in one half of a ``length``-word window, by the first of them; and how many
+    words further those of the other half begin."""
+    inside = length - size + 1
+    half = (inside + 1) // 2
+    return sliding_min(window_hashes(hashes, size), half), inside - half
 
 
 def _surviving(data, offsets, length, filters):
     """Hashes of the words, their bounds by text, and whether the window of ``length`` words from each word on may be repeated.
 
-    At each level a window stands or falls with the least hash of the shorter windows in it: the choice depends on its
-    words alone, so it is the same in every document that has the window.
+    At each level a window survives if in both its halves the shorter window of the least hash is repeated.  That choice
+    depends on its words alone, so it is the same in every document that has the window.
     """
     starts, ends, bounds = words(data, offsets)
     hashes = word_hashes(data, starts, ends)
     alive = window_starts(bounds, length)
     for f in filters:
         if alive.any():
-            least = sliding_min(window_hashes(hashes, f.size), length - f.size + 1)
+            least, further = _least(hashes, length, f.size)
             at = np.flatnonzero(alive)
-            alive[at] = f.has(least[at])
+            known = f.has(least)
+            alive[at] = known[at] & known[at + further]
     return starts, ends, bounds, hashes, alive
 
 
 def _level_hashes(rows: DataFrame, length: int, size: int, filters) -> DataFrame:
-    """(h, id) of the least ``size``-word window of every surviving ``length``-word window, runs of equal ones once."""
+    """(h, id) of the ``size``-word windows that decide on surviving ``length``-word windows, runs of equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,8 +81,11 @@ def _level_hashes(rows: DataFrame, length: int, size: int, filters) -> DataFrame
                 at = np.flatnonzero(alive)
                 if not len(at):
                     continue
-                least = sliding_min(window_hashes(hashes, size), length - size + 1)[at]
-                text = np.searchsorted(bounds, at, "right") - 1
+                least, further = _least(hashes, length, size)
+                used = np.zeros(len(least), bool)
+                used[at] = used[at + further] = True
+                at = np.flatnonzero(used)
+                least, text = least[at], np.searchsorted(bounds, at, "right") - 1
                 new = np.ones(len(at), bool)
                 new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
                 yield pa.RecordBatch.from_arrays(
@@ -91,7 +106,8 @@ def _filter(repeated: DataFrame, size: int, max_bits: int) -> Filter | None:
     if not n:
         return None
     bits = min(max_bits, max(BITMAP, 2 ** math.ceil(math.log2(n * BITS_PER_HASH))))
-    at = repeated.select(F.pmod("h", F.lit(bits)).alias("at"))  # bits divides 2^64, so signed and unsigned agree
+    probes = [F.shiftrightunsigned("h", 16 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]  # as Filter.has
+    at = repeated.select(F.explode(F.array(*probes)).alias("at"))
     maps = at.groupBy(F.expr(f"at div {BITMAP}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(at % {BITMAP})").alias("bits"))
     table = np.zeros(bits // 8, np.uint8)
     for bucket, part in maps.toLocalIterator():
