@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 U = np.uint64
 
 
@@ -77,7 +77,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 2 * len(self.up))
             self.up = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, self.base, U)]))
             self.down = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, self.inverse, U)]))
         return self.up[:n], self.down[:n]
@@ -95,7 +95,15 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: in
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hash(byte_values(seed)[data], starts, ends, seed & 1)
+    """Hash of every word; long texts are worked through in runs of words, so that memory stays small."""
+    found = []
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES, "right")))
+        low = starts[at]
+        found.append(span_hash(byte_values(seed)[data[low : ends[end - 1]]], starts[at:end] - low, ends[at:end] - low, seed & 1))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, U)
 
 
 def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
