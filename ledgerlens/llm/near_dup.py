@@ -96,62 +96,80 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", _alike("ha", "hb").alias("like")).where(F.col("like") >= THRESHOLD - MARGIN)
 
 
-def _bucket_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs to verify from buckets (bucket, rid); the estimate has been taken into account.
-
-    A bucket of up to BUCKET members compares all pairs.  A larger one compares all members with a leader, the one that
-    meets most others in its buckets; members that are not like the leader have the next leader compared with them, until
-    no more than BUCKET are left, which compare all pairs.  So pairs grow in proportion to the members and to the number of
-    different kinds of text in a bucket, not with its square.
-    """
+def _buckets(signatures: DataFrame, depths: range) -> DataFrame:
+    """(bucket, rid, size) of every prefix of these lengths in every tree that two rows or more share."""
+    prefix = [F.xxhash64(F.lit(t), F.lit(d), F.slice("hashes", t * DEPTH + 1, d)) for t in range(TREES) for d in depths]
+    members = signatures.select("rid", F.explode(F.array(*prefix)).alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(members.join(sizes, "bucket"), "near-buckets")
-    found = []
+    return written(members.join(sizes, "bucket"), "near-buckets")
 
-    def all_pairs(small: DataFrame) -> DataFrame:
-        left, right = small.select("bucket", F.col("rid").alias("a")), small.select("bucket", F.col("rid").alias("b"))
-        return left.join(right, "bucket").where("a < b").select("a", "b")
 
-    found.append(_estimated(all_pairs(met.where(F.col("size") <= BUCKET)).distinct(), signatures))
-    fame = met.groupBy("rid").agg(F.sum("size").alias("fame"))
-    rest = written(met.where(F.col("size") > BUCKET).select("bucket", "rid").join(fame, "rid"), "near-large")
+def _all_pairs(small: DataFrame) -> DataFrame:
+    """Pairs of rows that share a bucket of at most BUCKET rows."""
+    left, right = small.select("bucket", F.col("rid").alias("a")), small.select("bucket", F.col("rid").alias("b"))
+    return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
+
+
+def _led_pairs(large: DataFrame, met: DataFrame, signatures: DataFrame) -> list[DataFrame]:
+    """Pairs from buckets of more than BUCKET rows: all rows against a leader, the one that meets most others in its buckets.
+    Rows that are not like the leader get the next leader, until no more than BUCKET are left, which meet in all pairs.
+    So pairs grow with the rows and the kinds of text in a bucket, not with its square."""
+    found = []
+    rest = written(large.select("bucket", "rid").join(met.groupBy("rid").agg(F.sum("size").alias("fame")), "rid"), "near-large")
     while not rest.isEmpty():
         leaders = rest.groupBy("bucket").agg(F.max(F.struct("fame", "rid")).alias("top"), F.count("*").alias("size"))
         led = rest.join(leaders.select("bucket", F.col("top.rid").alias("leader"), "size"), "bucket")
-        small = led.where(F.col("size") <= BUCKET)
-        found.append(_estimated(all_pairs(small).distinct(), signatures))
+        found.append(_estimated(_all_pairs(led.where(F.col("size") <= BUCKET)), signatures))
         ordered = led.where((F.col("size") > BUCKET) & (F.col("rid") != F.col("leader")))
         ordered = written(ordered.select("bucket", "rid", "fame", F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")), "near-led")
         like = written(_estimated(ordered.select("a", "b").distinct(), signatures), "near-like")
         found.append(like)
         rest = written(ordered.join(like, ["a", "b"], "left_anti").select("bucket", "rid", "fame"), "near-large")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return written(out.groupBy("a", "b").agg(F.max("like").alias("like")), "near-pairs")
+    return found
 
 
-def _recall(pairs: DataFrame, depth: int) -> float:
-    """Estimated share of the pairs over the threshold that the forest meets at prefixes of ``depth`` hashes: each found pair
-    stands for 1 / (chance that it was found) pairs of its similarity."""
+def _recalls(pairs: DataFrame) -> dict[int, float]:
+    """For each prefix length the estimated share of the pairs over the threshold that the forest meets: a pair found at
+    DEPTH stands for 1 / (chance that it was found) pairs of its similarity."""
     s = F.greatest("like", F.lit(THRESHOLD))
-    chance = 1 - F.pow(1 - F.pow(s, depth), F.lit(TREES))
-    n, stand = pairs.where(F.col("like") >= THRESHOLD).agg(F.count("*"), F.sum(1 / chance)).first()
-    return n / stand if n else 0.0
+    chance = lambda d: 1 - F.pow(1 - F.pow(s, d), F.lit(TREES))
+    depths = range(SHORTEST, DEPTH + 1)
+    total, *met = pairs.where(F.col("like") >= THRESHOLD).agg(
+        F.sum(1 / chance(DEPTH)), *[F.sum(chance(d) / chance(DEPTH)) for d in depths]).first()
+    return {d: m / total if total else 0.0 for d, m in zip(depths, met)}
 
 
 def candidate_pairs(signatures: DataFrame, recall: float = RECALL) -> DataFrame:
-    """LSH forest: every tree sorts the rows by DEPTH hashes; rows that share a prefix meet.
+    """LSH forest: every tree sorts the rows by DEPTH hashes; rows that share a prefix meet.  Pairs (a, b) that the estimated
+    similarity does not exclude.
 
-    Prefixes are shortened one hash at a time, from DEPTH on, until the estimated recall reaches ``recall`` (or SHORTEST).
+    All rows first meet at the longest prefixes.  From the similarities found the prefix length is taken at which the
+    expected recall reaches ``recall`` (at least SHORTEST), and rows meet again at that length.  Where a branch is dense,
+    with more than BUCKET rows under a prefix, the prefix stays longer: its rows meet at the lengths between at which the
+    branch is small, and at full length, where they are led (see _led_pairs).
     """
-    for depth in range(DEPTH, SHORTEST - 1, -1):
-        prefix = [F.xxhash64(F.lit(t), F.slice("hashes", t * DEPTH + 1, depth)) for t in range(TREES)]
-        members = signatures.select("rid", F.explode(F.array(*prefix)).alias("bucket"))
-        pairs = _bucket_pairs(members, signatures)
-        if depth == SHORTEST or _recall(pairs, depth) >= recall:
-            return pairs
-    raise AssertionError
+    met = _buckets(signatures, range(DEPTH, DEPTH + 1))
+    found = [_estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures)]
+    found += _led_pairs(met.where(F.col("size") > BUCKET), met, signatures)
+    first = written(_union(found), "near-pairs")
+    enough = [d for d, r in _recalls(first).items() if r >= recall]
+    depth = max(enough, default=SHORTEST)
+    if depth == DEPTH:
+        return first
+    met = _buckets(signatures, range(depth, depth + 1))
+    more = [first, _estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures)]
+    dense = met.where(F.col("size") > BUCKET).select("rid").distinct()
+    if depth + 1 < DEPTH and not dense.isEmpty():
+        between = _buckets(signatures.join(dense, "rid"), range(depth + 1, DEPTH))
+        more.append(_estimated(_all_pairs(between.where(F.col("size") <= BUCKET)), signatures))
+    return written(_union(more), "near-pairs")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
 def components(edges: DataFrame) -> DataFrame:
