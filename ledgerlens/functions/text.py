@@ -28,7 +28,10 @@ def match_expression(text: str | Column) -> Column:
 
 
 def lines_of(text: str | Column) -> Column:
-    return F.split(_c(text), "\r\n|\r|\n")
+    """Lines without their ends; the end of the last line starts no further line, and an empty text has none."""
+    t = _c(text)
+    cut = F.split(F.regexp_replace(t, r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(cut)
 
 
 def collapse_spaces(text: str | Column) -> Column:

@@ -191,7 +191,7 @@ def even_positions(df: DataFrame, keys: Sequence[str], position: str, m: int) ->
     """Sampling operator: rows at round(i (n-1)/(m-1)), i = 0..m-1 (half to even), all rows when n <= m."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     j = df.join(n, list(keys))
-    step = (F.col("_n") - 1) / (m - 1)
+    step = (F.col("_n") - 1) / max(1, m - 1)
     near = F.round((F.col(position) - 1) / step).cast("bigint")
     picks = [F.bround(i * step, 0).cast("bigint") for i in range(m)]
     keep = (F.col("_n") <= m) | F.array_contains(F.array(*picks), (F.col(position) - 1).cast("bigint"))

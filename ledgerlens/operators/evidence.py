@@ -78,13 +78,14 @@ def render_ranges(ranges: DataFrame, lines: DataFrame, key: str) -> DataFrame:
 
 
 def fetch_evidence(refs: DataFrame, event_sources: DataFrame, lines: DataFrame, files: DataFrame, context: int = 8,
-                   max_lines: int = K.MAX_FETCH_LINES, allow_mismatch: bool = False) -> DataFrame:
+                   max_lines: int | None = None, allow_mismatch: bool = False) -> DataFrame:
     """Fetch cited ranges and verify them against the registered and the current hash.
 
     refs: (ref_id, event_id, path, start_line, end_line, expected_sha256).  One status per
-    reference; text is withheld unless the hashes match (or ``allow_mismatch``).
+    reference; text is withheld unless the hashes match (or ``allow_mismatch``).  ``context`` lines are added on both
+    sides; with ``max_lines`` longer ranges are refused with a reason, without it none is.
     """
-    context = max(0, min(context, K.MAX_CONTEXT_LINES))
+    context = max(0, context)
     reg = (
         event_sources.where("source_sha256 IS NOT NULL AND source_sha256 <> ''")
         .select(F.col("event_id").alias("_e"), F.col("source_path").alias("_p"), F.col("source_sha256").alias("_h")).distinct())
@@ -111,7 +112,7 @@ def fetch_evidence(refs: DataFrame, event_sources: DataFrame, lines: DataFrame,
         .when(c("_hash_known").isNull(), "expected_sha256 is not registered for this source")
         .when(unsafe_path("path"), "access to this path is denied")
         .when(c("current_sha256").isNull(), "source file not found")
-        .when(c("asked_end") - c("first_line") + 1 > max_lines, "invalid or excessive fetch range")
+        .when(c("asked_end") - c("first_line") + 1 > F.lit(max_lines).cast("bigint"), "invalid or excessive fetch range")
         .when(c("current_sha256") != c("expected_sha256"), "source content hash does not match the registered revision"))
     j = (
         j.withColumn("reason", F.coalesce(reason, F.lit("")))

@@ -63,7 +63,7 @@ def merge_variants(hits: DataFrame, key: str, score: str, weight: str = "weight"
     return best.select("qid", key, f"b.{score}", "b.variant")
 
 
-def expand_queries(queries: DataFrame, rules: Sequence[dict], max_variants: int = 3) -> DataFrame:
+def expand_queries(queries: DataFrame, rules: Sequence[dict], max_variants: int) -> DataFrame:
     """Query variants: the original plus alias rules whose every group has a trigger in the query.
 
     rules: configuration, each {name, weight, groups: list of trigger lists, terms}.  The rules become
@@ -148,7 +148,7 @@ def latest(events: DataFrame, k: int) -> DataFrame:
     """Newest records first; reference documents excluded (top-k report, TakeOrdered plan)."""
     return (
         events.where(F.col("event_type") != K.REFERENCE_EVENT_TYPE).withColumn("recency", recency_key())
-        .orderBy(F.desc_nulls_last("recency"), F.desc("event_id")).limit(max(1, min(k, 100))))
+        .orderBy(F.desc_nulls_last("recency"), F.desc("event_id")).limit(k))
 
 
 def exact_event(queries: DataFrame, events: DataFrame) -> DataFrame:

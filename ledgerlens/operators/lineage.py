@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +19,8 @@ def check_amendments(amendments: DataFrame, payloads: DataFrame) -> DataFrame:
 
     amendments: position, amendment_id, target_id, pointer, status, recorded_value, corrected_value;
     payloads: record_id, k, value (original payload fields).  The recorded value must equal the value
-    left by the previous amendment of the same field; the chain is read with a two-level lag, so a
-    record with very many amendments is not sorted in one task.
+    left by the previous amendment of the same field, which may be null; the chain is read with a
+    two-level lag, so a record with very many amendments is not sorted in one task.
     """
     a = amendments.withColumn("k", X.amendment_key("pointer"))
     orig = payloads.select(F.col("record_id").alias("target_id"), "k", F.col("value").alias("_original"), F.lit(True).alias("_present"))
@@ -25,23 +29,29 @@ def check_amendments(amendments: DataFrame, payloads: DataFrame) -> DataFrame:
         F.when(F.col("status") != "completed", "only completed amendments can affect a resolved view")
         .when(F.col("k").isNull(), "amendment path must target one payload field")
         .when(F.col("_present").isNull(), "target payload field is absent"))
-    a = a.withColumn("_form", form).withColumn("_ok", F.when(F.col("_form").isNull(), F.col("corrected_value")))
+    a = a.withColumn("_form", form).withColumn("_ok", F.when(F.col("_form").isNull(), F.struct(F.col("corrected_value").alias("v"))))
     a = scale.last_known(a, ["target_id", "k"], "position", {"_before": F.col("_ok")})
-    current = F.coalesce("_before", "_original")
+    current = F.when(F.col("_before").isNotNull(), F.col("_before.v")).otherwise(F.col("_original"))
     problem = F.coalesce("_form", F.when(~current.eqNullSafe(F.col("recorded_value")), "recorded value does not match current resolved value"))
     return a.withColumn("problem", problem).drop("_original", "_present", "_form", "_ok", "_before")
 
 
 def resolve_amendments(checked: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Current value per payload field; ``blocked`` where any amendment of the field has a problem (fail closed)."""
+    """Current value per payload field; ``blocked`` for all fields of a record one of whose amendments has a problem, also a
+    malformed pointer or an absent field (fail closed).  A field corrected to null is null."""
     per = checked.where("k IS NOT NULL").groupBy(F.col("target_id").alias("record_id"), "k").agg(
-        F.max_by("corrected_value", "position").alias("_last"), F.count(F.when(F.col("problem").isNull(), 1)).alias("n_applied"),
-        F.count("problem").alias("n_problems"))
-    j = payloads.join(per, ["record_id", "k"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+        F.max_by(F.struct(F.col("corrected_value").alias("v")), "position").alias("_last"), F.count(F.when(F.col("problem").isNull(), 1)).alias("n_applied"))
+    bad = checked.where("problem IS NOT NULL").select(F.col("target_id").alias("record_id")).distinct().withColumn("_bad", F.lit(True))
+    j = payloads.join(per, ["record_id", "k"], "left").join(bad, "record_id", "left")
+    value = F.when(F.col("_last").isNotNull(), F.col("_last.v")).otherwise(F.col("value"))
+    blocked = F.coalesce("_bad", F.lit(False))
     return j.select(
-        "record_id", "k", F.when(z("n_problems") > 0, F.lit(None)).otherwise(F.coalesce("_last", "value")).alias("current_value"),
-        z("n_applied").alias("n_applied"), (z("n_problems") > 0).alias("blocked"))
+        "record_id", "k", F.when(~blocked, value).alias("current_value"), F.coalesce("n_applied", F.lit(0)).alias("n_applied"), blocked.alias("blocked"))
+
+
+def absent_targets(checked: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Records that amendments name but that do not exist: they are blocked, too."""
+    return checked.select(F.col("target_id").alias("record_id")).distinct().join(payloads.select("record_id"), "record_id", "left_anti")
 
 
 def check_ranges(corrections: DataFrame, originals: DataFrame) -> DataFrame:
@@ -116,29 +126,37 @@ def with_direct_provenance(primary: DataFrame, references: DataFrame, events: Da
         .groupBy("qid", "event_id").agg(F.min("hop").alias("hop")))
 
 
-def json_leaves(df: DataFrame, id_col: str, body: str, depth: int = 4) -> DataFrame:
-    """Scalar leaves of a JSON document: (id, path, key, ancestors, value), nested objects and arrays opened
-    ``depth`` times; deeper values stay as JSON text in the last leaf, so nothing is lost."""
-    spark = df.sparkSession
-    level = df.select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.lit("").alias("key"), F.lit("").alias("ancestors"), F.try_parse_json(body).alias("v"))
-    done = None
-    for step in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = level.where(~nested)
-        done = leaves if done is None else done.unionByName(leaves)
-        opened = level.where(nested)
-        as_map = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.transform(
-            F.map_entries(F.try_variant_get("v", "$", "map<string, variant>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x"))
-        )).otherwise(F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.lit("").alias("k"), x.alias("x"))))
-        level = opened.select(
-            "id", "path", "key", "ancestors", F.explode(as_map).alias("e")
-        ).select(
-            "id", F.concat("path", F.lit("/"), F.col("e.k")).alias("path"),
-            F.when(F.col("e.k") == "", F.col("key")).otherwise(F.col("e.k")).alias("key"),
-            F.concat("ancestors", F.lit("/"), F.lower("key")).alias("ancestors"), F.col("e.x").alias("v"))
-    out = done.unionByName(level)
-    return out.select("id", "path", "key", "ancestors", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+def _leaves(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Scalar leaves of each JSON text, walked with a stack, so that no depth is too deep; numbers keep their text."""
+    for series in bodies:
+        out = []
+        for body in series:
+            try:
+                stack = [("", "", "", json.loads(body, parse_float=str, parse_int=str))] if body is not None else []
+            except (ValueError, RecursionError):
+                stack = []
+            found = []
+            while stack:
+                path, key, ancestors, v = stack.pop()
+                below = f"{ancestors}/{key.lower()}"
+                if isinstance(v, dict):
+                    stack += [(f"{path}/{k}", k or key, below, x) for k, x in reversed(v.items())]
+                elif isinstance(v, list):
+                    stack += [(f"{path}/", key, below, x) for x in reversed(v)]
+                else:
+                    text = {None: "null", True: "true", False: "false"}[v] if v is None or isinstance(v, bool) else v
+                    found.append({"path": path, "key": key, "ancestors": ancestors, "value": text})
+            out.append(found)
+        yield pd.Series(out)
+
+
+def json_leaves(df: DataFrame, id_col: str, body: str) -> DataFrame:
+    """Scalar leaves of a JSON document at any depth: (id, path, key, ancestors, value).
+
+    One pass: the text is parsed and walked inside its row.  Unreadable texts and empty containers have no leaves.
+    """
+    walk = F.pandas_udf(_leaves, "array<struct<path:string,key:string,ancestors:string,value:string>>")
+    return df.select(F.col(id_col).alias("id"), F.explode(walk(F.col(body))).alias("e")).select("id", "e.*")
 
 
 def metric_leaves(leaves: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def paragraph_chunks(text: str, first_line: int, size: int, sample: int | None)
     chunks = list(_fill(_prose(text, first_line, size), size, " "))
     if sample is None or len(chunks) <= sample:
         return chunks
-    picks = {round(i * (len(chunks) - 1) / (sample - 1)) for i in range(sample)}
+    picks = {round(i * (len(chunks) - 1) / max(1, sample - 1)) for i in range(sample)}
     return [c for i, c in enumerate(chunks) if i in picks]
 
 

@@ -55,12 +55,17 @@ def titled_summary() -> Column:
                        line("Status", F.col("status")), F.concat(F.lit("Summary: "), F.coalesce("summary", F.lit(""))))
 
 
-def allowlisted_text() -> Column:
-    """Six named fields; the lengths 500/200/3000 are the field limits of this text form."""
-    cut = lambda c, n: F.substring(F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit(""))), 1, n)
-    title = F.coalesce(F.nullif(cut(F.col("heading"), 500), F.lit("")), cut(F.col("event_id"), 500))
-    fields = [("Title", title), ("Event type", cut(F.col("event_type"), 200)), ("Status", cut(F.col("status"), 200)),
-              ("Project", cut(F.col("project"), 500)), ("Workstream", cut(F.col("workstream"), 500)), ("Summary", cut(F.col("summary"), 3000))]
+def allowlisted_text(limits: tuple[int, int, int] | None = None) -> Column:
+    """Six named fields, whole; ``limits`` cuts name fields, type and status, and the summary to so many characters."""
+    name, kind, long = limits or (None, None, None)
+
+    def cut(c: Column, n: int | None) -> Column:
+        clean = F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit("")))
+        return clean if n is None else F.substring(clean, 1, n)
+
+    title = F.coalesce(F.nullif(cut(F.col("heading"), name), F.lit("")), cut(F.col("event_id"), name))
+    fields = [("Title", title), ("Event type", cut(F.col("event_type"), kind)), ("Status", cut(F.col("status"), kind)),
+              ("Project", cut(F.col("project"), name)), ("Workstream", cut(F.col("workstream"), name)), ("Summary", cut(F.col("summary"), long))]
     return F.concat_ws("\n", *[F.when(v != "", F.concat(F.lit(f"{n}: "), v)) for n, v in fields])
 
 

@@ -58,7 +58,7 @@ def anchor_score(lowered: str, lowered_query: str, terms: str) -> Column:
     return score - F.when(has('"integrity"') & ~core, 10.0).otherwise(0.0)
 
 
-def rerank_anchor(queries: DataFrame, hits: DataFrame, passages: DataFrame, limit: int = 5) -> DataFrame:
+def rerank_anchor(queries: DataFrame, hits: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
     """Passages of anchored events by role score; ``limit`` per (query, event).
 
     hits: qid, event_id, score; passages: event_id, passage_id, start_line, end_line, content.
@@ -88,7 +88,7 @@ def audit_score(lowered: str, lowered_query: str, exact: str, concepts: str) ->
     return score - F.when(tail, 22.0).otherwise(0.0)
 
 
-def rerank_audit(queries: DataFrame, hits: DataFrame, passages: DataFrame, k: int, events: int = 5, per_event: int = 3) -> DataFrame:
+def rerank_audit(queries: DataFrame, hits: DataFrame, passages: DataFrame, k: int, events: int, per_event: int) -> DataFrame:
     """Audit passages: best ``events`` audit-like events per query, ``per_event`` passages each, top k.
 
     hits: qid, event_id, path, heading, score.
@@ -138,7 +138,7 @@ def stage_order(date: str, event_id: str) -> dict[str, Column]:
     }
 
 
-def metric_anchors(queries: DataFrame, events: DataFrame, limit: int = 5) -> DataFrame:
+def metric_anchors(queries: DataFrame, events: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` events, in stage order, whose id carries a round (and version, when named) a metric query asks for.
 
     events: event_id, date.  The first events per (round, version) are picked before the join, so a

@@ -36,7 +36,7 @@ def _ledger_json(spark, d):
 def _written_ledger(spark, d):
     root = new_folder(spark, "ledger")
     rows = _ledger_json(spark, d)
-    rows.repartition("date").sortWithinPartitions("date", "position").select("date", "value").write.partitionBy("date").text(f"{root}/daily")
+    rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "position").select("date", "value").write.partitionBy("date").text(f"{root}/daily")
     return root
 
 
@@ -78,7 +78,7 @@ def a4(spark, d):
 CTES["manifest_refs"] = """SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'pages/none/'||page_id||'.html' ELSE 'docs/'||source||'/'||doc_id||'.txt' END AS path,
   CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN sha256('old'||page_id) ELSE sha256(text) END AS expected_sha256,
   CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'Page '||page_id END AS title, 'Ref / '||page_id||'?' AS key, url AS source_url,
-  NULL::VARCHAR AS role, 'html' AS kind FROM pages JOIN documents ON doc_id = page_id"""
+  NULL::VARCHAR AS role, 'html' AS kind FROM pages JOIN files ON doc_id = page_id"""
 
 
 def manifest_refs(spark, d):
@@ -400,7 +400,7 @@ def c3(spark, d):
 @query("c4_retrieval_text", """
 SELECT event_id, 'Title: '||heading||chr(10)||'Event type: '||event_type||chr(10)||'Status: '||status||chr(10)||'Summary: '||summary AS titled,
  concat_ws(chr(10), 'Title: '||heading, 'Event type: '||event_type, 'Status: '||status, 'Project: '||project, 'Workstream: '||workstream,
-  CASE WHEN trim(summary) <> '' THEN 'Summary: '||left(trim(summary), 3000) END) AS fields,
+  CASE WHEN trim(summary) <> '' THEN 'Summary: '||trim(summary) END) AS fields,
  'Title: '||heading||chr(10)||'Event type: '||event_type||chr(10)||'Status: '||status||chr(10)||'Summary: '||summary||chr(10)||'observed: '||date AS detailed FROM ledger_events""")
 def c4(spark, d):
     return T.events(spark, d).select(
@@ -548,7 +548,7 @@ def e5(spark, d):
 
 CTES["fetched"] = """SELECT r.ref_id, r.claim_id, r.event_id, r.path, r.start_line, r.end_line, r.expected_sha256, f.sha256 AS current_sha256, n,
   greatest(1, r.start_line - 2) AS first_line, least(r.end_line + 2, n) AS last_line, f.sha256 = r.expected_sha256 AS verified
-  FROM evidence_refs r JOIN (SELECT path, sha256, len(string_split(text, chr(10)))::BIGINT AS n FROM files) f ON f.path = r.path"""
+  FROM evidence_refs r JOIN (SELECT path, sha256, len(string_split(regexp_replace(text, chr(10)||'$', ''), chr(10)))::BIGINT AS n FROM files) f ON f.path = r.path"""
 
 
 @query("e6_fetch_evidence", """
@@ -558,7 +558,7 @@ SELECT f.ref_id, f.event_id, f.path, f.start_line, f.end_line, f.current_sha256,
  sha256(string_agg(l.line_no||': '||l.text, chr(10) ORDER BY l.line_no)) AS content_sha256, count(l.line_no) AS n_lines
 FROM fetched f LEFT JOIN source_lines l ON f.verified AND l.path = f.path AND l.line_no BETWEEN f.first_line AND f.last_line GROUP BY ALL""")
 def e6(spark, d):
-    out = E.fetch_evidence(T.evidence_refs(spark, d), T.event_sources(spark, d), T.source_lines(spark, d), T.files(spark, d), context=2)
+    out = E.fetch_evidence(T.evidence_refs(spark, d), T.event_sources(spark, d), T.source_lines(spark, d), T.files(spark, d), context=2, max_lines=K.MAX_FETCH_LINES)
     return out.select("ref_id", "event_id", "path", "start_line", "end_line", "current_sha256", "first_line", "last_line", "verified", "reason", "integrity_status",
                       F.sha2("content", 256).alias("content_sha256"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
@@ -630,10 +630,10 @@ def e12(spark, d):
 
 
 CTES["passages"] = """SELECT s.event_id, s.source_ordinal, s.source_path, s.heading, s.source_sha256, s.line_start, s.line_end, e.position,
-  array_to_string(string_split(f.text, chr(10))[s.line_start:s.line_end], chr(10)) AS content
+  array_to_string(string_split(regexp_replace(f.text, chr(10)||'$', ''), chr(10))[s.line_start:s.line_end], chr(10)) AS content
   FROM event_sources s JOIN (SELECT DISTINCT source_path, source_sha256 FROM registry) r ON r.source_path = s.source_path AND r.source_sha256 = s.source_sha256
   JOIN files f ON f.path = s.source_path AND f.sha256 = s.source_sha256 JOIN ledger_events e ON e.event_id = s.event_id
-  WHERE s.line_end <= len(string_split(f.text, chr(10))) AND trim(regexp_replace(array_to_string(string_split(f.text, chr(10))[s.line_start:s.line_end], chr(10)), '\\s+', '', 'g')) <> ''"""
+  WHERE s.line_end <= len(string_split(regexp_replace(f.text, chr(10)||'$', ''), chr(10))) AND trim(regexp_replace(array_to_string(string_split(regexp_replace(f.text, chr(10)||'$', ''), chr(10))[s.line_start:s.line_end], chr(10)), '\\s+', '', 'g')) <> ''"""
 
 
 @query("j1_registered_passages", "SELECT event_id, source_ordinal, line_start, line_end, sha256(content) AS content_sha256 FROM passages")
@@ -657,9 +657,10 @@ def e14(spark, d):
 
 # --- K, L ---------------------------------------------------------------------------------------
 CTES["checked"] = """SELECT a.*, p.k, CASE WHEN status <> 'completed' THEN 'only completed amendments can affect a resolved view' WHEN p.k IS NULL THEN 'target payload field is absent'
-  WHEN coalesce(last_value(CASE WHEN status = 'completed' AND p.k IS NOT NULL THEN corrected_value END IGNORE NULLS) OVER (PARTITION BY target_id, a.pointer ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p.value)
-   <> recorded_value THEN 'recorded value does not match current resolved value' END AS problem
-  FROM amendments a LEFT JOIN payloads p ON p.record_id = a.target_id AND '/payload/'||p.k = a.pointer"""
+  WHEN CASE WHEN bool_or(status = 'completed' AND p.k IS NOT NULL) OVER w THEN (last_value(CASE WHEN status = 'completed' AND p.k IS NOT NULL THEN {'v': corrected_value} END IGNORE NULLS) OVER w).v ELSE p.value END
+   IS DISTINCT FROM recorded_value THEN 'recorded value does not match current resolved value' END AS problem
+  FROM amendments a LEFT JOIN payloads p ON p.record_id = a.target_id AND '/payload/'||p.k = a.pointer
+  WINDOW w AS (PARTITION BY target_id, a.pointer ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 @query("k1_check_amendments", "SELECT amendment_id, target_id, problem FROM checked")
@@ -667,9 +668,10 @@ def k1(spark, d):
     return L.check_amendments(T.amendments(spark, d), T.payloads(spark, d)).select("amendment_id", "target_id", "problem")
 
 
-CTES["resolved"] = """SELECT p.record_id, p.k, CASE WHEN coalesce(np, 0) > 0 THEN NULL ELSE coalesce(lastv, p.value) END AS current_value, coalesce(na, 0) AS n_applied, coalesce(np, 0) > 0 AS blocked, p.value
-  FROM payloads p LEFT JOIN (SELECT target_id, replace(pointer, '/payload/', '') AS kk, arg_max(corrected_value, position) AS lastv, count(*) FILTER (problem IS NULL) AS na, count(problem) AS np FROM checked GROUP BY ALL) c
-  ON c.target_id = p.record_id AND c.kk = p.k"""
+CTES["resolved"] = """SELECT p.record_id, p.k, CASE WHEN b.target_id IS NOT NULL THEN NULL WHEN c.target_id IS NOT NULL THEN (lastv).v ELSE p.value END AS current_value,
+   coalesce(na, 0) AS n_applied, b.target_id IS NOT NULL AS blocked, p.value
+  FROM payloads p LEFT JOIN (SELECT target_id, replace(pointer, '/payload/', '') AS kk, arg_max({'v': corrected_value}, position) AS lastv, count(*) FILTER (problem IS NULL) AS na FROM checked GROUP BY ALL) c
+  ON c.target_id = p.record_id AND c.kk = p.k LEFT JOIN (SELECT DISTINCT target_id FROM checked WHERE problem IS NOT NULL) b ON b.target_id = p.record_id"""
 
 
 @query("k1_resolve_amendments", "SELECT record_id, k, current_value, n_applied, blocked FROM resolved")

@@ -183,8 +183,9 @@ SELECT newest, max(score) AS best_score, max(score) FILTER (vec_id = newest) AS
 def f22(spark, d):
     rows = vec_rows(spark, d)
     newest = rows.agg(F.max_by(F.struct("vec_id", "vector"), "vec_id").alias("n")).select(F.col("n.vec_id").alias("qid"), "n.vector")
-    hits = VX.topk_cosine(newest, rows, 20, "vec_id")
-    return hits.groupBy(F.col("qid").alias("newest")).agg(F.max("score").alias("best_score"), F.max(F.when(F.col("vec_id") == F.col("qid"), F.col("score"))).alias("own_score")).withColumn(
+    best = VX.topk_cosine(newest, rows, 1, "vec_id").select("qid", F.col("score").alias("best_score"))
+    itself = VX.topk_cosine(newest, rows.join(newest.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi"), 1, "vec_id")
+    return best.join(itself.select("qid", F.col("score").alias("own_score")), "qid").withColumnRenamed("qid", "newest").withColumn(
         "verified", F.coalesce(F.col("best_score") - F.col("own_score") <= 1e-6, F.lit(False)))
 
 
@@ -300,7 +301,7 @@ CTES["expanded"] = """SELECT qid, 0 AS variant, 'original' AS name, query, 1.0::
 
 
 def expanded(spark, d):
-    return U.expand_queries(T.search_queries(spark, d), RULES)
+    return U.expand_queries(T.search_queries(spark, d), RULES, 3)
 
 
 @query("e15_alias_expansion", "SELECT qid, variant::BIGINT AS variant, name, query, weight FROM expanded")
@@ -429,7 +430,7 @@ l AS (SELECT qid, passage_id, arg_max(i, sc * 1000000 - i) AS focus_line FROM (S
 SELECT qid, event_id, passage_id, role_score, focus_line, round(score + role_score / 1000, 6) AS hybrid_score FROM s JOIN l USING (qid, passage_id)""")
 def f15(spark, d):
     p = marked_passages(spark, d)
-    out = RR.rerank_anchor(marked_queries(spark, d), p.select("qid", "event_id", "score"), p.select("event_id", "passage_id", "start_line", "end_line", "content"))
+    out = RR.rerank_anchor(marked_queries(spark, d), p.select("qid", "event_id", "score"), p.select("event_id", "passage_id", "start_line", "end_line", "content"), 5)
     return out.select("qid", "event_id", "passage_id", "role_score", "focus_line", "hybrid_score")
 
 
@@ -453,7 +454,7 @@ SELECT qid, event_id, passage_id, role_score, focus_line, hybrid_score, rank FRO
 def f16(spark, d):
     p = marked_passages(spark, d)
     hits = p.select("qid", "event_id", "path", F.when(F.contains(F.lower("path"), F.lit("src1")), "audit").otherwise(F.col("heading")).alias("heading"), "score")
-    out = RR.rerank_audit(marked_queries(spark, d), hits, p.select("event_id", "passage_id", "start_line", "end_line", "content"), 4)
+    out = RR.rerank_audit(marked_queries(spark, d), hits, p.select("event_id", "passage_id", "start_line", "end_line", "content"), 4, 5, 3)
     return out.select("qid", "event_id", "passage_id", "role_score", "focus_line", "hybrid_score", "rank")
 
 
@@ -475,7 +476,7 @@ h AS (SELECT DISTINCT qid, event_id, date, position FROM (SELECT qid, versions,
 SELECT qid, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY date, position % 7, event_id) AS rank FROM h) WHERE rank <= 5""")
 def f21(spark, d):
     e = T.events(spark, d).selectExpr("concat('evt_v', position % 3, '_r', position % 7, '_', position) AS event_id", "date")
-    return RR.metric_anchors(marked_queries(spark, d), e)
+    return RR.metric_anchors(marked_queries(spark, d), e, 5)
 
 
 _CATEGORY = f"CASE WHEN {_any('t', ['\"decision\"', 'phase_v5_eligible', 'failed_gate'])} OR contains(t, chr(10)||'decision:') THEN 'decision' WHEN {_any('t', K.METRIC_EVIDENCE_MARKERS)} THEN 'metric' WHEN {_any('t', K.AUDIT_EVIDENCE_MARKERS)} THEN 'audit' ELSE 'general' END"

@@ -13,24 +13,23 @@ from ledgerlens import scale
 from ledgerlens.plans.registry import CTES
 
 
-WORK_HEAVY = ("documents", "pages", "conversations", "embeddings", "orders")
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return scale.spread(df) if name in WORK_HEAVY else df
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 # --- files, registry, lines --------------------------------------------------
 def files(spark, d):
-    return load(spark, d, "documents").selectExpr(
+    """Documents as files; every third one ends with a newline, as most real files do."""
+    docs = load(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    return docs.selectExpr(
         "doc_id", "concat('docs/', source, '/', doc_id, '.txt') AS path", "sha2(text, 256) AS sha256",
         "CAST(octet_length(text) AS BIGINT) AS size_bytes", "text", "lang", "source",
     )
 
 
 CTES["files"] = """SELECT doc_id, 'docs/'||source||'/'||doc_id||'.txt' AS path, sha256(text) AS sha256,
-  strlen(text)::BIGINT AS size_bytes, text, lang, source FROM documents"""
+  strlen(text)::BIGINT AS size_bytes, text, lang, source
+  FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN text||chr(10) ELSE text END AS text FROM documents)"""
 
 
 def registry(spark, d):
@@ -56,7 +55,7 @@ def source_lines(spark, d):
 
 CTES["source_lines"] = """SELECT path, sha256, line_no, lines[line_no] AS text FROM (
   SELECT path, sha256, lines, unnest(range(1, len(lines)+1)) AS line_no
-  FROM (SELECT path, sha256, string_split(text, chr(10)) AS lines FROM files))"""
+  FROM (SELECT path, sha256, string_split(regexp_replace(text, chr(10)||'$', ''), chr(10)) AS lines FROM files))"""
 
 # --- ledger events -----------------------------------------------------------
 EVENT_TYPES = ["decision", "observation", "claim", "execution_session", "negative_result", "reference_document"]
@@ -74,12 +73,12 @@ def events(spark, d):
         f"element_at(array({types}), CAST(doc_id % 6 AS INT) + 1) AS event_type",
         f"element_at(array({statuses}), CAST(doc_id % 5 AS INT) + 1) AS status",
         "concat('project_', lang) AS project", "source AS workstream",
-        "split(text, '\n')[0] AS summary",
+        "text AS summary",
         "CASE WHEN quality = 1 THEN 'Results' WHEN quality = 0 THEN 'Metadata' ELSE concat('Section ', source) END AS heading",
         "path AS source_path",
         "CASE WHEN doc_id % 17 = 3 THEN sha2(concat('stale', doc_id), 256) ELSE sha256 END AS source_sha256",
         "CAST(1 AS BIGINT) AS line_start",
-        "CAST(size(split(text, '\n')) + CASE WHEN doc_id % 23 = 4 THEN 5 ELSE 0 END AS BIGINT) AS line_end",
+        "CAST(size(split(regexp_replace(text, r'\\n\\z', ''), '\n')) + CASE WHEN doc_id % 23 = 4 THEN 5 ELSE 0 END AS BIGINT) AS line_end",
         "coalesce(toxic = 1, false) AS requires_human_review",
         "CASE doc_id % 4 WHEN 0 THEN concat('2024-02-', lpad(doc_id % 28 + 1, 2, '0'), 'T10:00:00+09:00') WHEN 3 THEN 'not-a-date' END AS timestamp_end",
         "CASE WHEN doc_id % 4 = 1 THEN concat('2024-02-', lpad(doc_id % 28 + 1, 2, '0'), 'T03:30:00Z') END AS timestamp_start",
@@ -89,12 +88,12 @@ def events(spark, d):
 CTES["ledger_events"] = f"""SELECT 'evt_'||doc_id AS event_id, doc_id AS position,
   CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR) AS date,
   ({EVENT_TYPES})[doc_id % 6 + 1] AS event_type, ({EVENT_STATUSES})[doc_id % 5 + 1] AS status,
-  'project_'||lang AS project, source AS workstream, string_split(text, chr(10))[1] AS summary,
+  'project_'||lang AS project, source AS workstream, text AS summary,
   CASE WHEN quality = 1 THEN 'Results' WHEN quality = 0 THEN 'Metadata' ELSE 'Section '||source END AS heading,
   path AS source_path,
   CASE WHEN doc_id % 17 = 3 THEN sha256('stale'||doc_id) ELSE sha256 END AS source_sha256,
   1::BIGINT AS line_start,
-  (len(string_split(text, chr(10))) + CASE WHEN doc_id % 23 = 4 THEN 5 ELSE 0 END)::BIGINT AS line_end,
+  (len(string_split(regexp_replace(text, chr(10)||'$', ''), chr(10))) + CASE WHEN doc_id % 23 = 4 THEN 5 ELSE 0 END)::BIGINT AS line_end,
   coalesce(toxic = 1, false) AS requires_human_review,
   CASE doc_id % 4 WHEN 0 THEN '2024-02-'||lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')||'T10:00:00+09:00' WHEN 3 THEN 'not-a-date' END AS timestamp_end,
   CASE WHEN doc_id % 4 = 1 THEN '2024-02-'||lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')||'T03:30:00Z' END AS timestamp_start

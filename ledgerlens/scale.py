@@ -38,17 +38,6 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small scan over all cores.
-
-    A file with one row group is read by one task however many cores there are.  Where the scan
-    has fewer input splits than cores the rows are dealt out once; a large input already has more
-    splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _sliced(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
 

@@ -27,8 +27,8 @@ def publish(spark: SparkSession, views: dict[str, DataFrame], base: str, version
             df.write.mode("overwrite").parquet(f"{root}/{name}")
         if verify is not None:
             raise_if_any(verify({n: spark.read.parquet(f"{root}/{n}") for n in views}), "view verification")
-    except ValueError as exc:
-        status, reason = "failed", str(exc)
+    except Exception as exc:  # whatever stops a build is recorded as its reason
+        status, reason = "failed", f"{type(exc).__name__}: {exc}" if not isinstance(exc, ValueError) else str(exc)
     spark.createDataFrame([(version, status, reason)], HEALTH_DDL).write.mode("append").json(f"{base}/health")
     if status == "succeeded":
         number = spark.createDataFrame([(version,)], "version STRING").withColumn("published_at", F.current_timestamp())
@@ -69,4 +69,4 @@ def export_results(hits: DataFrame, lines: DataFrame, files: DataFrame, path: st
     head = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("record", F.lit("header")).withColumn("place", F.lit(0))
     body = rows.withColumn("record", F.lit("source")).withColumn("place", F.col("rank"))
     out = head.unionByName(body.select("qid", "record", "place", "hit_id", "path", "start_line", "end_line", "content"), allowMissingColumns=True)
-    out.repartition("qid").sortWithinPartitions("qid", "place").write.mode("errorifexists").json(path)
+    out.hint("rebalance", F.col("qid")).sortWithinPartitions("qid", "place").write.mode("errorifexists").json(path)

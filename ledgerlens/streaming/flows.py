@@ -55,8 +55,9 @@ def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame]
     The view is split into hash buckets of the key; choose ``buckets`` so that one bucket is one
     comfortable file.  A batch rewrites only the buckets its changed rows fall into, as version
     ``b<batch_id>``; readers take the newest version of every bucket.  A repeated batch rewrites the
-    same folder from the same predecessors, so a retry changes nothing.  Rows that are older than
-    the stored row, or whose text hash is unchanged, keep the stored columns (no new embedding).
+    same folder from the same predecessors, so a retry changes nothing.  The row of the greatest
+    position always wins; where its text hash is that of the stored row, the columns that ``embed``
+    adds are taken over instead of being computed anew.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -72,12 +73,15 @@ def upsert_view(base: str, key: str, text_hash: str, embed: Callable[[DataFrame]
             parts = [live[b] for b in touched if b in live]
             stored = spark.read.parquet(*(parts or list(live.values())))
             old = stored if parts else stored.limit(0)
-            have = old.select(key, F.col("position").alias("_p"), F.col(text_hash).alias("_h"))
-            later = F.col("_p").isNull() | ((F.col("position") > F.col("_p")) & (F.col(text_hash) != F.col("_h")))
-            changed = newest.join(have, key, "left").where(later).drop("_p", "_h")
+            added = [c for c in old.columns if c not in batch.columns and c != "_bucket"]
+            have = old.select(key, F.col("position").alias("_p"), F.col(text_hash).alias("_h"), *added)
+            later = newest.join(have, key, "left").where("_p IS NULL OR position > _p")
+            same = F.coalesce(F.col(text_hash) == F.col("_h"), F.lit(False))
+            changed = later.where(~same).drop("_p", "_h", *added)
             fresh = embed(changed) if embed else changed
-            rows = old.join(changed.select(key), key, "left_anti").unionByName(fresh)
-        rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/b{batch_id}")
+            kept = later.where(same).drop("_p", "_h")
+            rows = old.join(later.select(key), key, "left_anti").unionByName(fresh).unionByName(kept)
+        rows.withColumn("_bucket", bucket).hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/b{batch_id}")
 
     return apply
 

@@ -35,7 +35,7 @@ def test_fetch_statuses(frame, store):
         ("ok", "c", "e1", "a.txt", 2, 2, SHA), ("mismatch", "c", "e3", "b.txt", 1, 1, SHA), ("unregistered", "c", "e9", "a.txt", 1, 1, SHA),
         ("wrong_hash", "c", "e1", "a.txt", 1, 1, OTHER), ("bad_range", "c", "e1", "a.txt", 3, 2, SHA), ("no_hash", "c", "e1", "a.txt", 1, 2, None),
         ("too_long", "c", "e1", "a.txt", 1, 900, SHA)], REF)
-    out = {r.ref_id: r for r in E.fetch_evidence(refs, *store, context=1).collect()}
+    out = {r.ref_id: r for r in E.fetch_evidence(refs, *store, context=1, max_lines=500).collect()}
     assert out["ok"].verified and out["ok"].content == "1: one\n2: two\n3: three"
     assert out["mismatch"].integrity_status == "mismatched" and out["mismatch"].content is None
     assert out["unregistered"].reason == "source path is not registered for the event"
@@ -49,7 +49,7 @@ def test_release_claim_needs_two_records(frame, store):
                     ("marked", "x", "factual", "material")], "claim_id string, claim string, claim_type string, materiality string")
     refs = frame([("1", "two", "e1", "a.txt", 1, 1, SHA), ("2", "two", "e2", "a.txt", 2, 2, SHA), ("3", "one", "e1", "a.txt", 1, 1, SHA),
                   ("4", "one", "e1", "a.txt", 2, 2, SHA), ("5", "changed", "e1", "a.txt", 1, 1, SHA), ("6", "changed", "e3", "b.txt", 1, 1, SHA)], REF)
-    out = {r.claim_id: r for r in E.eligibility(claims, E.fetch_evidence(refs, *store, context=0)).collect()}
+    out = {r.claim_id: r for r in E.eligibility(claims, E.fetch_evidence(refs, *store, context=0, max_lines=500)).collect()}
     assert {k: r.status for k, r in out.items()} == {
         "two": "eligible", "one": "blocked", "changed": "blocked", "routine": "not_required", "marked": "blocked"}
     assert out["one"].blockers == "EVIDENCE-ELIGIBILITY-INSUFFICIENT" and out["changed"].blockers == "EVIDENCE-INTEGRITY-INVALID"
@@ -81,6 +81,39 @@ def test_amendment_chain(frame):
     assert resolved == {("r1", "a"): ("2", False), ("r1", "b/c"): ("y", False), ("r2", "a"): (None, True)}
 
 
+def test_amendments_fail_closed(frame):
+    """A correction to null is null; a bad pointer or an absent field blocks the whole record; absent targets are named."""
+    payloads = frame([("n", "a", "0"), ("p", "a", "0"), ("f", "a", "0"), ("ok", "a", "0")], "record_id string, k string, value string")
+    a = frame([
+        (1, "m1", "n", "/payload/a", "completed", "0", None), (2, "m2", "p", "payload.a", "completed", "0", "1"),
+        (3, "m3", "f", "/payload/zz", "completed", "0", "1"), (4, "m4", "gone", "/payload/a", "completed", "0", "1"),
+        (5, "m5", "ok", "/payload/a", "completed", "0", None), (6, "m6", "ok", "/payload/a", "completed", None, "2")], AMD)
+    checked = L.check_amendments(a, payloads)
+    assert {r.amendment_id for r in checked.collect() if r.problem} == {"m2", "m3", "m4"}
+    got = {r.record_id: (r.current_value, r.n_applied, r.blocked) for r in L.resolve_amendments(checked, payloads).collect()}
+    assert got == {"n": (None, 1, False), "p": (None, 0, True), "f": (None, 0, True), "ok": ("2", 2, False)}
+    assert rows_of(L.absent_targets(checked, payloads), "record_id") == [("gone",)]
+
+
+def test_leaves_at_any_depth(frame):
+    deep = '{"macro_f1": 0.50}'
+    for level in range(60):
+        deep = f'{{"l{level}": [{deep}, null]}}'
+    rows = L.json_leaves(frame([(1, deep), (2, "not json"), (3, None), (4, "{}")], "id long, body string"), "id", "body")
+    found = L.metric_leaves(rows).where("key = 'macro_f1'").collect()
+    assert [(r.id, r.value, r.path.count("/")) for r in found] == [(1, "0.50", 121)]
+
+
+def test_line_ends_start_no_line(frame):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions import text as X
+
+    texts = ["a\nb\n", "a\r\nb", "", "\n", "a\n\n", "a\r", None]
+    got = [r.n for r in frame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.size(X.lines_of("t")).alias("n")).collect()]
+    assert got[:6] == [len(t.splitlines()) for t in texts[:6]]
+
+
 def test_supersession(frame):
     r = frame([(x, "completed") for x in ("old", "waiting", "free", "edited")], "record_id string, status string")
     rel = frame([("completed", "supersedes", "old"), ("draft", "supersedes", "waiting"), ("rejected", "supersedes", "free"), ("approved", "corrects", "edited")],

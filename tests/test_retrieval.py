@@ -174,3 +174,9 @@ def test_conflicts_and_coverage(frame):
     q = frame([(1, "hash of evt_a1 at 0.25"), (2, "plain")], "qid int, query string")
     ev = frame([(1, "a", "SHA256 of EVT_A1"), (2, "a", "x")], "qid int, event_id string, content string")
     assert rows_of(RR.coverage(q, ev), "qid", "missing", "status") == [(1, "0.25", "possible_retrieval_gap"), (2, "", "no_obvious_query_anchor_gap")]
+
+
+def test_latest_has_no_cap(frame):
+    rows = [(f"evt_{i:03d}", "claim", f"2024-01-{i % 28 + 1:02d}", None, None) for i in range(500)]
+    events = frame(rows, "event_id string, event_type string, date string, timestamp_start string, timestamp_end string")
+    assert U.latest(events, 500).count() == 500 and U.latest(events, 7).count() == 7

@@ -79,3 +79,20 @@ def test_bootstrap_interval_contains_mean_and_repeats(frame):
     a = A.bootstrap_ci(df, ["g"], "o", "v", samples=400, seed=7).first()
     b = A.bootstrap_ci(df.repartition(7), ["g"], "o", "v", samples=400, seed=7).first()
     assert a == b and a.ci_low < a.mean < a.ci_high
+
+
+def test_shared_folder_needs_a_setting_off_local_masters():
+    import pytest
+
+    from ledgerlens.session import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)

@@ -1,5 +1,7 @@
 """Streaming flows: repeated batches, late rows, untouched buckets."""
 
+from pyspark.sql import functions as F
+
 from ledgerlens.streaming import flows as S
 from tests.conftest import rows_of
 
@@ -22,14 +24,30 @@ def test_upsert_is_idempotent_and_ignores_late_rows(spark, frame, tmp_path):
     view = S.read_upserted(spark, base)
     got = {r.event_id: (r.position, r.text) for r in view.collect()}
     assert len(got) == view.count() == 21
-    assert got["e1"] == (50, "new") and got["e2"] == (2, "t1") and got["e3"] == (3, "t1") and got["e99"] == (70, "added")
-    assert calls == [20, 2, 2]  # unchanged and late rows are not embedded again
+    assert got["e1"] == (50, "new") and got["e2"] == (60, "same") and got["e3"] == (3, "t1") and got["e99"] == (70, "added")
+    assert calls == [20, 2, 2]  # rows of an unchanged text and late rows are not embedded again
     apply(frame([("e1", 90, "h3", "newest")], DDL), 2)
     assert len([p for p in (tmp_path / "view" / "b2").iterdir() if p.name.startswith("_bucket=")]) == 1
     assert {r.event_id: r.text for r in S.read_upserted(spark, base).collect()}["e1"] == "newest"
     assert S.read_upserted(spark, base).count() == 21
 
 
+def test_newer_row_with_unchanged_text_wins(spark, frame, tmp_path):
+    """Batches (1, h1, active), (3, h1, withdrawn), (2, h2, active): position 3 stays, and keeps its embedding."""
+    base, calls = str(tmp_path / "view"), []
+
+    def embed(df):
+        calls.append(df.count())
+        return df.withColumn("vector", F.concat(F.lit("v"), "text_sha256"))
+
+    apply = S.upsert_view(base, "event_id", "text_sha256", embed, buckets=2)
+    ddl = "event_id string, position long, text_sha256 string, status string"
+    for n, row in enumerate([("e", 1, "h1", "active"), ("e", 3, "h1", "withdrawn"), ("e", 2, "h2", "active")]):
+        apply(frame([row], ddl), n)
+    assert rows_of(S.read_upserted(spark, base), "event_id", "position", "text_sha256", "status", "vector") == [("e", 3, "h1", "withdrawn", "vh1")]
+    assert calls == [1, 0, 0]
+
+
 def test_file_stream_reads_only_new_files(spark, frame, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     rows = frame([("a", 1, "h", "t")], DDL)
