@@ -272,9 +272,10 @@ def evidence_bundle(requests: DataFrame, views: DataFrame, passages: DataFrame,
     j = requests.join(views, "record_id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
     p = j.where("current").join(passages, "record_id")
     p = scale.first_per_key(p, ["bundle_id", "record_id", "path", "line_start", "line_end"], [F.asc("request_no"), F.asc("ref_no")])
-    p = p.withColumn("place", (F.col("request_no") * 1_000_000 + F.col("ref_no")).cast("bigint"))
+    span = (passages.agg(F.max("ref_no")).first()[0] or 0) + 1  # no two references of a bundle share a place
+    p = p.withColumn("place", (F.col("request_no").cast("bigint") * span + F.col("ref_no")).cast("bigint"))
     p = p.withColumn("n_bytes", F.octet_length("content").cast("bigint"))
-    width = 1_000_000 * 10_000  # ten thousand requests per slice
+    width = span * 10_000  # ten thousand requests per slice
     p = scale.running_sum(p, ["bundle_id"], "place", F.col("n_bytes"), "total_bytes", width)
     p = scale.position_in_key(p, ["bundle_id"], "place", "passage_no", width)
     limit = (
