@@ -65,13 +65,17 @@ def first_violation(violations: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def verify_transitions(events: DataFrame, transitions: Sequence[tuple[str, str]], keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Rows whose from_state is not the previous to_state, or whose step is not in the table."""
-    spark = events.sparkSession
-    table = spark.createDataFrame(list(transitions), "_from string, _to string").withColumn("_legal", F.lit(True))
+    """Rows whose from_state is not the previous to_state, or whose step is not in ``transitions`` (a short fixed list)."""
     e = scale.previous_row(events, list(keys), "sequence", {"_state": "to_state"})
-    j = e.join(F.broadcast(table), (F.coalesce("_state", F.lit("")) == F.col("_from")) & (F.col("to_state") == F.col("_to")), "left")
-    problem = F.when(~F.col("from_state").eqNullSafe(F.col("_state")), "from_state").when(F.col("_legal").isNull(), "transition")
-    return j.withColumn("problem", problem).where("problem IS NOT NULL").select(*keys, "sequence", "problem")
+    step = F.struct(F.coalesce("_state", F.lit("")).alias("a"), F.coalesce("to_state", F.lit("")).alias("b"))
+    legal = step.isin(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in transitions])
+    problem = F.when(~F.col("from_state").eqNullSafe(F.col("_state")), "from_state").when(~legal, "transition")
+    return e.withColumn("problem", problem).where("problem IS NOT NULL").select(*keys, "sequence", "problem")
+
+
+def verify_session_transitions(events: DataFrame) -> DataFrame:
+    """The session-scope state machine: every session of a run is checked on its own."""
+    return verify_transitions(events, K.SESSION_TRANSITIONS, ("run_id", "session_id"))
 
 
 def current_state(events: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

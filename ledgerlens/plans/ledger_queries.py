@@ -810,6 +810,33 @@ def l5(spark, d):
     return I.verify_transitions(T.runtime_events(spark, d), K.RUN_TRANSITIONS)
 
 
+_SESSION_STATES = ["created", "packet_validated", "prompt_bound", "dispatch_reserved", "running", "output_received", "decision_validated", "completed"]
+CTES["session_steps"] = f"""SELECT 'run_'||(conv_id % 97) AS run_id, 'ses_'||conv_id AS session_id, turn AS sequence, conv_id,
+  CASE WHEN conv_id % 13 = 3 AND turn % 8 = 2 THEN 'running' WHEN conv_id % 11 = 4 AND turn % 8 = 1 THEN 'stop_requested' ELSE ({_SESSION_STATES})[turn % 8 + 1] END AS to_state
+  FROM conversations"""
+CTES["session_events"] = """SELECT run_id, session_id, sequence, to_state, CASE WHEN conv_id % 17 = 5 AND sequence % 8 = 3 THEN 'created' ELSE prev END AS from_state, prev
+  FROM (SELECT *, lag(to_state) OVER (PARTITION BY run_id, session_id ORDER BY sequence) AS prev FROM session_steps)"""
+
+
+def session_events(spark, d):
+    """Conversations as sessions: each turn is a step, with wrong steps and wrong from_states by row number."""
+    from ledgerlens import scale
+
+    states = ", ".join(f"'{x}'" for x in _SESSION_STATES)
+    steps = T.load(spark, d, "conversations").selectExpr(
+        "concat('run_', conv_id % 97) AS run_id", "concat('ses_', conv_id) AS session_id", "turn AS sequence", "conv_id",
+        f"CASE WHEN conv_id % 13 = 3 AND turn % 8 = 2 THEN 'running' WHEN conv_id % 11 = 4 AND turn % 8 = 1 THEN 'stop_requested' ELSE element_at(array({states}), CAST(turn % 8 AS INT) + 1) END AS to_state")
+    steps = scale.previous_row(steps, ["run_id", "session_id"], "sequence", {"prev": "to_state"})
+    return steps.selectExpr("run_id", "session_id", "sequence", "to_state", "CASE WHEN conv_id % 17 = 5 AND sequence % 8 = 3 THEN 'created' ELSE prev END AS from_state")
+
+
+@query("l5_session_state_machine", f"""
+SELECT run_id, session_id, sequence, CASE WHEN from_state IS DISTINCT FROM prev THEN 'from_state' ELSE 'transition' END AS problem FROM session_events
+WHERE from_state IS DISTINCT FROM prev OR (coalesce(prev, ''), to_state) NOT IN ({", ".join(map(str, K.SESSION_TRANSITIONS))})""")
+def l5_session(spark, d):
+    return I.verify_session_transitions(session_events(spark, d))
+
+
 @query("l6_current_state", "SELECT run_id, arg_max(to_state, sequence) AS state, count(*) AS event_count, arg_max(event_hash, sequence) AS head_hash FROM runtime_events GROUP BY run_id")
 def l6(spark, d):
     return I.current_state(T.runtime_events(spark, d))
