@@ -64,8 +64,6 @@ ACTIVITY_CATEGORIES = [
 ]
 
 # --- paired runs and integrity runs ------------------------------------------
-TASK_SCHEMA = "benchmark-task/1.0"
-RUN_SCHEMA = "benchmark-run/1.0"
 AB_CONDITIONS = ["filesystem", "mcp"]
 TASK_CATEGORIES = [
     "evidence_retrieval", "claim_verification", "approval_governance", "integrity_change",
@@ -75,8 +73,6 @@ METRIC_FIELDS = [
     "task_success", "factual_correctness", "evidence_grounding", "citation_validity",
     "policy_compliance", "uncertainty_calibration",
 ]
-INTEGRITY_TASK_SCHEMA = "integrity-claim-gate-task/1.0"
-INTEGRITY_RUN_SCHEMA = "integrity-claim-gate-run/1.0"
 INTEGRITY_CONDITIONS = ["filesystem", "filesystem_manifest", "mcp_evidence_only", "mcp_claim_gate"]
 EVIDENCE_STATES = [
     "current_supported", "post_index_mutation", "path_reuse", "line_range_drift",
@@ -84,16 +80,10 @@ EVIDENCE_STATES = [
     "withdrawn_evidence", "superseded_amendment", "valid_but_irrelevant",
     "poisoned_before_registration",
 ]
-EXPECTED_BEHAVIORS = ["answer", "abstain", "preserve_conflict", "report_latest_lineage"]
 FAULT_POINTS = [
     "before_registration", "after_index_before_fetch", "after_index_before_search", "not_applicable",
 ]
-SEMANTIC_GOLD = ["supported", "unsupported", "contradicted", "conflicted"]
 GATE_STATUSES = ["not_required", "eligible", "blocked", "not_called"]
-EVALUATOR_FIELDS = [
-    "answer_emitted", "material_claim_emitted", "unsafe_material_claim", "false_block",
-    "evidence_binding_valid", "citation_support_valid", "citation_support_complete",
-]
 
 # --- index health ------------------------------------------------------------
 HEALTH_SCHEMA = "research-index-health-v1"
@@ -130,10 +120,6 @@ RE_HEADER_SECRET = r"(?i)\b(authorization|x-api-key|api-key)\s*[:=]\s*(?:bearer\
 RE_KEY_SECRET = (
     r"(?i)([\"']?(?:api[_-]?key|credential|password|secret|token)[\"']?\s*[:=]\s*)[\"']?[^\s,;}\"']+"
 )
-RE_INLINE_SECRET = (
-    r"(?i)\b(api[_-]?key|authorization|credential|password|private[_-]?key|secret|token)"
-    r"\s*[:=]\s*(?:bearer\s+)?[^\s,;]+"
-)
 RE_SENSITIVE_KEY = r"(?i)(api[_-]?key|authorization|credential|password|private[_-]?key|secret|token|x-api-key)"
 RE_TECH_PATH = (
     r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+"
@@ -254,10 +240,6 @@ METRIC_CONTAINER_KEYS = [
 PROVENANCE_KEYS = ["source_event", "source_event_id", "parent_event", "derived_from", "provenance_event"]
 
 # --- governance --------------------------------------------------------------
-FAILURE_CLASSES = [
-    "scientific_negative_result", "execution_failure", "validation_failure", "policy_violation",
-    "evidence_failure", "user_cancelled", "expected_rejection",
-]
 CRITICAL_FAILURES = ["validation_failure", "policy_violation", "evidence_failure"]
 RESULT_FAILURES = ["scientific_negative_result", "expected_rejection"]
 FAILURE_CODE_PREFIXES = [
@@ -298,7 +280,6 @@ TERMINAL_RUN_STATES = ["completed", "blocked", "cancelled"]
 
 # --- limits ------------------------------------------------------------------
 MAX_FETCH_LINES = 500
-MAX_CONTEXT_LINES = 50
 BUNDLE_MAX_PASSAGES = 32
 BUNDLE_MAX_LINES = 400
 BUNDLE_MAX_BYTES = 256 * 1024
