@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 300_000
+CACHED_PIECES = 100_000
 CHUNK_CHARS = 1 << 20
 
 

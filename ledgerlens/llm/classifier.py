@@ -18,7 +18,7 @@ from ledgerlens.llm.order import packed
 BUCKETS = 1 << 18
 GRAMS = (3, 5)
 THRESHOLD = 0.3
-TRAIN_ROWS = 6000  # the bounded sample of labelled rows that the model is fitted on
+TRAIN_ROWS = 3000  # the bounded sample of labelled rows that the model is fitted on
 
 
 @dataclass(frozen=True)
@@ -145,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, marks = [], []
         for frame in frames:
-            seen += [counted(np.frombuffer(t.encode(), np.uint8)) for t in frame["text"]]
             marks += frame["label"].tolist()
+            for text in frame.pop("text"):
+                seen.append(counted(np.frombuffer(text.encode(), np.uint8)))
         yield pd.DataFrame({"model": [pickle.dumps(fit(seen, np.array(marks, int), 2, how))]})
 
     found = chosen.select("text", "label").coalesce(1).mapInPandas(run, "model binary").collect()
