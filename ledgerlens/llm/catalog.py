@@ -23,7 +23,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op10_quality": lambda spark, folder: classifier.op10_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels")),
     "op3_url_reputation": url_filter.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_topk_vectors": topk.OP8_SQL,
