@@ -9,8 +9,14 @@ from ledgerlens.llm import bpe, classifier, exact_dedup, mixing, near_dup
 from ledgerlens.session import written
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long: a thousand of them at a time, not Spark's ten thousand, keep the executors' memory small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels outside its held-out fifth."""
+    _small_batches(spark)
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -21,6 +27,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by a shingle similarity of 0.8 or more the smallest id."""
+    _small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
@@ -31,6 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text: doc_id, source, n_tokens, token_ids."""
+    _small_batches(spark)
     done = bpe.encode_column(docs.select("doc_id", "source", "text"), out="t", offsets=False)
     return done.select("doc_id", "source", F.size("t.ids").cast("long").alias("n_tokens"), F.col("t.ids").alias("token_ids"))
 

@@ -17,6 +17,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 100_000
@@ -50,7 +51,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 @lru_cache(4)
 def tokenizer_json(path: str, pattern: str = public_tokenizers.PATTERN) -> str:
     """A tokenizers.Tokenizer for a rank file, as JSON text; about 3 MB for 50,000 ranks."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Regex, models, pre_tokenizers
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -107,16 +108,16 @@ class Codec:
 
     def __init__(self, json: str, pattern: str, odd: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.whole = Tokenizer.from_str(json)
+        self.json, self.whole = json, None
         self.part = Tokenizer.from_str(json)
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(latin_pattern(pattern))
         self.cut = regex.compile(r"(?<=\S)\s")
         values = {c: b for b, c in enumerate(byte_alphabet())}
-        vocab = self.whole.get_vocab()
+        vocab = self.part.get_vocab()
         self.table = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.table[i] = bytes(values[c] for c in token)
@@ -149,6 +150,7 @@ class Codec:
         for chunk in self._chunks(text or ""):
             found = self._found(chunk)
             if found is None:
+                self.whole = self.whole or Tokenizer.from_str(self.json)  # seldom needed
                 out.append(np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes())
                 continue
             if len(self.known) > CACHED_PIECES:

@@ -23,10 +23,11 @@ TRAIN_ROWS = 3000  # the bounded sample of labelled rows that the model is fitte
 
 @dataclass(frozen=True)
 class Fit:
-    """Settings of the training: vector size, passes, first learning rate, seed."""
+    """Settings of the training: vector size, passes (more where they make fewer than ``steps`` steps), first learning rate, seed."""
 
     dim: int = 8
     passes: int = 5
+    steps: int = 5000
     rate: float = 0.5
     seed: int = 1
 
@@ -103,8 +104,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     if len(labels):
         share = np.bincount(labels, minlength=classes) + 1.0
         bias += np.log(share / share.sum()).astype(np.float32)
-    steps, step = how.passes * len(rows), 0
-    for _ in range(how.passes):
+    passes = max(how.passes, -(-how.steps // max(1, len(rows))))
+    steps, step = passes * len(rows), 0
+    for _ in range(passes):
         for i in rng.permutation(len(rows)):
             ids, share = rows[i]
             rate = how.rate * (1 - step / steps)
