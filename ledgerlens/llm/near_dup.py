@@ -18,7 +18,9 @@ THRESHOLD = 0.8
 TREES, DEPTH, SHORTEST = 16, 6, 3
 RECALL = 0.999
 MARGIN = 0.18  # below the threshold, over four standard deviations of an estimate from all hashes
-BUCKET = 64  # buckets up to this size compare all pairs, larger ones by leaders
+BUCKET = 64  # buckets up to this size give pairs, larger ones are compared block by block (results do not depend on it)
+FEW, COLUMNS = 16, 4096  # of the comparison of blocks: shingles of so many rows go pair by pair; columns of its matrices
+BLOCK_SHINGLES = 1 << 21  # of a block of a dense group
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +112,87 @@ def _all_pairs(small: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
 
 
-def _led_pairs(large: DataFrame, met: DataFrame, signatures: DataFrame) -> list[DataFrame]:
-    """Pairs from buckets of more than BUCKET rows: all rows against a leader, the one that meets most others in its buckets.
-    Rows that are not like the leader get the next leader, until no more than BUCKET are left, which meet in all pairs.
-    So pairs grow with the rows and the kinds of text in a bucket, not with its square."""
-    found = []
-    rest = written(large.select("bucket", "rid").join(met.groupBy("rid").agg(F.sum("size").alias("fame")), "rid"), "near-large")
-    while not rest.isEmpty():
-        leaders = rest.groupBy("bucket").agg(F.max(F.struct("fame", "rid")).alias("top"), F.count("*").alias("size"))
-        led = rest.join(leaders.select("bucket", F.col("top.rid").alias("leader"), "size"), "bucket")
-        found.append(_estimated(_all_pairs(led.where(F.col("size") <= BUCKET)), signatures))
-        ordered = led.where((F.col("size") > BUCKET) & (F.col("rid") != F.col("leader")))
-        ordered = written(ordered.select("bucket", "rid", "fame", F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")), "near-led")
-        like = written(_estimated(ordered.select("a", "b").distinct(), signatures), "near-like")
-        found.append(like)
-        rest = written(ordered.join(like, ["a", "b"], "left_anti").select("bucket", "rid", "fame"), "near-large")
-    return found
+def dense_groups(large: DataFrame) -> DataFrame:
+    """(rid, g): rows that share buckets of more than BUCKET rows, directly or over other rows, are one group."""
+    least = large.groupBy("bucket").agg(F.min("rid").alias("a"))
+    edges = large.join(least, "bucket").where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
+    return written(components(edges).withColumnRenamed("label", "g"), "near-dense")
+
+
+def _linked(sets: np.ndarray, cut: np.ndarray, left: int) -> np.ndarray:
+    """Symmetric matrix of which rows are linked: of the first ``left`` rows with the others, or of all rows if there are no others."""
+    m = len(cut) - 1
+    both = np.zeros((m, m))
+    at = slice(0, left), slice(left if left < m else 0, m)
+    row = np.repeat(np.arange(m), np.diff(cut))
+    order = np.argsort(sets, kind="stable")
+    sets, row = sets[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
+    times = np.diff(np.append(first, len(sets)))
+    often = np.repeat(times, times)
+    # shingles of few rows pair by pair, the others as columns of a matrix
+    some = (often > 1) & (often <= FEW)
+    s, r = sets[some], row[some]
+    for k in range(1, min(FEW, len(s))):
+        same = s[k:] == s[:-k]
+        both += np.bincount(r[:-k][same] * m + r[k:][same], minlength=m * m).reshape(m, m)
+    both += both.T
+    column, r = np.repeat(np.cumsum(times > FEW) - 1, times)[often > FEW], row[often > FEW]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [c, c + COLUMNS])
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[r[i:j], column[i:j] - c] = 1
+        both[at] += x[at[0]] @ x[at[1]].T
+    sizes = np.diff(cut)
+    linked = np.zeros((m, m), bool)
+    linked[at] = both[at] / (sizes[at[0], None] + sizes[None, at[1]] - both[at]) >= THRESHOLD
+    np.fill_diagonal(linked, False)
+    return linked | linked.T
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect the same rows as all links, one less than the rows of each component."""
+    new, edges = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        todo = [root] if new[root] else []
+        new[root] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(linked[x] & new).tolist()
+            new[found] = False
+            edges += [(x, y) for y in found]
+            todo += found
+    return edges
+
+
+def dense_links(groups: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every two rows of a group compared exactly, on the whole texts.  The rows of a group are dealt into blocks; each two
+    blocks meet in a task of their own, which gives no pairs: for each row its number of links to the other block
+    (rid, n_links; b is null), and links (rid, b) that connect the same rows as all links do."""
+    members = groups.join(signatures.select("rid", "n_shingles"), "rid")
+    rows = F.count("*")
+    blocks = F.ceil(F.greatest(rows / F.least(F.greatest(rows / 8, F.lit(128)), F.lit(1024)), F.sum("n_shingles") / BLOCK_SHINGLES))
+    members = members.join(members.groupBy("g").agg(blocks.alias("blocks")), "g").join(texts, "rid")
+    dealt = members.select("g", "rid", "text", F.pmod(F.xxhash64("rid"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("rid", "ascending")])
+        block, rid = table.column("block").to_numpy(), table.column("rid").to_numpy()
+        parts = [shingle_sets(data, offsets) for chunk in table.column("text").chunks for _, _, data, offsets in pieces(chunk)]
+        cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for _, c in parts]))])
+        linked = _linked(np.concatenate([x for x, _ in parts]), cut, int((block == block[0]).sum()))
+        if block[0] == block[-1] and table.column("i")[0] != table.column("j")[0]:
+            linked[:] = False  # the other block has no rows
+        n, edges = linked.sum(1), np.array(_forest(linked), np.int64).reshape(-1, 2)
+        some = np.flatnonzero(n)
+        return pa.table({
+            "rid": pa.array(np.concatenate([rid[some], rid[edges[:, 0]]])),
+            "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rid[edges[:, 1]])]),
+            "n_links": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)])),
+        })
+
+    tiles = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "text")
+    return written(tiles.groupBy("g", "i", "j").applyInArrow(compare, "rid bigint, b bigint, n_links bigint"), "near-dense-links")
 
 
 def _recalls(pairs: DataFrame) -> dict[int, float]:
@@ -139,30 +206,25 @@ def _recalls(pairs: DataFrame) -> dict[int, float]:
     return {d: m / total if total else 0.0 for d, m in zip(depths, met)}
 
 
-def candidate_pairs(signatures: DataFrame, recall: float = RECALL) -> DataFrame:
-    """LSH forest: every tree sorts the rows by DEPTH hashes; rows that share a prefix meet.  Pairs (a, b) that the estimated
-    similarity does not exclude.
+def candidate_pairs(signatures: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame | None]:
+    """LSH forest: rows first meet at the longest prefixes; from the similarities found the prefix length is taken at which
+    the expected recall reaches ``recall``, and rows meet again at that length.
 
-    All rows first meet at the longest prefixes.  From the similarities found the prefix length is taken at which the
-    expected recall reaches ``recall`` (at least SHORTEST), and rows meet again at that length.  Where a branch is dense,
-    with more than BUCKET rows under a prefix, the prefix stays longer: its rows meet at the lengths between at which the
-    branch is small, and at full length, where they are led (see _led_pairs).
+    Returns the pairs (a, b) that the estimated similarity does not exclude, and the groups of the rows in buckets of more
+    than BUCKET rows at full length, if any (see dense_groups).  Pairs within a group are left to it.
     """
     met = _buckets(signatures, range(DEPTH, DEPTH + 1))
-    found = [_estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures)]
-    found += _led_pairs(met.where(F.col("size") > BUCKET), met, signatures)
-    first = written(_union(found), "near-pairs")
-    enough = [d for d, r in _recalls(first).items() if r >= recall]
-    depth = max(enough, default=SHORTEST)
-    if depth == DEPTH:
-        return first
-    met = _buckets(signatures, range(depth, depth + 1))
-    more = [first, _estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures)]
-    dense = met.where(F.col("size") > BUCKET).select("rid").distinct()
-    if depth + 1 < DEPTH and not dense.isEmpty():
-        between = _buckets(signatures.join(dense, "rid"), range(depth + 1, DEPTH))
-        more.append(_estimated(_all_pairs(between.where(F.col("size") <= BUCKET)), signatures))
-    return written(_union(more), "near-pairs")
+    pairs = written(_estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures), "near-pairs")
+    large = met.where(F.col("size") > BUCKET)
+    groups = None if large.isEmpty() else dense_groups(large)
+    depth = max([d for d, r in _recalls(pairs).items() if r >= recall], default=SHORTEST)
+    if depth < DEPTH:
+        near = _buckets(signatures, range(depth, DEPTH)).where(F.col("size") <= BUCKET)
+        pairs = _union([pairs, _estimated(_all_pairs(near), signatures)])
+    if groups is not None:
+        of = lambda c: groups.select(F.col("rid").alias(c), F.col("g").alias(f"g{c}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb")
+    return written(pairs.select("a", "b", "like"), "near-pairs"), groups
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -191,16 +253,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("rid", "label")
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n_links"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """Class of near duplicates of every row.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words as they stand; 64-bit hashes)
     is 0.8 or more.  Rows of equal sets are copies and take part once, by their first row.  Candidates come from
-    ``candidate_pairs`` and every link is verified on the whole texts.  Classes are the connected components of the links.
+    ``candidate_pairs``, and from dense groups all pairs; every link is verified on the whole texts.  Classes are the connected components of the links.
 
     Columns: ``row`` (struct of the columns of ``docs``), ``rid`` (number of the row), ``doc_id``, ``class_id`` (smallest id of the class, null
-    ids last), ``class_size`` (rows), ``n_links`` (verified links of the row's text to other texts; in groups of more than
-    BUCKET like texts those to leaders only), ``n_copies`` (rows of an equal set, itself included) and ``first`` (whether
+    ids last), ``class_size`` (rows), ``n_links`` (verified links of the row's text to other texts: within dense groups
+    those that connect them only), ``n_copies`` (rows of an equal set, itself included) and ``first`` (whether
     the row is the one of its class to stay: the smallest id, then row number).
 
     Texts without words (null, empty) have no shingles and are classes of their own row; texts of fewer than five words are one shingle.
@@ -213,12 +279,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("rep"), F.count("*").alias("n_copies"))
     same = signed.select("rid", "s1", "s2", "n_shingles").join(sets, ["s1", "s2", "n_shingles"], "left")
     same = written(same.select("rid", F.coalesce("rep", "rid").alias("rep"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")), "near-copies")
-    reps = written(signed.join(sets.select(F.col("rep").alias("rid")), "rid").select("rid", "hashes"), "near-reps")
+    reps = written(signed.join(sets.select(F.col("rep").alias("rid")), "rid").select("rid", "n_shingles", "hashes"), "near-reps")
 
-    pairs = candidate_pairs(reps, recall)
+    pairs, groups = candidate_pairs(reps, recall)
     sided = pairs.join(texts.withColumnsRenamed({"rid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"rid": "b", "text": "tb"}), "b")
-    links = written(sided.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= THRESHOLD), "near-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    links = written(sided.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= THRESHOLD).select("a", "b"), "near-links")
+    degree = _ends(links)
+    if groups is not None:
+        dense = dense_links(groups, reps, texts)
+        joined = dense.where("b IS NOT NULL").select(F.col("rid").alias("a"), "b")
+        degree = degree.unionByName(_ends(joined))
+        links = written(links.unionByName(joined), "near-links")
+    degree = degree.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     label = components(links).withColumnRenamed("rid", "rep")
     placed = same.join(label, "rep", "left").join(degree, "rep", "left").select(
         "rid", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

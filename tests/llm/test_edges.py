@@ -254,3 +254,45 @@ def test_classifier(spark, odd, none):
     bare = classifier.classify(odd, labels.limit(0)).collect()
     assert {round(r.score, 3) for r in bare} == {0.5}
     assert classifier.keep_good(odd, labels, how=classifier.Fit(passes=1)).columns == odd.columns
+
+
+def all_links(rows):
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    found, ids = {i: set() for i in sets}, sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            same = len(sets[a] & sets[b])
+            if same / (len(sets[a]) + len(sets[b]) - same) >= 0.8:
+                found[a].add(b)
+                found[b].add(a)
+    return found
+
+
+def class_of(found):
+    label = {}
+    for i in sorted(found):
+        todo = [i] if i not in label else []
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = i
+                todo += found[x]
+    return label
+
+
+def spread_family():
+    """Texts of one body that are about 0.66 alike, more than a bucket, with a text 0.82 alike for each."""
+    body, rows = [f"b{i}" for i in range(400)], []
+    for i in range(0, 240, 2):
+        own = [f"o{i}_{j}" for j in range(100)]
+        rows += [(i, " ".join(body + own)), (i + 1, " ".join(body + own[:50] + [f"p{i}_{j}" for j in range(50)]))]
+    return rows
+
+
+def test_dense_family_keeps_its_pairs(spark, monkeypatch):
+    """Rows that are not linked to each other fill the buckets; the pairs among them stay together."""
+    monkeypatch.setattr(near_dup, "BUCKET", 4)
+    rows = spread_family()
+    want = class_of(all_links(rows))
+    got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 120
