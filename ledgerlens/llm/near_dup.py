@@ -15,7 +15,7 @@ from ledgerlens.session import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH, SHORTEST = 16, 6, 3
+TREES, DEPTH = 16, 6
 RECALL = 0.999
 MARGIN = 0.18  # below the threshold, over four standard deviations of an estimate from all hashes
 BUCKET = 64  # buckets up to this size give pairs, larger ones are compared block by block (results do not depend on it)
@@ -195,45 +195,30 @@ def dense_links(groups: DataFrame, signatures: DataFrame, texts: DataFrame) -> D
     return written(tiles.groupBy("g", "i", "j").applyInArrow(compare, "rid bigint, b bigint, n_links bigint"), "near-dense-links")
 
 
-def _recalls(pairs: DataFrame) -> dict[int, float]:
-    """For each prefix length the estimated share of the pairs over the threshold that the forest meets: a pair found at
-    DEPTH stands for 1 / (chance that it was found) pairs of its similarity."""
-    s = F.greatest("like", F.lit(THRESHOLD))
-    chance = lambda d: 1 - F.pow(1 - F.pow(s, d), F.lit(TREES))
-    depths = range(SHORTEST, DEPTH + 1)
-    total, *met = pairs.where(F.col("like") >= THRESHOLD).agg(
-        F.sum(1 / chance(DEPTH)), *[F.sum(chance(d) / chance(DEPTH)) for d in depths]).first()
-    return {d: m / total if total else 0.0 for d, m in zip(depths, met)}
+def prefix_length(recall: float) -> int:
+    """The longest prefix at which two rows of similarity THRESHOLD share one in some tree with a chance of ``recall`` at least;
+    more similar rows do so more often, whatever else is in the table."""
+    return max((d for d in range(1, DEPTH + 1) if 1 - (1 - THRESHOLD**d) ** TREES >= recall), default=1)
 
 
 def candidate_pairs(signatures: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame | None]:
-    """LSH forest: rows first meet at the longest prefixes; from the similarities found the prefix length is taken at which
-    the expected recall reaches ``recall``, and rows meet again at that length.
+    """LSH forest: rows that share a prefix of a tree's hashes meet.
 
-    Returns the pairs (a, b) that the estimated similarity does not exclude, and the groups of the rows in buckets of more
-    than BUCKET rows at full length, if any (see dense_groups).  Pairs within a group are left to it.
+    Returns the pairs (a, b) of rows that meet in a bucket of at most BUCKET rows, unless the estimated similarity excludes
+    them, and the groups of the rows in larger buckets, if any (see dense_groups).  Pairs within a group are left to it.
     """
-    met = _buckets(signatures, range(DEPTH, DEPTH + 1))
-    pairs = written(_estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures), "near-pairs")
+    depth = prefix_length(recall)
+    met = _buckets(signatures, range(depth, depth + 1))
+    pairs = _estimated(_all_pairs(met.where(F.col("size") <= BUCKET)), signatures)
     large = met.where(F.col("size") > BUCKET)
-    groups = None if large.isEmpty() else dense_groups(large)
-    depth = max([d for d, r in _recalls(pairs).items() if r >= recall], default=SHORTEST)
-    if depth < DEPTH:
-        near = _buckets(signatures, range(depth, DEPTH)).where(F.col("size") <= BUCKET)
-        pairs = _union([pairs, _estimated(_all_pairs(near), signatures)])
-    if groups is not None:
-        of = lambda c: groups.select(F.col("rid").alias(c), F.col("g").alias(f"g{c}"))
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb")
+    if large.isEmpty():
+        return written(pairs, "near-pairs"), None
+    groups = dense_groups(large)
+    of = lambda c: groups.select(F.col("rid").alias(c), F.col("g").alias(f"g{c}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb")
     return written(pairs.select("a", "b", "like"), "near-pairs"), groups
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("a", "b").agg(F.max("like").alias("like"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): one row per node, ``rid`` and ``label``, the smallest node of its component.
 

@@ -296,3 +296,11 @@ def test_dense_family_keeps_its_pairs(spark, monkeypatch):
     want = class_of(all_links(rows))
     got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 120
+
+
+def test_prefix_length_depends_on_recall_only():
+    """The chance at the threshold itself reaches the recall, however alike the pairs of the table are."""
+    assert near_dup.prefix_length(0.999) == 4
+    for recall in (0.99, 0.9999, 0.99999):
+        d = near_dup.prefix_length(recall)
+        assert 1 - (1 - 0.8**d) ** near_dup.TREES >= recall > 1 - (1 - 0.8 ** (d + 1)) ** near_dup.TREES
