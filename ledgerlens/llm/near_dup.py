@@ -242,7 +242,7 @@ def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n_links"))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, all_links: bool = False) -> DataFrame:
     """Class of near duplicates of every row.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words as they stand; 64-bit hashes)
@@ -250,8 +250,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``candidate_pairs``, and from dense groups all pairs; every link is verified on the whole texts.  Classes are the connected components of the links.
 
     Columns: ``row`` (struct of the columns of ``docs``), ``rid`` (number of the row), ``doc_id``, ``class_id`` (smallest id of the class, null
-    ids last), ``class_size`` (rows), ``n_links`` (verified links of the row's text to other texts: within dense groups
-    those that connect them only), ``n_copies`` (rows of an equal set, itself included) and ``first`` (whether
+    ids last), ``class_size`` (rows), ``n_links`` (verified links of the row's text to other texts: all with
+    ``all_links``, else within dense groups only those that connect them), ``n_copies`` (rows of an equal set, itself included) and ``first`` (whether
     the row is the one of its class to stay: the smallest id, then row number).
 
     Texts without words (null, empty) have no shingles and are classes of their own row; texts of fewer than five words are one shingle.
@@ -273,7 +273,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if groups is not None:
         dense = dense_links(groups, reps, texts)
         joined = dense.where("b IS NOT NULL").select(F.col("rid").alias("a"), "b")
-        degree = degree.unionByName(_ends(joined))
+        degree = degree.unionByName(dense.where("b IS NULL").select(F.col("rid").alias("rep"), "n_links") if all_links else _ends(joined))
         links = written(links.unionByName(joined), "near-links")
     degree = degree.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     label = components(links).withColumnRenamed("rid", "rep")
@@ -294,4 +294,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_near_duplicates(documents: DataFrame) -> DataFrame:
-    return near_classes(documents.select("doc_id", "text")).select("doc_id", "class_id", "class_size", "n_links", "n_copies")
+    return near_classes(documents.select("doc_id", "text"), all_links=True).select("doc_id", "class_id", "class_size", "n_links", "n_copies")

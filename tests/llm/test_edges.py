@@ -256,6 +256,21 @@ def test_classifier(spark, odd, none):
     assert classifier.keep_good(odd, labels, how=classifier.Fit(passes=1)).columns == odd.columns
 
 
+def dense_family():
+    """Texts with one body (more than a bucket) that are not alike, with near copies of some among them, and chains X-Y-leader."""
+    rng, body = random.Random(5), [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(0, 240, 2):
+        own = [f"o{i}_{j}" for j in range(30)]
+        rows.append((i, " ".join(body + own)))
+        rows.append((i + 1, " ".join(body + own[:-2] + [f"p{i}", f"q{i}"] if i % 4 else body[:60] + [f"r{i}"] + body[61:])))
+    for i in range(1000, 1060, 3):
+        own = [f"c{i}_{j}" for j in range(44)]
+        rows += [(i, " ".join(body + own[:12])), (i + 1, " ".join(body + own[:28])), (i + 2, " ".join(body + own))]
+    rng.shuffle(rows)
+    return rows
+
+
 def all_links(rows):
     sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
     found, ids = {i: set() for i in sets}, sorted(sets)
@@ -304,3 +319,11 @@ def test_prefix_length_depends_on_recall_only():
     for recall in (0.99, 0.9999, 0.99999):
         d = near_dup.prefix_length(recall)
         assert 1 - (1 - 0.8**d) ** near_dup.TREES >= recall > 1 - (1 - 0.8 ** (d + 1)) ** near_dup.TREES
+
+
+def test_all_links_of_a_dense_family(spark):
+    rows = dense_family()
+    want = all_links(rows)
+    got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), all_links=True).collect()
+    assert {r.doc_id: r.class_id for r in got} == class_of(want)
+    assert {r.doc_id: r.n_links for r in got} == {i: len(x) for i, x in want.items()}
