@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ledgerlens.llm.order import packed
 BUCKETS = 1 << 18
 GRAMS = (3, 5)
 THRESHOLD = 0.3
-TRAIN_ROWS = 3000  # the bounded sample of labelled rows that the model is fitted on
+TRAIN_ROWS = 6000  # the bounded sample of labelled rows that the model is fitted on
 
 
 @dataclass(frozen=True)
@@ -62,12 +61,10 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> l
 
 
 def counted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of one text and their shares."""
+    """Distinct features of one text and how often each came, in the smallest type that holds the counts."""
     every = np.concatenate([f for f, _ in features(data, np.array([0, len(data)]))])
-    if not len(every):
-        return every, np.zeros(0, np.float32)
     ids, n = np.unique(every, return_counts=True)
-    return ids, (n / len(every)).astype(np.float32)
+    return ids, n.astype(np.min_scalar_type(n.max(initial=0)))
 
 
 @dataclass
@@ -108,11 +105,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     steps, step = passes * len(rows), 0
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
-            ids, share = rows[i]
+            ids, n = rows[i]
             rate = how.rate * (1 - step / steps)
             step += 1
             if not len(ids):
                 continue
+            share = (n / int(n.sum())).astype(np.float32)
             hidden = share @ vectors[ids]
             logits = hidden @ weights + bias
             e = np.exp(logits - logits.max())
@@ -144,15 +142,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(sample), "doc_id").orderBy(lucky, "doc_id", F.xxhash64("text")).limit(rows)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, marks = [], []
-        for frame in frames:
-            marks += frame["label"].tolist()
-            for text in frame.pop("text"):
-                seen.append(counted(np.frombuffer(text.encode(), np.uint8)))
-        yield pd.DataFrame({"model": [pickle.dumps(fit(seen, np.array(marks, int), 2, how))]})
+        for batch in batches:
+            marks += batch.column("label").to_pylist()
+            for _, _, data, offsets in pieces(batch.column("text")):
+                seen += [counted(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(seen, np.array(marks, int), 2, how))], pa.binary())], ["model"])
 
-    found = chosen.select("text", "label").coalesce(1).mapInPandas(run, "model binary").collect()
+    found = chosen.select("text", "label").coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0][0]) if found else fit([], np.zeros(0, int), 2, how)
 
 

@@ -327,3 +327,13 @@ def test_all_links_of_a_dense_family(spark):
     got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), all_links=True).collect()
     assert {r.doc_id: r.class_id for r in got} == class_of(want)
     assert {r.doc_id: r.n_links for r in got} == {i: len(x) for i, x in want.items()}
+
+
+def test_classifier_learns_from_6000_rows(spark):
+    rows = [(i, f"a{i % 97} b{i % 89} c{i}", i % 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    how = classifier.Fit(passes=1, steps=1)
+    got, want = (classifier.train(df, df, how=how, **more) for more in ({}, {"rows": 10_000}))
+    assert np.array_equal(got.table, want.table) and np.array_equal(got.bias, want.bias)
+    ids, n = classifier.counted(np.frombuffer(b"a b a b", np.uint8))
+    assert n.itemsize == 1 and len(ids) == len(n) and len(classifier.counted(np.zeros(0, np.uint8))[0]) == 0
