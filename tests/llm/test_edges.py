@@ -186,18 +186,19 @@ def test_filter_segments(spark):
 def test_topk(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i) if i != 7 else None, [float(x) for x in rng.normal(size=8)], 1.0) for i in range(300)]
-    rows += [(20, [1.0] * 8, 2.0), (20, [1.0] * 8, 2.0), (500, None, 0.0), (501, [None, 1.0], 0.0), (502, [float("nan")], 0.0), (503, [], 0.0), (504, [2.0] * 3, 0.0), (505, [1e30], 0.0)]
+    rows += [(20, [1.0] * 8, 2.0), (20, [1.0] * 8, 2.0), (500, None, 0.0), (501, [None, 1.0], 0.0), (502, [float("nan")], 0.0), (503, [], 0.0), (504, [2.0] * 3, 0.0), (505, [1e30], 0.0), (520, [-6e5, 2.5], 0.0), (540, [3e9, 7e8], 0.0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score double")
     got = topk.topk(df, "vec_id % 20 = 0", k=15).collect()
 
     def whole(v):
-        return [int(np.floor(64 * x)) for x in v]
+        return [cut(int(np.floor(64 * x))) for x in v]
 
-    sound = [(i, whole(v)) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)]
+    cut = lambda x: max(1 - 2**63, min(2**63 - 1, x))
+    sound = [(i, whole(v)) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for a, (q, x) in enumerate(sound):
         if q is not None and q % 20 == 0:
-            scores = sorted((-sum(s * t for s, t in zip(x, y)), i if i is not None else 2**63) for b, (i, y) in enumerate(sound) if a != b)[:15]
+            scores = sorted((-cut(sum(s * t for s, t in zip(x, y))), i if i is not None else 2**63) for b, (i, y) in enumerate(sound) if a != b)[:15]
             want += [(q, r + 1, i if i < 2**63 else None, -s) for r, (s, i) in enumerate(scores)]
     key = lambda t: tuple(-1 if x is None else x for x in t)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
