@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
 from ledgerlens import scale
 from ledgerlens.operators.validation import usage_problem
-from ledgerlens.session import written
 
 
 def summarize_usage(usage: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -99,29 +100,83 @@ def paired_deltas(runs: DataFrame, a: str, b: str) -> DataFrame:
         pick(a, "event_id").alias("pair_no"))
 
 
-def bootstrap_ci(df: DataFrame, by: Sequence[str], order: str, value: str, samples: int = 5000, seed: int = 0) -> DataFrame:
-    """Mean and 95 % bootstrap interval per group.
+SHARE = 32  # equal values that share one draw
+POISSON_TERMS = 128  # a Poisson draw of mean 32 beyond this has a chance below 1e-36
 
-    Draw j of resample b takes the row number md5(seed:b:j) mod n, so the draws do not depend on
-    partitioning or on a driver-side generator.  The numbered values are written once; draws are
-    generated next to the rows they number, meet their value by an equi-join (broadcast when the
-    values are few, checked) and are summed map-side per resample.
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def poisson_draws(keys: np.ndarray, means: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Poisson numbers (rows x samples) by inversion of uniforms that hash (seed, key, sample): the same wherever they are drawn."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    start = _mixed(keys.astype(np.uint64) * step + np.uint64(seed))
+    u = (_mixed(start[:, None] + np.arange(1, samples + 1, dtype=np.uint64)[None, :] * step) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    out = np.zeros(u.shape, np.int64)
+    for mean in np.unique(means):
+        rows = means == mean
+        terms = np.exp(-float(mean)) * np.cumprod(np.concatenate([[1.0], float(mean) / np.arange(1, POISSON_TERMS)]))
+        out[rows] = np.searchsorted(np.cumsum(terms), u[rows], "right")
+    return out
+
+
+def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, samples: int = 5000, seed: int = 0, digits: int = 6) -> DataFrame:
+    """Mean and 95 % Poisson bootstrap interval per group; values are taken to ``digits`` digits.
+
+    Equal values are counted map-side.  A value that occurs c times weighs Poisson(c) in each resample, drawn for shares of
+    at most ``SHARE`` occurrences from a hash of (seed, value, share, resample), so neither partitioning nor a driver-side
+    generator matters.  A task adds the weights and weighted values of all its shares per resample; one row per group and
+    resample leaves it, whatever the number of observations.
     """
     by = list(by)
-    values = df.where(F.col(value).isNotNull()).select(*by, order, value)
-    numbered = written(scale.position_in_key(values, by, order, "_pos"), "numbered")
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    rows = numbered.select(*by, (F.col("_pos") - 1).alias("_pos"), F.col(value).alias("_x"))
-    draws = rows.select(*by, F.col("_pos").alias("_j")).join(sizes.select(*by, "n"), by)
-    draws = draws.repartition(df.sparkSession.sparkContext.defaultParallelism)  # few rows, many draws each
-    draws = draws.select(*by, "n", "_j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_j").cast("string"))
-    draws = draws.select(*by, "_b", (F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("n")).alias("_pos"))
-    means = draws.join(scale.small_side(rows, 1_000_000), [*by, "_pos"]).groupBy(*by, "_b").agg(F.round(F.avg("_x"), 9).alias("_m"))
+    unit = 10**digits
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.round(F.col(value) * unit).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / SHARE)))).select(
+        *by, "_v", "_share", F.least(F.lit(SHARE).cast("bigint"), F.col("_c") - F.col("_share") * SHARE).alias("_n"))
+    kinds = {f.name: f.dataType for f in counts.schema.fields}
+    schema = ", ".join(f"`{b}` {kinds[b].simpleString()}" for b in by) + ", _b int, _w bigint, _s double"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            names, found = list(sums), [sums[k] for k in sums]
+            columns = [pa.array([k[i] for k in names for _ in range(samples)], group_kinds[i]) for i in range(len(by))]
+            both = np.concatenate(found, axis=1)
+            columns += [pa.array(np.tile(np.arange(samples, dtype=np.int32), len(names))), pa.array(both[0].astype(np.int64)), pa.array(both[1])]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, [*by, "_b", "_w", "_s"])
+
+        group_kinds = None
+        for batch in batches:
+            group_kinds = [batch.schema.field(b).type for b in by]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                v, share, n = (part.column(c).to_numpy() for c in ("_v", "_share", "_n"))
+                weights = poisson_draws(v * 1_000_003 + share, n, samples, seed)
+                groups: dict[tuple, list[int]] = {}
+                for i, g in enumerate(zip(*[part.column(b).to_pylist() for b in by])):
+                    groups.setdefault(g, []).append(i)
+                for g, rows in groups.items():
+                    w = weights[rows]
+                    add_ = np.stack([w.sum(0).astype(np.float64), (v[rows] / unit) @ w])
+                    sums[g] = sums[g] + add_ if g in sums else add_
+                if len(sums) >= 256:
+                    yield flush()
+        if sums:
+            yield flush()
+
+    drawn = counts.mapInArrow(add, schema).groupBy(*by, "_b").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    means = drawn.where("_m IS NOT NULL").withColumn("_m", F.round("_m", 9))
     w = Window.partitionBy(*by).orderBy("_m", "_b")
     ranked = means.withColumn("_r", F.row_number().over(w) - 1)
     pick = lambda q: F.max(F.when(F.col("_r") == int(q * (samples - 1)), F.col("_m")))
     ci = ranked.groupBy(*by).agg(pick(0.025).alias("ci_low"), pick(0.975).alias("ci_high"))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     single = F.col("n") == 1
     out = sizes.join(ci, by, "left")
     return out.select(*by, "n", F.round("mean", 6).alias("mean"),

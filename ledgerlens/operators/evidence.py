@@ -58,39 +58,62 @@ def registered_hashes(event_sources: DataFrame, registry: DataFrame) -> DataFram
 
 
 # --- exact ranges ----------------------------------------------------------------
-def _lines_for(ranges: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines inside each range: equi-join on (path, block of 64 lines), then the exact bounds.
+def line_blocks(files: DataFrame) -> DataFrame:
+    """(path, sha256, n_lines, block, lines): each file cut into blocks of 64 lines inside its row; an empty file has one empty block.
 
-    A path cited by many ranges, or a file with very many lines, is spread over its
-    blocks; only blocks that are cited leave the line scan.
+    Written once, this is the index that all range reads use: file texts are not read again, and no row is a single line.
     """
-    block = lambda c: F.floor((F.col(c) - 1) / LINE_BLOCK)
-    wanted = ranges.select(*keys, "path", "first_line", "last_line", F.explode(F.sequence(block("first_line"), block("last_line"))).alias("_b"))
-    ln = lines.select("path", "line_no", "text", block("line_no").alias("_b"))
-    return wanted.join(ln, ["path", "_b"]).where(F.col("line_no").between(F.col("first_line"), F.col("last_line"))).drop("_b")
+    cut = files.select("path", "sha256", X.lines_of("text").alias("_l")).select("path", "sha256", F.size("_l").cast("bigint").alias("n_lines"), "_l")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_l") - 1) / LINE_BLOCK)).cast("int")),
+        lambda b: F.slice("_l", b * LINE_BLOCK + 1, F.lit(LINE_BLOCK)))
+    return cut.select("path", "sha256", "n_lines", F.posexplode(parts).alias("block", "lines"))
 
 
-def render_ranges(ranges: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """(key, content, n_lines): numbered text of each range (first_line..last_line, bounded by the caller)."""
-    hit = _lines_for(ranges, lines, [key])
-    return hit.groupBy(key).agg(
-        X.numbered_lines(F.collect_list(F.struct("line_no", "text"))).alias("content"), F.count(F.lit(1)).alias("n_lines"))
+def current_files(blocks: DataFrame) -> DataFrame:
+    """(path, sha256, n_lines) of every file, from its first block."""
+    return blocks.where("block = 0").select("path", "sha256", "n_lines")
 
 
-def fetch_evidence(refs: DataFrame, event_sources: DataFrame, lines: DataFrame, files: DataFrame, context: int = 8,
-                   max_lines: int | None = None, allow_mismatch: bool = False) -> DataFrame:
+def render_pages(ranges: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(key, page, n_lines, content): numbered lines of each range, one row per block of the file that it touches.
+
+    Ranges meet blocks on (path, block), so a path cited by many ranges and a range as long as a file are spread over
+    blocks, and only the lines asked for are numbered.
+    """
+    block = lambda c: F.floor((F.col(c) - 1) / LINE_BLOCK).cast("int")
+    wanted = ranges.select(key, "path", "first_line", "last_line", F.explode(F.sequence(block("first_line"), block("last_line"))).alias("block"))
+    before = F.col("block").cast("bigint") * LINE_BLOCK
+    first = F.greatest(F.col("first_line"), before + 1)
+    n = F.least(F.col("last_line"), before + F.size("lines")) - first + 1
+    part = wanted.join(blocks.select("path", "block", "lines"), ["path", "block"]).select(
+        key, F.col("block").alias("page"), first.alias("_a"), n.alias("n_lines"), F.slice("lines", (first - before).cast("int"), F.greatest(n, F.lit(0)).cast("int")).alias("_l"))
+    numbered = F.transform("_l", lambda t, i: F.struct((F.col("_a") + i).alias("line_no"), t.alias("text")))
+    return part.where("n_lines > 0").select(key, "page", "n_lines", X.numbered_lines(numbered).alias("content"))
+
+
+def render_ranges(ranges: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(key, content, n_lines): the pages of each range joined; for ranges that may be as long as a file, take ``render_pages``."""
+    pages = F.array_sort(F.collect_list(F.struct("page", "content")))
+    return render_pages(ranges, blocks, key).groupBy(key).agg(
+        F.array_join(F.transform(pages, lambda p: p["content"]), "\n").alias("content"), F.sum("n_lines").alias("n_lines"))
+
+
+def fetch_evidence(refs: DataFrame, event_sources: DataFrame, blocks: DataFrame, context: int = 8,
+                   max_lines: int | None = None, allow_mismatch: bool = False, pages: bool = False) -> DataFrame:
     """Fetch cited ranges and verify them against the registered and the current hash.
 
-    refs: (ref_id, event_id, path, start_line, end_line, expected_sha256).  One status per
+    refs: (ref_id, event_id, path, start_line, end_line, expected_sha256); blocks: ``line_blocks``.  One status per
     reference; text is withheld unless the hashes match (or ``allow_mismatch``).  ``context`` lines are added on both
-    sides; with ``max_lines`` longer ranges are refused with a reason, without it none is.
+    sides; with ``max_lines`` longer ranges are refused with a reason, without it none is.  ``pages`` gives a row per
+    reference and page of at most 64 lines (column page), so that a range as long as a file is never one row.
     """
     context = max(0, context)
     reg = (
         event_sources.where("source_sha256 IS NOT NULL AND source_sha256 <> ''")
         .select(F.col("event_id").alias("_e"), F.col("source_path").alias("_p"), F.col("source_sha256").alias("_h")).distinct())
     paths = reg.select(F.col("_e").alias("_e2"), F.col("_p").alias("_p2")).distinct().withColumn("_path_known", F.lit(True))
-    cur = files.select(F.col("path").alias("_fp"), F.col("sha256").alias("current_sha256"), F.size(X.lines_of("text")).cast("bigint").alias("_n"))
+    cur = current_files(blocks).select(F.col("path").alias("_fp"), F.col("sha256").alias("current_sha256"), F.col("n_lines").alias("_n"))
     c = F.col
     j = (
         refs.join(paths, (c("event_id") == c("_e2")) & (c("path") == c("_p2")), "left")
@@ -123,7 +146,7 @@ def fetch_evidence(refs: DataFrame, event_sources: DataFrame, lines: DataFrame,
     )
     show = c("verified") if not allow_mismatch else c("integrity_status").isNotNull()
     ranges = j.where(show & (c("last_line") >= c("first_line"))).select("ref_id", "path", "first_line", "last_line")
-    return j.join(render_ranges(ranges, lines, "ref_id"), "ref_id", "left")
+    return j.join((render_pages if pages else render_ranges)(ranges, blocks, "ref_id"), "ref_id", "left")
 
 
 def _blank(c: str) -> Column:
@@ -149,9 +172,9 @@ def glob_pattern(glob: str) -> str:
     return f"^{body}(/.*)?$" if "*" not in stem and "?" not in stem else f"^{body}$"
 
 
-def hit_windows(hits: DataFrame, files: DataFrame, context: int = 5, radius: int = 18) -> DataFrame:
+def hit_windows(hits: DataFrame, blocks: DataFrame, context: int = 5, radius: int = 18) -> DataFrame:
     """Line window of each hit: the range, or the focus line +- radius inside it, plus context."""
-    n = files.select("path", F.size(X.lines_of("text")).cast("bigint").alias("_n"))
+    n = current_files(blocks).select("path", F.col("n_lines").alias("_n"))
     inside = F.greatest(F.col("start_line"), F.least(F.col("end_line"), F.col("focus_line")))
     focus = F.when(F.col("focus_line").isNotNull(), inside)
     lo = F.when(focus.isNotNull(), F.greatest(F.col("start_line"), focus - radius)).otherwise(F.col("start_line"))
@@ -162,10 +185,10 @@ def hit_windows(hits: DataFrame, files: DataFrame, context: int = 5, radius: int
         .withColumn("last_line", F.least(F.col("_n"), hi + context).cast("bigint")).drop("_n"))
 
 
-def attach_lines(hits: DataFrame, lines: DataFrame, files: DataFrame, key: str = "hit_id", context: int = 5, radius: int = 18) -> DataFrame:
-    """Hits with their numbered lines; hits need key, path, start_line, end_line, focus_line (nullable)."""
-    w = hit_windows(hits, files, context, radius)
-    return w.join(render_ranges(w.select(key, "path", "first_line", "last_line"), lines, key), key, "left")
+def attach_lines(hits: DataFrame, blocks: DataFrame, key: str = "hit_id", context: int = 5, radius: int = 18, pages: bool = False) -> DataFrame:
+    """Hits with their numbered lines; hits need key, path, start_line, end_line, focus_line (nullable).  ``pages`` as in fetch_evidence."""
+    w = hit_windows(hits, blocks, context, radius)
+    return w.join((render_pages if pages else render_ranges)(w.select(key, "path", "first_line", "last_line"), blocks, key), key, "left")
 
 
 def registered_passages(event_sources: DataFrame, registry: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,106 +1,12 @@
-"""Lexical retrieval: postings, BM25 over one or more weighted fields, list building.
-
-Plan: the corpus is tokenised in the scan, partitioned once by document, and every
-later step (term counts, join with the query terms, score sums) reuses that
-partitioning.  What crosses the network after that is at most k rows per query and
-task.  Query terms are broadcast only when their count is checked to be small;
-beyond that both sides are shuffled on (term, salt), the salt splitting the
-postings of a frequent term over many tasks.
-"""
+"""Lexical retrieval over stored inverted indexes: passage-first and event-first lists, scaled scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens import constants as K
 from ledgerlens import scale
-from ledgerlens.functions import text as X
-
-TERM_SALTS = 32
-
-
-def _bags(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
-    """(doc_id, bag): weighted tokens of all fields of a document."""
-
-    def weigh(field: str, weight: float):
-        return F.transform(
-            X.tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.concat(*[weigh(f, w) for f, w in fields.items()]).alias("bag"))
-
-
-def postings(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
-    """(doc_id, dl, term, tf): weighted term counts, partitioned by document."""
-    return (
-        _bags(docs, doc_id, fields).repartition("doc_id")
-        .select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("t"))
-        .groupBy("doc_id", "dl", F.col("t.term").alias("term"))
-        .agg(F.sum("t.w").alias("tf"))
-    )
-
-
-def corpus_stats(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> DataFrame:
-    """One row: number of documents and mean length, empty documents included."""
-    return _bags(docs, doc_id, fields).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("bag")).alias("avg_dl"))
-
-
-def build_lexical_index(docs: DataFrame, doc_id: str, fields: dict[str, float]) -> dict[str, DataFrame]:
-    """Postings, distinct terms per document, term statistics and corpus statistics.
-
-    Document frequencies need no grouping by document: distinct terms are taken inside the row
-    and counted map-side.
-    """
-    seen = _bags(docs, doc_id, fields).select(F.explode(F.array_distinct(F.col("bag")["term"])).alias("term"))
-    return {
-        "postings": postings(docs, doc_id, fields),
-        "seen": seen,
-        "terms": seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")),
-        "corpus": corpus_stats(docs, doc_id, fields),
-    }
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", F.explode(F.array_distinct(X.tokens("query"))).alias("term"))
-
-
-def _match(rows: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """Rows joined with the query terms: broadcast when these are few (checked), else on (term, salt)."""
-    if few:
-        return rows.join(F.broadcast(terms), "term")
-    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-    dealt = rows.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS)))
-    return dealt.join(salted, ["term", "_salt"]).drop("_salt")
-
-
-def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """(qid, doc_id, score) of every document sharing a term with the query."""
-    terms = query_terms(queries)
-    few = scale.fits(terms)  # also bounds the frames derived from the terms below
-    wanted = terms.select("term").distinct()
-    if few:
-        df = index["seen"].join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    else:
-        df = index["terms"].join(wanted, "term", "left_semi")
-    n = index["corpus"].select("n_docs").scalar()
-    avg = index["corpus"].select("avg_dl").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("qid", "term", idf.alias("idf"))
-    saturation = F.col("tf") * (K.BM25_K1 + 1) / (
-        F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avg)
-    )
-    return (
-        _match(index["postings"], weighted, few).groupBy("qid", "doc_id")
-        .agg(F.round(F.sum(F.col("idf") * saturation), 6).alias("score"))
-    )
-
-
-def bm25_topk(queries: DataFrame, index: dict[str, DataFrame], k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, doc_id, score, rank), ties by document id.  ``allowed`` (doc_id) filters before ranking."""
-    scores = bm25_scores(queries, index)
-    if allowed is not None:
-        scores = scores.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    return scale.top_per_key(scores, ["qid"], [F.desc("score"), F.asc("doc_id")], k)
+from ledgerlens.operators.inverted import Index, bm25_topk, search
 
 
 def minmax_by_query(hits: DataFrame, score: str, out: str) -> DataFrame:
@@ -129,7 +35,7 @@ def concat_lists(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return scale.top_per_key(once, ["qid"], order, k)
 
 
-def search_lexical(queries: DataFrame, passage_index: dict, passages: DataFrame, event_index: dict, events: DataFrame,
+def search_lexical(queries: DataFrame, passage_index: Index, passages: DataFrame, event_index: Index, events: DataFrame,
                    k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Passage-first search: passage hits, then event hits; scores of the two lists are never compared."""
     p_allowed = None if allowed is None else passages.join(allowed, "event_id", "left_semi").select(F.col("passage_id").alias("doc_id"))
@@ -144,10 +50,9 @@ def search_lexical(queries: DataFrame, passage_index: dict, passages: DataFrame,
     return concat_lists(ph, eh, k)
 
 
-def search_event_first(queries: DataFrame, event_index: dict, events: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def search_event_first(queries: DataFrame, event_index: Index, events: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Event summaries only; ties by date (newest first), then event id."""
-    scores = bm25_scores(queries, event_index).withColumnRenamed("doc_id", "event_id")
-    if allowed is not None:
-        scores = scores.join(allowed.select("event_id"), "event_id", "left_semi")
+    may = None if allowed is None else allowed.select(F.col("event_id").alias("doc_id"))
+    scores = search(queries, event_index, k, may).scores.withColumnRenamed("doc_id", "event_id")
     dated = scores.join(events.select("event_id", "date"), "event_id")
     return scale.top_per_key(dated, ["qid"], [F.desc("score"), F.desc("date"), F.asc("event_id")], k)

@@ -558,7 +558,7 @@ SELECT f.ref_id, f.event_id, f.path, f.start_line, f.end_line, f.current_sha256,
  sha256(string_agg(l.line_no||': '||l.text, chr(10) ORDER BY l.line_no)) AS content_sha256, count(l.line_no) AS n_lines
 FROM fetched f LEFT JOIN source_lines l ON f.verified AND l.path = f.path AND l.line_no BETWEEN f.first_line AND f.last_line GROUP BY ALL""")
 def e6(spark, d):
-    out = E.fetch_evidence(T.evidence_refs(spark, d), T.event_sources(spark, d), T.source_lines(spark, d), T.files(spark, d), context=2, max_lines=K.MAX_FETCH_LINES)
+    out = E.fetch_evidence(T.evidence_refs(spark, d), T.event_sources(spark, d), T.line_blocks(spark, d), context=2, max_lines=K.MAX_FETCH_LINES)
     return out.select("ref_id", "event_id", "path", "start_line", "end_line", "current_sha256", "first_line", "last_line", "verified", "reason", "integrity_status",
                       F.sha2("content", 256).alias("content_sha256"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
@@ -570,26 +570,33 @@ b AS (SELECT hit_id, path, greatest(1, CASE WHEN focus IS NULL THEN start_line E
 SELECT b.hit_id, a AS first_line, z AS last_line, count(*) AS n_lines, sha256(string_agg(line_no||': '||text, chr(10) ORDER BY line_no)) AS content_sha256
 FROM b JOIN source_lines l ON l.path = b.path AND line_no BETWEEN a AND z GROUP BY ALL""")
 def e7(spark, d):
-    n = T.files(spark, d).select("path", F.size(X.lines_of("text")).alias("n"))
+    n = E.current_files(T.line_blocks(spark, d)).select("path", F.col("n_lines").alias("n"))
     h = T.evidence_refs(spark, d).join(n, "path").select(
         F.col("ref_id").alias("hit_id"), "path", "start_line", "end_line", F.when(F.col("n") % 2 == 0, F.floor(F.col("n") / 2)).alias("focus_line"))
-    return E.attach_lines(h, T.source_lines(spark, d), T.files(spark, d)).select(
+    return E.attach_lines(h, T.line_blocks(spark, d)).select(
         "hit_id", "first_line", "last_line", "n_lines", F.sha2("content", 256).alias("content_sha256"))
 
 
+CTES["lists"] = "SELECT position % (SELECT count(*) FROM benchmark) AS qid, * FROM ledger_events"
+
+
+def lists(spark, d):
+    """Events dealt to as many result lists as there are benchmark items."""
+    n = T.load(spark, d, "benchmark").agg(F.count(F.lit(1))).scalar()
+    return T.events(spark, d).withColumn("qid", F.col("position") % n)
+
+
 @query("a11_export_results", """
-SELECT 1 AS qid, 'header' AS record, 0::BIGINT AS place, NULL::VARCHAR AS hit_id, NULL::VARCHAR AS content_sha256 WHERE false
-UNION ALL SELECT position % 40, 'header', 0, NULL, NULL FROM ledger_events WHERE EXISTS (SELECT 1) GROUP BY position % 40
-UNION ALL SELECT position % 40, 'source', position, event_id, sha256(string_agg(line_no||': '||text, chr(10) ORDER BY line_no)) FROM ledger_events e
- JOIN source_lines l ON l.path = e.source_path GROUP BY position, event_id""")
+SELECT DISTINCT qid, 'header' AS record, 0::BIGINT AS place, NULL::VARCHAR AS hit_id, NULL::BIGINT AS page, NULL::VARCHAR AS content_sha256 FROM lists
+UNION ALL SELECT qid, 'source', position, event_id, (line_no - 1) // 64, sha256(string_agg(line_no||': '||text, chr(10) ORDER BY line_no)) FROM lists e
+ JOIN source_lines l ON l.path = e.source_path GROUP BY qid, position, event_id, (line_no - 1) // 64""")
 def a11(spark, d):
-    h = T.events(spark, d).select((F.col("position") % 40).alias("qid"), F.col("position").alias("rank"), F.col("event_id").alias("hit_id"),
-                                  F.col("source_path").alias("path"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"),
-                                  F.lit(None).cast("bigint").alias("focus_line"))
+    h = lists(spark, d).select("qid", F.col("position").alias("rank"), F.col("event_id").alias("hit_id"), F.col("source_path").alias("path"),
+                               F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"), F.lit(None).cast("bigint").alias("focus_line"))
     path = new_folder(spark, "export")
-    sinks.export_results(h, T.source_lines(spark, d), T.files(spark, d), path)
-    return spark.read.schema("qid BIGINT, record STRING, place BIGINT, hit_id STRING, content STRING").json(path).select(
-        "qid", "record", "place", "hit_id", F.sha2("content", 256).alias("content_sha256"))
+    sinks.export_results(h, T.line_blocks(spark, d), path)
+    return spark.read.schema("qid BIGINT, record STRING, place BIGINT, hit_id STRING, page BIGINT, content STRING").json(path).select(
+        "qid", "record", "place", "hit_id", "page", F.sha2("content", 256).alias("content_sha256"))
 
 
 CTES["order_state"] = """SELECT r.*, CASE WHEN coalesce(amending, false) THEN 'pending_amendment' WHEN coalesce(superseded, false) THEN 'superseded' WHEN coalesce(pending, false) THEN 'pending_supersession' ELSE 'current' END AS authority
@@ -604,12 +611,12 @@ def e8(spark, d):
 
 
 @query("e9_direct_provenance", """
-WITH p AS (SELECT position % 40 AS qid, event_id FROM ledger_events WHERE event_type = 'decision')
+WITH p AS (SELECT qid, event_id FROM lists WHERE event_type = 'decision')
 SELECT qid, event_id, min(hop)::BIGINT AS hop FROM (SELECT qid, event_id, 0 AS hop FROM p UNION ALL
  SELECT p.qid, e.target, 1 FROM p JOIN edges e ON e.event_id = p.event_id WHERE e.target IN (SELECT event_id FROM ledger_events)) GROUP BY qid, event_id""")
 def e9(spark, d):
     e = T.events(spark, d)
-    p = e.where("event_type = 'decision'").select((F.col("position") % 40).alias("qid"), "event_id")
+    p = lists(spark, d).where("event_type = 'decision'").select("qid", "event_id")
     return L.with_direct_provenance(p, T.edges(spark, d).select("event_id", "target"), e)
 
 

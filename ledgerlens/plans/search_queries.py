@@ -8,6 +8,7 @@ from ledgerlens import constants as K
 from ledgerlens.functions import text as X
 from ledgerlens.operators import evidence as E
 from ledgerlens.operators import fusion as U
+from ledgerlens.operators import inverted as IX
 from ledgerlens.operators import lexical as LX
 from ledgerlens.operators import lineage as L
 from ledgerlens.operators import passages as PK
@@ -55,33 +56,48 @@ _bm25_ctes("psg", "psg_docs", "passage_id", PASSAGE_FIELDS)
 
 
 # --- F1-F5: lexical -------------------------------------------------------------------
+def index_of(spark, d, name, docs, doc_id, fields):
+    return IX.open_index(spark, T.published(spark, d, f"index-{name}", lambda base: IX.publish_index(docs(), doc_id, fields, base, buckets=16)))
+
+
 def doc_index(spark, d):
-    return LX.build_lexical_index(T.load(spark, d, "documents"), "doc_id", DOC_FIELDS)
+    return index_of(spark, d, "documents", lambda: T.load(spark, d, "documents"), "doc_id", DOC_FIELDS)
+
+
+def event_index(spark, d):
+    return index_of(spark, d, "events", lambda: T.events(spark, d), "event_id", EVENT_FIELDS)
 
 
-def event_index(events, fields=EVENT_FIELDS):
-    return LX.build_lexical_index(events, "event_id", fields)
+def weighted_event_index(spark, d):
+    return index_of(spark, d, "weighted-events", lambda: T.events(spark, d), "event_id", WEIGHTED_FIELDS)
+
+
+def passage_index(spark, d):
+    return index_of(spark, d, "passages", lambda: passages(spark, d), "passage_id", PASSAGE_FIELDS)
 
 
 def passages(spark, d):
-    p = E.registered_passages(T.event_sources(spark, d), T.registry(spark, d), T.files(spark, d))
-    return p.select(F.concat_ws("#", "event_id", "source_ordinal").alias("passage_id"), "event_id", "heading", "source_path", "content",
-                    F.col("source_path").alias("path"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
+    def make():
+        p = E.registered_passages(T.event_sources(spark, d), T.registry(spark, d), T.files(spark, d))
+        return p.select(F.concat_ws("#", "event_id", "source_ordinal").alias("passage_id"), "event_id", "heading", "source_path", "content",
+                        F.col("source_path").alias("path"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
+
+    return T.shared(spark, d, "passages", make)
 
 
 @query("f1_postings", "SELECT doc_id, dl::BIGINT AS dl, term, tf FROM doc_tf JOIN doc_dl USING (doc_id)")
 def f1(spark, d):
-    return doc_index(spark, d)["postings"]
+    return doc_index(spark, d).postings()
 
 
 @query("f1_term_stats", "SELECT term, count(*) AS df FROM doc_tf GROUP BY term")
 def f1b(spark, d):
-    return doc_index(spark, d)["terms"]
+    return doc_index(spark, d).terms.select("term", "df")
 
 
 @query("f2_bm25_topk", "SELECT qid, doc_id, score, rank FROM doc_ranked WHERE rank <= 5")
 def f2(spark, d):
-    return LX.bm25_topk(T.search_queries(spark, d), doc_index(spark, d), 5)
+    return IX.bm25_topk(T.search_queries(spark, d), doc_index(spark, d), 5)
 
 
 @query("d3_filter_inside_lexical", """
@@ -90,7 +106,7 @@ WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY
 def d3(spark, d):
     e = T.events(spark, d)
     allowed = e.where("status = 'completed'").select(F.col("event_id").alias("doc_id"))
-    return LX.bm25_topk(T.search_queries(spark, d), event_index(e), 10, allowed).withColumnRenamed("doc_id", "event_id")
+    return IX.bm25_topk(T.search_queries(spark, d), event_index(spark, d), 10, allowed).withColumnRenamed("doc_id", "event_id")
 
 
 CTES["evw_hits"] = "SELECT qid, doc_id AS event_id, score, rank FROM evw_ranked WHERE rank <= 40"
@@ -99,7 +115,7 @@ CTES["evw_hits"] = "SELECT qid, doc_id AS event_id, score, rank FROM evw_ranked
 @query("f3_weighted_bm25", """
 SELECT qid, event_id, rank, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END, 6) AS lexical_score FROM evw_hits WINDOW w AS (PARTITION BY qid)""")
 def f3(spark, d):
-    hits = LX.bm25_topk(T.search_queries(spark, d), event_index(T.events(spark, d), WEIGHTED_FIELDS), 40)
+    hits = IX.bm25_topk(T.search_queries(spark, d), weighted_event_index(spark, d), 40)
     return LX.minmax_by_query(hits, "score", "s").select("qid", F.col("doc_id").alias("event_id"), "rank", F.round("s", 6).alias("lexical_score"))
 
 
@@ -114,9 +130,8 @@ CTES["lexical30"] = _lexical_list_cte(30)
 
 
 def lexical_list(spark, d, k):
-    e, p = T.events(spark, d), written(passages(spark, d), "passages")
     return LX.search_lexical(
-        T.search_queries(spark, d), LX.build_lexical_index(p, "passage_id", PASSAGE_FIELDS), p, event_index(e), e, k)
+        T.search_queries(spark, d), passage_index(spark, d), passages(spark, d), event_index(spark, d), T.events(spark, d), k)
 
 
 @query("f4_passage_first_search", "SELECT qid, event_id, path, start_line, end_line, score, rank FROM lexical10")
@@ -135,7 +150,7 @@ CTES["event_first"] = """SELECT qid, doc_id AS event_id, score, row_number() OVE
 @query("f5_event_first_search", "SELECT qid, event_id, score, rank FROM event_first WHERE rank <= 10")
 def f5(spark, d):
     e = T.events(spark, d)
-    return LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10).select("qid", "event_id", "score", "rank")
+    return LX.search_event_first(T.search_queries(spark, d), event_index(spark, d), e, 10).select("qid", "event_id", "score", "rank")
 
 
 @query("c25_numbered_lines", "SELECT path, sha256(string_agg(line_no||': '||text, chr(10) ORDER BY line_no)) AS content_sha256 FROM source_lines GROUP BY path")
@@ -231,19 +246,22 @@ CTES["sem_scores"] = """SELECT qid, split_part(doc_id, '#', 1) AS event_id, CASE
 CTES["sem_ranked"] = """SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, event_id) AS rank FROM (SELECT * FROM sem_scores QUALIFY row_number() OVER (PARTITION BY qid, event_id ORDER BY score DESC, passage_id) = 1)"""
 
 
-def event_vectors(spark, d, p):
-    e = T.events(spark, d).select(F.col("event_id").alias("doc_id"), P.titled_summary().alias("text"))
-    rows = e.unionByName(p.select(F.col("passage_id").alias("doc_id"), F.col("content").alias("text")))
-    v = VX.embed_hash(rows, "doc_id", "text", DIMS)
-    return v.select(F.split("doc_id", "#")[0].alias("event_id"), F.when(F.contains("doc_id", F.lit("#")), F.col("doc_id")).otherwise("").alias("passage_id"), "vector")
+def event_vectors(spark, d):
+    def make():
+        e = T.events(spark, d).select(F.col("event_id").alias("doc_id"), P.titled_summary().alias("text"))
+        rows = e.unionByName(passages(spark, d).select(F.col("passage_id").alias("doc_id"), F.col("content").alias("text")))
+        v = VX.embed_hash(rows, "doc_id", "text", DIMS)
+        return v.select(F.split("doc_id", "#")[0].alias("event_id"), F.when(F.contains("doc_id", F.lit("#")), F.col("doc_id")).otherwise("").alias("passage_id"), "vector")
+
+    return T.shared(spark, d, "vectors", make)
 
 
 def query_vectors(spark, d):
     return VX.embed_hash(T.search_queries(spark, d), "qid", "query", DIMS).withColumnRenamed("doc_id", "qid")
 
 
-def semantic_list(spark, d, k, p):
-    return VX.topk_cosine(query_vectors(spark, d), event_vectors(spark, d, p), k, "event_id", ["passage_id"])
+def semantic_list(spark, d, k):
+    return VX.topk_cosine(query_vectors(spark, d), event_vectors(spark, d), k, "event_id", ["passage_id"])
 
 
 def _rrf_sql(lex: str, lex_k: int, sem_k: int, wl: float, ws: float, k: int) -> str:
@@ -254,16 +272,14 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score
 
 @query("f9_weighted_rrf", _rrf_sql("lexical30", 30, 30, 0.45, 0.55, 10))
 def f9(spark, d):
-    e, p = T.events(spark, d), written(passages(spark, d), "passages")
-    lex = LX.search_lexical(T.search_queries(spark, d), LX.build_lexical_index(p, "passage_id", PASSAGE_FIELDS), p, event_index(e), e, 30)
-    return U.rrf(lex, semantic_list(spark, d, 30, p), 10)
+    return U.rrf(lexical_list(spark, d, 30), semantic_list(spark, d, 30), 10)
 
 
 @query("f10_event_first_rrf", _rrf_sql("event_first", 10, 80, 1.0, 1.0, 10))
 def f10(spark, d):
     e = T.events(spark, d)
-    lex = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10)
-    return U.rrf(lex, semantic_list(spark, d, 80, written(passages(spark, d), "passages")), 10, weights=(1.0, 1.0))
+    lex = LX.search_event_first(T.search_queries(spark, d), event_index(spark, d), e, 10)
+    return U.rrf(lex, semantic_list(spark, d, 80), 10, weights=(1.0, 1.0))
 
 
 CTES["sem_passages"] = """SELECT qid, event_id, passage_id, score AS semantic_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, passage_id) AS rank FROM sem_scores WHERE passage_id <> '') WHERE rank <= 50"""
@@ -277,9 +293,8 @@ h AS (SELECT *, round(0.25::DOUBLE * lexical_score + 0.75::DOUBLE * least(1, gre
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qid, event_id ORDER BY hybrid_score DESC, semantic_score DESC, lexical_score DESC, passage_id) = 1)
 SELECT qid, event_id, passage_id, kind, hybrid_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, semantic_score DESC, lexical_score DESC, event_id) AS rank FROM o) WHERE rank <= 10""")
 def f11(spark, d):
-    p = written(passages(spark, d), "passages")
-    lex = LX.minmax_by_query(LX.bm25_topk(T.search_queries(spark, d), event_index(T.events(spark, d), WEIGHTED_FIELDS), 40), "score", "lexical_score")
-    v = VX.embed_hash(p, "passage_id", "content", DIMS).select(F.col("doc_id").alias("passage_id"), F.split("doc_id", "#")[0].alias("event_id"), "vector")
+    lex = LX.minmax_by_query(IX.bm25_topk(T.search_queries(spark, d), weighted_event_index(spark, d), 40), "score", "lexical_score")
+    v = event_vectors(spark, d).where("passage_id <> ''")
     sem = VX.topk_cosine(query_vectors(spark, d), v, 50, "passage_id", ["event_id"]).withColumnRenamed("score", "semantic_score")
     out = U.fuse_linear(lex.withColumnRenamed("doc_id", "event_id"), sem, 0.25, 0.75, 10)
     return out.select("qid", "event_id", "passage_id", "kind", "hybrid_score", "rank")
@@ -319,7 +334,7 @@ SELECT qid, event_id, score, variant FROM h QUALIFY row_number() OVER (PARTITION
 def f12(spark, d):
     x = written(expanded(spark, d), "variants")
     q = x.select((F.col("qid") * 10 + F.col("variant")).alias("qid"), "query")
-    hits = LX.bm25_topk(q, event_index(T.events(spark, d)), 30)
+    hits = IX.bm25_topk(q, event_index(spark, d), 30)
     hits = hits.select(F.floor(F.col("qid") / 10).alias("qid"), (F.col("qid") % 10).alias("variant"), F.col("doc_id").alias("event_id"), "score")
     return U.merge_variants(hits.join(x.select("qid", "variant", "weight"), ["qid", "variant"]), "event_id", "score")
 
@@ -348,8 +363,8 @@ SELECT qid, event_id, rank, score, reason, 'semantic' AS route FROM (SELECT * FR
 UNION ALL SELECT qid, event_id, rank, score, reason, 'lexical' FROM (SELECT * FROM event_first WHERE rank <= 10) JOIN m USING (qid) WHERE reason <> 'natural_language_semantic_route'""")
 def f13(spark, d):
     e = T.events(spark, d)
-    lex = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10)
-    sem = written(semantic_list(spark, d, 10, written(passages(spark, d), "passages")), "semantic")
+    lex = LX.search_event_first(T.search_queries(spark, d), event_index(spark, d), e, 10)
+    sem = written(semantic_list(spark, d, 10), "semantic")
     return U.route(marked_queries(spark, d), lex, sem)
 
 
@@ -374,7 +389,7 @@ def f18(spark, d):
 
 @query("f17_diversity_selection")
 def f17(spark, d):
-    hits = LX.bm25_topk(T.search_queries(spark, d), doc_index(spark, d), 40)
+    hits = IX.bm25_topk(T.search_queries(spark, d), doc_index(spark, d), 40)
     e = T.events(spark, d).select(F.col("position").alias("doc_id"), "event_id", F.col("source_path").alias("path"), "heading")
     return U.diversify(hits.join(e, "doc_id").select("qid", "rank", "event_id", "path", "heading", (F.col("doc_id") % 5 == 0).alias("priority")), 12)
 
@@ -568,7 +583,7 @@ def d2(spark, d):
 SELECT qid, rank, event_id, e.status, e.date, e.source_path AS path FROM event_first f JOIN ledger_events e USING (event_id) WHERE rank <= 10""")
 def e1(spark, d):
     e = T.events(spark, d)
-    hits = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 10).select("qid", "rank", "event_id")
+    hits = LX.search_event_first(T.search_queries(spark, d), event_index(spark, d), e, 10).select("qid", "rank", "event_id")
     return hits.join(e.select("event_id", "status", "date", F.col("source_path").alias("path")), "event_id")
 
 
@@ -577,6 +592,6 @@ SELECT coalesce(l.qid, w.qid) AS qid, coalesce(l.event_id, w.event_id) AS event_
 FULL OUTER JOIN (SELECT * FROM evw_hits WHERE rank <= 20) w ON l.qid = w.qid AND l.event_id = w.event_id""")
 def e10(spark, d):
     e = T.events(spark, d)
-    a = LX.search_event_first(T.search_queries(spark, d), event_index(e), e, 20).select("qid", "event_id", F.col("rank").alias("plain_rank"))
-    b = LX.bm25_topk(T.search_queries(spark, d), event_index(e, WEIGHTED_FIELDS), 20).select("qid", F.col("doc_id").alias("event_id"), F.col("rank").alias("weighted_rank"))
+    a = LX.search_event_first(T.search_queries(spark, d), event_index(spark, d), e, 20).select("qid", "event_id", F.col("rank").alias("plain_rank"))
+    b = IX.bm25_topk(T.search_queries(spark, d), weighted_event_index(spark, d), 20).select("qid", F.col("doc_id").alias("event_id"), F.col("rank").alias("weighted_rank"))
     return a.join(b, ["qid", "event_id"], "full_outer")

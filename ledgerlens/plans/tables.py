@@ -6,15 +6,40 @@ are set by row number so that checks have something to find.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import scale
 from ledgerlens.plans.registry import CTES
+from ledgerlens.session import new_folder
+
+_PUBLISHED: dict[tuple[str, str, str], str] = {}
+
+
+def published(spark: SparkSession, folder: str, name: str, build: Callable[[str], None]) -> str:
+    """Folder of something that queries of one session share (an index, passages, vectors), built by the first that asks."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _PUBLISHED:
+        base = new_folder(spark, name)
+        build(base)
+        _PUBLISHED[key] = base
+    return _PUBLISHED[key]
+
+
+def shared(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that queries of one session share, written by the first that asks."""
+    return spark.read.parquet(published(spark, folder, name, lambda base: make().write.parquet(base)))
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table.  ``documents`` comes as one row group, which one task would read and tokenise: it is written once with
+    two files per core, and all queries of a session read that copy."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name != "documents":
+        return table
+    return shared(spark, folder, name, lambda: table.repartition(2 * spark.sparkContext.defaultParallelism))
 
 
 # --- files, registry, lines --------------------------------------------------
@@ -53,6 +78,12 @@ def source_lines(spark, d):
     return to_lines(files(spark, d), ["path", "sha256"], "text")
 
 
+def line_blocks(spark, d):
+    from ledgerlens.operators.evidence import line_blocks as cut
+
+    return shared(spark, d, "line-blocks", lambda: cut(files(spark, d)))
+
+
 CTES["source_lines"] = """SELECT path, sha256, line_no, lines[line_no] AS text FROM (
   SELECT path, sha256, lines, unnest(range(1, len(lines)+1)) AS line_no
   FROM (SELECT path, sha256, string_split(regexp_replace(text, chr(10)||'$', ''), chr(10)) AS lines FROM files))"""
@@ -173,15 +204,16 @@ CTES["claims"] = f"""SELECT 'claim_'||item_id AS claim_id, text AS claim, ({CLAI
 
 
 def evidence_refs(spark, d):
-    """Every event is cited once; the claim number is the event number folded to the 40 first claims."""
-    return events(spark, d).selectExpr(
-        "concat('ref_', position) AS ref_id", "concat('claim_', position % 40) AS claim_id", "event_id",
+    """Every event is cited once; the claim number is the event number folded to the number of claims."""
+    n = load(spark, d, "benchmark").agg(F.count(F.lit(1))).scalar()
+    return events(spark, d).withColumn("_n", n).selectExpr(
+        "concat('ref_', position) AS ref_id", "concat('claim_', position % _n) AS claim_id", "event_id",
         "source_path AS path", "line_start AS start_line", "line_end AS end_line",
         "source_sha256 AS expected_sha256",
     )
 
 
-CTES["evidence_refs"] = """SELECT 'ref_'||position AS ref_id, 'claim_'||(position % 40) AS claim_id, event_id,
+CTES["evidence_refs"] = """SELECT 'ref_'||position AS ref_id, 'claim_'||(position % (SELECT count(*) FROM benchmark)) AS claim_id, event_id,
   source_path AS path, line_start AS start_line, line_end AS end_line, source_sha256 AS expected_sha256
   FROM ledger_events"""
 

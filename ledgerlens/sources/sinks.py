@@ -63,10 +63,13 @@ def append_records(records: DataFrame, root: str, issues: DataFrame | None = Non
     records.withColumn("ledger_day", day).write.mode("append").partitionBy("ledger_day").json(root)
 
 
-def export_results(hits: DataFrame, lines: DataFrame, files: DataFrame, path: str) -> None:
-    """One header row per query and one source row per hit with its numbered lines, as JSON lines per query."""
-    rows = E.attach_lines(hits, lines, files)
-    head = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("record", F.lit("header")).withColumn("place", F.lit(0))
+def export_results(hits: DataFrame, blocks: DataFrame, path: str) -> None:
+    """One header row per query and the source rows of its hits with their numbered lines, as JSON lines per query.
+
+    A hit has a row per page of at most 64 lines, in order, so that no row holds a whole file.
+    """
+    rows = E.attach_lines(hits, blocks, pages=True)
+    head = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("record", F.lit("header")).withColumn("place", F.lit(0))
     body = rows.withColumn("record", F.lit("source")).withColumn("place", F.col("rank"))
-    out = head.unionByName(body.select("qid", "record", "place", "hit_id", "path", "start_line", "end_line", "content"), allowMissingColumns=True)
-    out.hint("rebalance", F.col("qid")).sortWithinPartitions("qid", "place").write.mode("errorifexists").json(path)
+    out = head.unionByName(body.select("qid", "record", "place", "hit_id", "path", "start_line", "end_line", "page", "content"), allowMissingColumns=True)
+    out.hint("rebalance", F.col("qid")).sortWithinPartitions("qid", "place", "hit_id", "page").write.mode("errorifexists").json(path)

@@ -24,7 +24,7 @@ OTHER = hashlib.sha256(b"other").hexdigest()
 def store(frame):
     files = frame([("a.txt", SHA, TEXT), ("b.txt", OTHER, "changed")], "path string, sha256 string, text string")
     sources = frame([("e1", "a.txt", SHA), ("e2", "a.txt", SHA), ("e3", "b.txt", SHA)], "event_id string, source_path string, source_sha256 string")
-    return sources, R.to_lines(files, ["path"], "text"), files
+    return sources, E.line_blocks(files)
 
 
 REF = "ref_id string, claim_id string, event_id string, path string, start_line long, end_line long, expected_sha256 string"

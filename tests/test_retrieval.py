@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import fusion as U
+from ledgerlens.operators import inverted as IX
 from ledgerlens.operators import lexical as LX
 from ledgerlens.operators import passages as PK
 from ledgerlens.operators import rerank as RR
@@ -39,25 +40,54 @@ def brute_bm25(corpus, query, k):
     return sorted(((i, round(s, 6)) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])  # 0 forces the salted shuffle join
-def test_bm25_matches_brute_force(frame, corpus, limit, monkeypatch):
-    monkeypatch.setattr(LX.scale.fits, "__defaults__", (limit,))
-    docs = frame(corpus, "id long, text string")
-    queries = frame([(1, "needle the"), (2, "alpha of gamma")], "qid int, query string")
-    got = LX.bm25_topk(queries, LX.build_lexical_index(docs, "id", {"text": 1.0}), 7)
+def index_of(df, doc_id, fields, tmp_path, name="index"):
+    IX.publish_index(df, doc_id, fields, str(tmp_path / name), buckets=4)
+    return IX.open_index(df.sparkSession, str(tmp_path / name))
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_bm25_matches_brute_force(frame, corpus, block, monkeypatch, tmp_path):
+    monkeypatch.setattr(IX, "BLOCK_DOCS", block)
+    index = index_of(frame(corpus, "id long, text string"), "id", {"text": 1.0}, tmp_path)
+    queries = frame([(1, "needle the"), (2, "alpha of gamma"), (3, "unknown words"), (4, None)], "qid int, query string")
+    got = IX.bm25_topk(queries, index, 7)
+    assert got.where("qid > 2").isEmpty()
     for qid, q in ((1, "needle the"), (2, "alpha of gamma")):
         mine = [(r.doc_id, r.score) for r in got.where(F.col("qid") == qid).orderBy("rank").collect()]
         assert [i for i, _ in mine] == [i for i, _ in brute_bm25(corpus, q, 7)]
         assert [s for _, s in mine] == pytest.approx([s for _, s in brute_bm25(corpus, q, 7)], abs=2e-6)
+    even = frame([(i,) for i, _ in corpus if i % 2 == 0], "doc_id long")
+    mine = IX.bm25_topk(queries, index, 5, even).where("qid = 1").orderBy("rank").collect()
+    assert [r.doc_id for r in mine] == [i for i, _ in brute_bm25(corpus, "needle the", 60) if i % 2 == 0][:5]
+
+
+def test_search_skips_blocks(frame, tmp_path, monkeypatch):
+    """Documents about one word lie together; a query for it reads their blocks and no others of the frequent word."""
+    monkeypatch.setattr(IX, "BLOCK_DOCS", 8)
+    texts = [(i, "needle needle hay" if 40 <= i < 56 else "hay and more hay than anyone needs for a needle or two") for i in range(400)]
+    index = index_of(frame(texts, "id long, text string").coalesce(1), "id", {"text": 1.0}, tmp_path)
+    q = frame([(1, "needle hay")], "qid int, query string")
+    found = IX.search(q, index, 10, probe=2)
+    every, skipped = found.skipped()
+    assert every == 50 and skipped >= 40
+    best, mine = brute_bm25(texts, "needle hay", 10), IX.bm25_topk(q, index, 10).orderBy("rank").collect()
+    assert [r.doc_id for r in mine] == [i for i, _ in best] and [r.score for r in mine] == pytest.approx([s for _, s in best], abs=2e-6)
+
+
+def test_index_tables(frame, tmp_path):
+    index = index_of(frame([(1, "b a b", "a"), (2, None, None), (3, "", "c")], "id long, text string, title string"), "id", {"text": 1.0, "title": 0.5}, tmp_path)
+    assert rows_of(index.postings(), "doc_id", "dl", "term", "tf") == [(1, 4, "a", 1.5), (1, 4, "b", 2.0), (3, 1, "c", 0.5)]
+    assert rows_of(index.terms, "term", "df") == [("a", 1), ("b", 1), ("c", 1)]
+    assert (index.corpus.first().n_docs, index.corpus.first().avg_dl) == (3, 5 / 3)
 
 
-def test_passage_first_against_event_first(frame):
+def test_passage_first_against_event_first(frame, tmp_path):
     events = frame([("e1", "plain words", "h", "p1", 1, 1, "2024-01-01"), ("e2", "needle in summary", "h", "p2", 1, 1, "2024-01-01")],
                    "event_id string, summary string, heading string, source_path string, line_start long, line_end long, date string")
     passages = frame([("e1#0", "e1", "needle line", "p1", 1, 1)], "passage_id string, event_id string, content string, path string, start_line long, end_line long")
     q = frame([(1, "needle")], "qid int, query string")
-    ei = LX.build_lexical_index(events, "event_id", {"summary": 1.0})
-    pi = LX.build_lexical_index(passages, "passage_id", {"content": 1.0})
+    ei = index_of(events, "event_id", {"summary": 1.0}, tmp_path, "e")
+    pi = index_of(passages, "passage_id", {"content": 1.0}, tmp_path, "p")
     first = LX.search_lexical(q, pi, passages, ei, events, 5).orderBy("rank").collect()
     assert [r.event_id for r in first] == ["e1", "e2"]
     assert LX.search_event_first(q, ei, events, 5).first()["event_id"] == "e2"

@@ -70,14 +70,14 @@ def test_top_per_key_breaks_ties_by_order(frame):
 
 def test_bootstrap_single_value_is_its_own_interval(frame):
     df = frame([("g", 1, 2.5)], "g string, o long, v double")
-    r = A.bootstrap_ci(df, ["g"], "o", "v", samples=50).first()
+    r = A.bootstrap_ci(df, ["g"], "v", samples=50).first()
     assert (r.n, r.mean, r.ci_low, r.ci_high) == (1, 2.5, 2.5, 2.5)
 
 
 def test_bootstrap_interval_contains_mean_and_repeats(frame):
     df = frame([("g", i, float(i % 10)) for i in range(200)], "g string, o long, v double")
-    a = A.bootstrap_ci(df, ["g"], "o", "v", samples=400, seed=7).first()
-    b = A.bootstrap_ci(df.repartition(7), ["g"], "o", "v", samples=400, seed=7).first()
+    a = A.bootstrap_ci(df, ["g"], "v", samples=400, seed=7).first()
+    b = A.bootstrap_ci(df.repartition(7), ["g"], "v", samples=400, seed=7).first()
     assert a == b and a.ci_low < a.mean < a.ci_high
 
 
