@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.order import packed, with_prefix
+from ledgerlens.llm.splitting import shard_quotas
 from ledgerlens.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,10 +61,10 @@ def mix(
 
     The documents of a source, by id, are cut into blocks of about ``block_words`` words; a document belongs to the block
     in which it starts.  Every pass over a source permutes its blocks anew.  The quota of a source is the blocks from the
-    start of its passes up to its target, the last block cut to the word.  All quota blocks are put in one random order,
-    and the tree of shards splits it: each node gives the first half of its blocks to its left child, so the counts per
-    source of the children are multivariate hypergeometric and every block is drawn once.  In closed form the leaf is
-    floor(rank * n_shards / blocks).  Shards therefore hold equal numbers of blocks (one apart at most).
+    start of its passes up to its target, the last block cut to the word.  A tree of shards splits these exact quotas: each
+    node gives its left child the blocks of the left child's shards, and their counts per source are one multivariate
+    hypergeometric draw (see splitting).  A leaf then takes its count from the source's blocks in a permuted order, so that
+    every block of a pass is drawn once, by one shard.  Shards hold equal numbers of blocks (one apart at most).
 
     Columns: ``rid`` (number of the row), ``row`` (struct of the columns of ``docs``), ``size``, ``source_size``, ``target``, ``pass`` (0-based),
     ``words`` (drawn of this document, from its start), ``shard``, ``place`` (random order inside the shard).  Documents of
@@ -98,9 +99,15 @@ def mix(
     left = F.round("target").cast("long") - (F.col("at") - F.col("stream_start"))
     quota = passes.join(starts, "source_index").withColumn("drawn", F.least(F.col("block_size"), left)).where("drawn > 0")
     quota = quota.select("source_index", "block", "block_start", "pass", "drawn", draw_key(seed + 1, F.col("source_index"), F.col("pass"), F.col("block")).alias("key"))
-    ranked = written(with_prefix(quota, [F.col("key").asc(), F.col("source_index").asc(), F.col("pass").asc(), F.col("block").asc()], {}, "rank", "mix-tree"), "mix-quotas")
-    n_blocks = max(1, ranked.count())
-    dealt = ranked.withColumn("shard", F.expr(f"cast(rank * {n_shards} div {n_blocks} as int)")).drop("rank", "key")
+    order = [F.col("source_index").asc(), F.col("key").asc(), F.col("pass").asc(), F.col("block").asc()]
+    ranked = written(with_prefix(quota, order, {}, "rank", "mix-order"), "mix-quotas")
+    per_source = written(ranked.groupBy("source_index").agg(F.count("*").alias("blocks"), F.min("rank").alias("first_rank")), "mix-counts")
+    shards = shard_quotas(per_source.select("source_index", "blocks"), sources.count(), n_shards, seed)
+    # the borders of a source's shards: one row per source, n_shards numbers
+    borders = shards.groupBy("source_index").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("borders"))
+    leaf = F.expr("element_at(filter(borders, x -> x.first <= rank - first_rank), -1).shard")
+    dealt = ranked.join(borders.join(per_source.drop("blocks"), "source_index"), "source_index").withColumn("shard", leaf)
+    dealt = dealt.drop("rank", "key", "borders", "first_rank")
 
     drawn = placed.join(dealt, ["source_index", "block"]).withColumn(
         "words", F.least(F.col("size"), F.col("block_start") + F.col("drawn") - F.col("start"))).where("words > 0")
