@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,28 +160,23 @@ def diversify(hits: DataFrame, k: int, event_cap: int = 4, result_family_cap: in
               priority_cap: int = 5) -> DataFrame:
     """Greedy selection in rank order under per-event and per-family caps.
 
-    hits: (qid, rank, event_id, path, heading, priority).  A hit refused by one cap does not
-    count for the other, so the walk is sequential; it runs over a retrieval list, whose length per
-    query is set by the retrieval k.
+    hits: (qid, rank, event_id, path, heading, priority) and, if wanted, ``bundle``: such rows are taken at their rank
+    without caps, path or heading, and fill a place but no cap.  A hit refused by one cap does not count for the other, so
+    each list is folded in order; it is a retrieval list, whose length per query is set by the retrieval k.
     """
-    clean = hits.where((F.trim(F.coalesce("path", F.lit(""))) != "") & ~F.lower(F.trim(F.coalesce("heading", F.lit("")))).isin(*K.LOW_VALUE_HEADINGS))
-    clean = clean.select("qid", "rank", "event_id", "path", "priority", X.path_family("path").alias("family"))
-    schema = clean.drop("priority").schema.add("selected_rank", "long")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        events: dict = {}
-        families: dict = {}
-        taken = []
-        for row in pdf.sort_values("rank").itertuples(index=False):
-            e_cap = priority_cap if row.priority else event_cap
-            f_cap = priority_cap if row.priority else result_family_cap if row.path.startswith("results/") else family_cap
-            if events.get(row.event_id, 0) >= e_cap or families.get(row.family, 0) >= f_cap:
-                continue
-            events[row.event_id] = events.get(row.event_id, 0) + 1
-            families[row.family] = families.get(row.family, 0) + 1
-            taken.append((row.qid, row.rank, row.event_id, row.path, row.family, len(taken) + 1))
-            if len(taken) >= k:
-                break
-        return pd.DataFrame(taken, columns=[f.name for f in schema.fields])
-
-    return clean.groupBy("qid").applyInPandas(walk, schema)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in hits.columns else F.lit(False)
+    usable = (F.trim(F.coalesce("path", F.lit(""))) != "") & ~F.lower(F.trim(F.coalesce("heading", F.lit("")))).isin(*K.LOW_VALUE_HEADINGS)
+    family_limit = F.when(F.startswith("path", F.lit("results/")), result_family_cap).otherwise(family_cap)
+    hit = F.struct(
+        "rank", "event_id", "path", X.path_family("path").alias("family"), yes("bundle").alias("bundle"),
+        F.when(yes("priority"), priority_cap).otherwise(event_cap).alias("e_cap"), F.when(yes("priority"), priority_cap).otherwise(family_limit).alias("f_cap"))
+    lists = hits.where(yes("bundle") | usable).groupBy("qid").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+
+    def step(taken: Column, x: Column) -> Column:
+        same = lambda c: F.size(F.filter(taken, lambda t: ~t["bundle"] & t[c].eqNullSafe(x[c])))
+        free = x["bundle"] | ((same("event_id") < x["e_cap"]) & (same("family") < x["f_cap"]))
+        return F.when((F.size(taken) < k) & free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    taken = F.aggregate("hits", F.filter("hits", lambda x: F.lit(False)), step)
+    return lists.select("qid", F.posexplode(taken)).select(
+        "qid", "col.rank", "col.event_id", "col.path", "col.family", (F.col("pos") + 1).cast("long").alias("selected_rank"))

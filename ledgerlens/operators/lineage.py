@@ -127,15 +127,19 @@ def with_direct_provenance(primary: DataFrame, references: DataFrame, events: Da
 
 
 def _leaves(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Scalar leaves of each JSON text, walked with a stack, so that no depth is too deep; numbers keep their text."""
+    """Scalar leaves of each JSON text, walked with a stack; numbers keep their text, also NaN and the infinities.  A text that
+    the parser cannot open gives one row that says so, never nothing."""
     for series in bodies:
         out = []
         for body in series:
+            stack, found = [], []
             try:
-                stack = [("", "", "", json.loads(body, parse_float=str, parse_int=str))] if body is not None else []
-            except (ValueError, RecursionError):
-                stack = []
-            found = []
+                if body is not None:
+                    stack.append(("", "", "", json.loads(body, parse_float=str, parse_int=str, parse_constant=str)))
+            except ValueError:
+                found.append({"error": "not_json"})
+            except RecursionError:
+                found.append({"error": "too_deep"})
             while stack:
                 path, key, ancestors, v = stack.pop()
                 below = f"{ancestors}/{key.lower()}"
@@ -151,11 +155,13 @@ def _leaves(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def json_leaves(df: DataFrame, id_col: str, body: str) -> DataFrame:
-    """Scalar leaves of a JSON document at any depth: (id, path, key, ancestors, value).
+    """Scalar leaves of a JSON document: (id, path, key, ancestors, value, error).
 
-    One pass: the text is parsed and walked inside its row.  Unreadable texts and empty containers have no leaves.
+    One pass: the text is parsed and walked inside its row.  A text that is no JSON (error "not_json") or is nested deeper
+    than the parser follows, some thousands of levels ("too_deep"), gives one row with only id and error, so that callers
+    can count what was not read; leaves have a null error.  Null texts and empty containers have no leaves.
     """
-    walk = F.pandas_udf(_leaves, "array<struct<path:string,key:string,ancestors:string,value:string>>")
+    walk = F.pandas_udf(_leaves, "array<struct<path:string,key:string,ancestors:string,value:string,error:string>>")
     return df.select(F.col(id_col).alias("id"), F.explode(walk(F.col(body))).alias("e")).select("id", "e.*")
 
 

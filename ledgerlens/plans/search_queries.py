@@ -387,11 +387,22 @@ def f18(spark, d):
     return U.dedupe_hits(h)
 
 
-@query("f17_diversity_selection")
+@query("f17_diversity_selection", """
+WITH RECURSIVE listed AS (SELECT qid, rank, event_id, source_path AS path, string_split(source_path, '/') AS p, doc_id % 7 = 3 AS bundle, doc_id % 5 = 0 AS priority, lower(trim(coalesce(heading, ''))) AS h
+  FROM doc_ranked JOIN ledger_events ON position = doc_id WHERE rank <= 40),
+usable AS (SELECT qid, rank, event_id, path, bundle, CASE WHEN len(p) >= 3 AND p[1] = 'results' THEN array_to_string(p[1:3], '/') WHEN len(p) >= 2 THEN array_to_string(p[1:len(p) - 1], '/') ELSE path END AS family,
+  CASE WHEN priority THEN 5 ELSE 4 END AS e_cap, CASE WHEN priority THEN 5 WHEN starts_with(path, 'results/') THEN 4 ELSE 2 END AS f_cap, row_number() OVER (PARTITION BY qid ORDER BY rank) AS i
+  FROM listed WHERE bundle OR (trim(coalesce(path, '')) <> '' AND h NOT IN ({LOW}))),
+walk AS (SELECT DISTINCT qid, 0::BIGINT AS i, []::VARCHAR[] AS es, []::VARCHAR[] AS fs, 0::BIGINT AS n, false AS taken FROM usable
+  UNION ALL SELECT qid, i, CASE WHEN take AND NOT bundle THEN list_append(es, event_id) ELSE es END, CASE WHEN take AND NOT bundle THEN list_append(fs, family) ELSE fs END, n + CAST(take AS BIGINT), take FROM (
+    SELECT u.*, w.es, w.fs, w.n, w.n < 12 AND (u.bundle OR (len(list_filter(w.es, lambda z: z = u.event_id)) < u.e_cap AND len(list_filter(w.fs, lambda z: z = u.family)) < u.f_cap)) AS take
+    FROM walk w JOIN usable u ON u.qid = w.qid AND u.i = w.i + 1))
+SELECT qid, rank, event_id, path, family, n AS selected_rank FROM walk JOIN usable USING (qid, i) WHERE taken""".replace("{LOW}", ", ".join(f"'{h}'" for h in K.LOW_VALUE_HEADINGS)))
 def f17(spark, d):
     hits = IX.bm25_topk(T.search_queries(spark, d), doc_index(spark, d), 40)
     e = T.events(spark, d).select(F.col("position").alias("doc_id"), "event_id", F.col("source_path").alias("path"), "heading")
-    return U.diversify(hits.join(e, "doc_id").select("qid", "rank", "event_id", "path", "heading", (F.col("doc_id") % 5 == 0).alias("priority")), 12)
+    flags = (F.col("doc_id") % 5 == 0).alias("priority"), (F.col("doc_id") % 7 == 3).alias("bundle")
+    return U.diversify(hits.join(e, "doc_id").select("qid", "rank", "event_id", "path", "heading", *flags), 12)
 
 
 # --- re-ranking and grounding ---------------------------------------------------------------------------

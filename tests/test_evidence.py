@@ -99,7 +99,12 @@ def test_leaves_at_any_depth(frame):
     deep = '{"macro_f1": 0.50}'
     for level in range(60):
         deep = f'{{"l{level}": [{deep}, null]}}'
-    rows = L.json_leaves(frame([(1, deep), (2, "not json"), (3, None), (4, "{}")], "id long, body string"), "id", "body")
+    odd = '{"macro_f1": Infinity, "ece": -Infinity, "f1": NaN}'
+    bodies = [(1, deep), (2, "not json"), (3, None), (4, "{}"), (5, odd), (6, "[" * 200_000 + "]" * 200_000)]
+    rows = L.json_leaves(frame(bodies, "id long, body string"), "id", "body")
+    assert sorted((r.id, r.error) for r in rows.where("error IS NOT NULL").collect()) == [(2, "not_json"), (6, "too_deep")]
+    assert [r.value for r in rows.where("id = 5").collect()] == ["Infinity", "-Infinity", "NaN"]
+    rows = rows.where("id < 5")
     found = L.metric_leaves(rows).where("key = 'macro_f1'").collect()
     assert [(r.id, r.value, r.path.count("/")) for r in found] == [(1, "0.50", 121)]
 

@@ -158,15 +158,22 @@ def test_route_reasons(frame):
     assert {r.reason for r in U.route(q, lex, sem, False).where("qid > 1").collect()} == {"semantic_unavailable_lexical_fallback"}
 
 
-def test_diversity_matches_sequential_walk(frame):
+@pytest.mark.parametrize("bundles", [False, True])
+def test_diversity_matches_sequential_walk(frame, bundles):
     rng = random.Random(3)
     rows = [(q, r, f"e{rng.randint(0, 5)}", rng.choice(["results/a/b/x.json", "results/a/c/y.json", "docs/x/a.txt", "docs/y/b.txt", ""]),
-             rng.choice(["Results", "Metadata", "Part"]), rng.random() < 0.2) for q in range(4) for r in range(1, 60)]
-    got = U.diversify(frame(rows, "qid int, rank int, event_id string, path string, heading string, priority boolean"), 12)
+             rng.choice(["Results", "Metadata", "Part"]), rng.random() < 0.2, rng.choice([True, False, False, None])) for q in range(4) for r in range(1, 60)]
+    if not bundles:
+        rows = [(*r[:6], False) for r in rows]
+    given = frame(rows, "qid int, rank int, event_id string, path string, heading string, priority boolean, bundle boolean")
+    got = U.diversify(given if bundles else given.drop("bundle"), 12)
     for q in range(4):
         ev, fam, want = Counter(), Counter(), []
-        for _, r, e, p, h, pr in [x for x in rows if x[0] == q]:
-            if not p or h.lower() == "metadata" or len(want) == 12:
+        for _, r, e, p, h, pr, whole in [x for x in rows if x[0] == q]:
+            if whole and len(want) < 12:
+                want.append(r)
+                continue
+            if whole or not p or h.lower() == "metadata" or len(want) == 12:
                 continue
             f = "/".join(p.split("/")[:3]) if p.startswith("results/") else p.rsplit("/", 1)[0]
             if ev[e] < (5 if pr else 4) and fam[f] < (5 if pr else 4 if p.startswith("results/") else 2):
