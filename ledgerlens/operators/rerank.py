@@ -6,7 +6,7 @@ from equi-joins of a bounded hit list with the passages of the hit events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as K
@@ -206,3 +206,22 @@ def ground(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     v = coverage(queries, evidence).select("qid", "status", "missing")
     out = queries.select("qid", X.query_class("query").alias("query_class")).join(g, "qid", "left").join(c, "qid", "left").join(v, "qid", "left")
     return out.fillna(0, [x for x in g.columns if x != "qid"]).withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+
+
+def evidence_blocks(evidence: DataFrame, per_category: int, budget: int) -> DataFrame:
+    """The evidence texts a reader of each query gets, in order: (qid, block, event_id, category, role, text, used_bytes).
+
+    evidence: qid, event_id, path, content, score.  Best score first, ties to the smaller event_id.  Of a category the best
+    ``per_category`` texts are eligible; blocks are given as long as all texts up to them fit into ``budget`` UTF-8 bytes.
+    The limit per category is applied by a two-level top-k, so the running sum sees a few rows of a query, however many
+    it has.  Null content counts as empty.
+    """
+    e = evidence.select("qid", "event_id", "path", "score", F.coalesce("content", F.lit("")).alias("text"))
+    e = e.withColumn("t", F.lower("text"))
+    e = e.withColumn("category", X.evidence_category("t", "path")).withColumn("role", X.evidence_role("t")).drop("t", "path")
+    order = [F.desc("score"), F.asc("event_id")]
+    few = scale.top_per_key(e, ["qid", "category"], order, per_category).drop("rank")
+    by_query = Window.partitionBy("qid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("block", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    few = few.withColumn("used_bytes", F.sum(F.octet_length("text").cast("long")).over(by_query))
+    return few.where(F.col("used_bytes") <= budget).select("qid", "block", "event_id", "category", "role", "text", "used_bytes")

@@ -551,6 +551,14 @@ def f23(spark, d):
     return RR.ground(marked_queries(spark, d), written(marked_passages(spark, d).select("qid", "event_id", "path", "content"), "evidence"))
 
 
+@query("f23_evidence_blocks", """
+WITH c AS (SELECT e.qid, e.event_id, e.category, e.role, m.content, m.score, row_number() OVER (PARTITION BY e.qid, e.category ORDER BY m.score DESC, e.event_id) AS r FROM evidence_classes e JOIN marked_passages m USING (qid, event_id)),
+b AS (SELECT *, CAST(sum(strlen(content)) OVER w AS BIGINT) AS used_bytes, row_number() OVER w AS block FROM c WHERE r <= 3 WINDOW w AS (PARTITION BY qid ORDER BY score DESC, event_id))
+SELECT qid, block, event_id, category, role, content AS text, used_bytes FROM b WHERE used_bytes <= 2000""")
+def f23_blocks(spark, d):
+    return RR.evidence_blocks(marked_passages(spark, d).select("qid", "event_id", "path", "content", "score"), 3, 2000)
+
+
 # --- passages -----------------------------------------------------------------------------------------
 def _whole_passages(spark, d):
     p = E.registered_passages(T.event_sources(spark, d), T.registry(spark, d), T.files(spark, d)).where("source_ordinal = 0")

@@ -217,3 +217,13 @@ def test_latest_has_no_cap(frame):
     rows = [(f"evt_{i:03d}", "claim", f"2024-01-{i % 28 + 1:02d}", None, None) for i in range(500)]
     events = frame(rows, "event_id string, event_type string, date string, timestamp_start string, timestamp_end string")
     assert U.latest(events, 500).count() == 500 and U.latest(events, 7).count() == 7
+
+
+def test_evidence_blocks_keep_order_limit_and_budget(frame):
+    ddl = "qid int, event_id string, path string, content string, score double"
+    rows = [(1, "b", "p", "aa", 0.5), (1, "a", "p", "bb", 0.5), (1, "c", "p", "cc", 0.9), (1, "d", "p", "dd", 0.1), (1, "e", "x/audit.json", "ééé", 0.2),
+            (1, "f", "x/audit.json", "late", 0.1), (2, "a", "p", None, 1.0)]
+    got = RR.evidence_blocks(frame(rows, ddl), 3, 12).orderBy("qid", "block").collect()
+    assert [(r.qid, r.block, r.event_id, r.used_bytes) for r in got] == [(1, 1, "c", 2), (1, 2, "a", 4), (1, 3, "b", 6), (1, 4, "e", 12), (2, 1, "a", 0)]
+    assert got[3].category == "audit" and got[3].text == "ééé"
+    assert RR.evidence_blocks(frame([], ddl), 3, 12).isEmpty()
