@@ -52,11 +52,16 @@ def split_once(counts: DataFrame, n_sources: int, seed: int) -> DataFrame:
     """
     depth = max(0, (n_sources - 1).bit_length())
     group = lambda level: F.shiftright("source_index", level)
-    drawn = counts.groupBy("node").agg(F.first("take").alias("drawn")).withColumn("g", F.lit(0).cast("long"))
+    if not depth:
+        return counts.withColumn("left", F.col("take"))
+    drawn = None
     for level in range(depth, 0, -1):
         halves = counts.groupBy("node", group(level).alias("g")).agg(
-            F.sum("blocks").alias("every"), F.sum(F.when(group(level - 1) % 2 == 0, F.col("blocks")).otherwise(0)).alias("marked"))
-        both = halves.join(drawn, ["node", "g"]).withColumn("u", uniform(F.lit(seed), F.col("node"), F.lit(level), F.col("g")))
+            F.sum("blocks").alias("every"), F.sum(F.when(group(level - 1) % 2 == 0, F.col("blocks")).otherwise(0)).alias("marked"),
+            F.first("take").alias("drawn"))
+        # the whole set of sources draws what the left child takes, a half what was drawn for it above
+        both = halves if drawn is None else halves.drop("drawn").join(drawn, ["node", "g"])
+        both = both.withColumn("u", uniform(F.lit(seed), F.col("node"), F.lit(level), F.col("g")))
         both = hypergeometric(both, "every", "marked", "drawn", "u", "first_half")
         sides = F.array(
             F.struct((F.col("g") * 2).alias("g"), F.col("first_half").alias("drawn")),
