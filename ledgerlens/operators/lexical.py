@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import scale
-from ledgerlens.operators.inverted import Index, bm25_topk, search
+from ledgerlens.operators.inverted import Index, bm25_topk, scan
 
 
 def minmax_by_query(hits: DataFrame, score: str, out: str) -> DataFrame:
@@ -53,6 +53,6 @@ def search_lexical(queries: DataFrame, passage_index: Index, passages: DataFrame
 def search_event_first(queries: DataFrame, event_index: Index, events: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Event summaries only; ties by date (newest first), then event id."""
     may = None if allowed is None else allowed.select(F.col("event_id").alias("doc_id"))
-    scores = search(queries, event_index, k, may).scores.withColumnRenamed("doc_id", "event_id")
+    scores = scan(queries, event_index, k, may).withColumnRenamed("doc_id", "event_id")
     dated = scores.join(events.select("event_id", "date"), "event_id")
     return scale.top_per_key(dated, ["qid"], [F.desc("score"), F.desc("date"), F.asc("event_id")], k)

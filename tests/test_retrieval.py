@@ -74,6 +74,22 @@ def test_search_skips_blocks(frame, tmp_path, monkeypatch):
     assert [r.doc_id for r in mine] == [i for i, _ in best] and [r.score for r in mine] == pytest.approx([s for _, s in best], abs=2e-6)
 
 
+def test_scan_moves_no_postings(frame, tmp_path):
+    """Many queries share frequent words: what leaves the scan is k rows per query and task (and ties), not the postings."""
+    texts = [(i, "the of " * (i % 50 + 1) + "and in") for i in range(400)]
+    df = frame(texts, "id long, text string").repartition(2)
+    IX.publish_index(df, "id", {"text": 1.0}, str(tmp_path / "i"), buckets=4, blocks=False)
+    index = IX.open_index(df.sparkSession, str(tmp_path / "i"))
+    assert index.blocks is None and not (tmp_path / "i" / "blocks").exists()
+    q = frame([(i, "the of and in") for i in range(30)], "qid int, query string")
+    found = IX.scan(q, index, 3)
+    assert found.count() < 30 * 400 / 4
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    best = [i for i, _ in brute_bm25(texts, "the of and in", 3)]
+    for hits in (IX.bm25_topk(q, index, 3), IX.scale.top_per_key(IX.scan(q, index, 3, most_terms=20), ["qid"], [F.desc("score"), F.asc("doc_id")], 3)):
+        assert [r.doc_id for r in hits.orderBy("qid", "rank").collect()] == best * 30
+
+
 def test_index_tables(frame, tmp_path):
     index = index_of(frame([(1, "b a b", "a"), (2, None, None), (3, "", "c")], "id long, text string, title string"), "id", {"text": 1.0, "title": 0.5}, tmp_path)
     assert rows_of(index.postings(), "doc_id", "dl", "term", "tf") == [(1, 4, "a", 1.5), (1, 4, "b", 2.0), (3, 1, "c", 0.5)]
