@@ -8,16 +8,19 @@ the limits of an index build are optional parameters.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import constants as K
 from ledgerlens.functions.hashing import identity
 
-CHUNK = "array<struct<line_start: bigint, line_end: bigint, text: string>>"
+CHUNK = "struct<line_start: bigint, line_end: bigint, text: string>"
+CHUNK_FIELDS = ["line_start", "line_end", "text"]
+ROWS_AT_ONCE = 64
 LINE_END = re.compile(r"\r\n|\r|\n")
 
 
@@ -80,12 +83,21 @@ def paragraph_chunks(text: str, first_line: int, size: int, sample: int | None)
 
 
 def _packed(df: DataFrame, text: str, fn) -> DataFrame:
-    @F.pandas_udf(CHUNK)
-    def pack(body: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"line_start": a, "line_end": b, "text": t} for a, b, t in fn(x, int(s))] for x, s in zip(body, start)])
+    """Rows of ``df`` (keys, line_start, text) once per chunk, with the chunk as ``c``; a few documents are held at a time."""
+    keys = [c for c in df.columns if c not in ("line_start", text)]
+    schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("c", T.DataType.fromDDL(CHUNK))])
 
-    return df.withColumn("_c", pack(F.col(text), F.col("line_start"))).drop("line_start", "line_end", text)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = [(i, *c) for i, (body, start) in enumerate(zip(part.column(text), part.column("line_start"))) for c in fn(body.as_py(), start.as_py())]
+                own, first, last, chunk = zip(*found) if found else ((), (), (), ())
+                c = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(chunk, pa.string())], CHUNK_FIELDS)
+                own = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(own) for k in keys], c], [*keys, "c"])
+
+    return df.select(*keys, "line_start", text).mapInArrow(pack, schema)
 
 
 def pack_lines(passages: DataFrame, text: str = "content", size: int = K.PASSAGE_CHARS, max_chunks: int | None = None) -> DataFrame:
@@ -93,14 +105,14 @@ def pack_lines(passages: DataFrame, text: str = "content", size: int = K.PASSAGE
     with their first and last line and a content-bound id.  Over-long lines are split, not cut off."""
     packed = _packed(passages.select("event_id", "source_path", "heading", "line_start", text), text,
                      lambda x, s: line_chunks(x, s, size, max_chunks))
-    return with_passage_ids(packed.select("event_id", "source_path", "heading", F.explode("_c").alias("c")))
+    return with_passage_ids(packed)
 
 
 def pack_paragraphs(passages: DataFrame, text: str = "content", size: int = K.PARAGRAPH_CHARS, sample: int | None = None) -> DataFrame:
     """Paragraph chunks; ``sample`` keeps evenly spaced chunks per document (a sampling option)."""
     packed = _packed(passages.select("event_id", "source_path", "heading", "line_start", text), text,
                      lambda x, s: paragraph_chunks(x, s, size, sample))
-    return with_passage_ids(packed.select("event_id", "source_path", "heading", F.explode("_c").alias("c")))
+    return with_passage_ids(packed)
 
 
 def with_passage_ids(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +25,15 @@ from ledgerlens.functions import text as X
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
-WORD_SLICE = 100_000
+SCAN_ROWS = 4096
+WORD_SLICE = 50_000
+ROWS_AT_ONCE = 512
+KEPT_WORDS = 200_000
 
 
 # --- embedding ---------------------------------------------------------------
-# Embedding is a map over rows: no shuffle.  Inside an Arrow batch the words are
-# factorised, each distinct word is hashed once, and documents add word vectors.
+# Embedding is a map over rows: no shuffle.  Documents are taken a few at a time, so memory follows neither the size of an
+# Arrow batch nor that of the table; each distinct word of them is hashed once, vectors of words are kept while there is room.
 
 
 def _md5(feature: str) -> tuple[int, int]:
@@ -41,53 +46,96 @@ def _blake2b(feature: str) -> tuple[int, int]:
     return int.from_bytes(d[:4], "little"), d[4]
 
 
-def _word_vector(word: str, dims: int, digest: Callable[[str], tuple[int, int]]) -> np.ndarray:
-    """Signed buckets of ``token:word`` and of the trigrams of ``^word$``."""
-    v = np.zeros(dims, dtype="int32")
-    padded = f"^{word}$"
-    for feature in [f"token:{word}", *(f"trigram:{padded[i:i + 3]}" for i in range(max(1, len(word))))]:
-        bucket, sign = digest(feature)
-        v[bucket % dims] += 1 if sign & 1 else -1
-    return v
-
-
-def _hash_vectors(texts: list, dims: int, digest: Callable[[str], tuple[int, int]]) -> list:
-    """Unit vectors of token lists; null where nothing is left after cancellation."""
-    lengths = np.fromiter((len(t) for t in texts), dtype="int64", count=len(texts))
-    sums = np.zeros((len(texts), dims))
-    words = np.concatenate([np.asarray(t, dtype=object) for t in texts]) if len(texts) else np.empty(0, dtype=object)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    for at in range(0, len(words), WORD_SLICE):
-        codes, distinct = pd.factorize(words[at:at + WORD_SLICE])
-        table = np.vstack([_word_vector(w, dims, digest) for w in distinct])
-        own = owner[at:at + WORD_SLICE]
+class _WordVectors:
+    """Vectors of words: signed buckets of ``token:word`` and of the trigrams of ``^word$``.  Words and trigrams are hashed when
+    first met; at most about ``KEPT_WORDS`` of each are kept."""
+
+    def __init__(self, dims: int, digest: Callable[[str], tuple[int, int]]) -> None:
+        self.dims, self.digest = dims, digest
+        self.place: dict[str, int] = {}
+        self.trigrams: dict[str, int] = {}
+        self.table = np.zeros((1024, dims), dtype="int32")
+
+    def _slot(self, feature: str) -> int:
+        """Bucket, doubled, plus 1 where the sign is positive."""
+        digest, sign = self.digest(feature)
+        return digest % self.dims * 2 + (sign & 1)
+
+    def _hashed(self, words: list[str]) -> np.ndarray:
+        slots, sizes, trigrams = [], [], self.trigrams
+        if len(trigrams) > KEPT_WORDS:
+            trigrams.clear()
+        for word in words:
+            padded = f"^{word}$"
+            slots.append(self._slot(f"token:{word}"))
+            for i in range(max(1, len(word))):
+                part = padded[i:i + 3]
+                slot = trigrams.get(part)
+                if slot is None:
+                    slot = trigrams[part] = self._slot(f"trigram:{part}")
+                slots.append(slot)
+            sizes.append(max(1, len(word)) + 1)
+        flat = np.asarray(slots)
+        cells = np.repeat(np.arange(len(words)), sizes) * self.dims + flat // 2
+        return np.bincount(cells, flat % 2 * 2 - 1, len(words) * self.dims).astype("int32").reshape(-1, self.dims)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of ``table`` that hold the vectors of the distinct ``words``; valid until the next call."""
+        if len(self.place) > KEPT_WORDS:
+            self.place.clear()
+        new = [w for w in words if w not in self.place]
+        if new:
+            start, end = len(self.place), len(self.place) + len(new)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((end, self.dims), dtype="int32")])
+            self.table[start:end] = self._hashed(new)
+            self.place.update(zip(new, range(start, end)))
+        return np.fromiter(map(self.place.__getitem__, words), dtype="int64", count=len(words))
+
+
+def _unit_sums(lists: pa.ListArray, known: _WordVectors) -> pa.ListArray:
+    """Unit vectors of lists of words; null where nothing is left after cancellation."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    sums = np.zeros((len(sizes), known.dims))
+    owner, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+    for at in range(0, len(flat), WORD_SLICE):
+        words, own = flat.slice(at, WORD_SLICE).dictionary_encode(), owner[at:at + WORD_SLICE]
+        rows = known.rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums[own[starts]] += np.add.reduceat(table[codes], starts)
+        sums[own[starts]] += np.add.reduceat(known.table[rows], starts)
     norms = np.sqrt((sums * sums).sum(axis=1))
-    return [(row / n).tolist() if n else None for row, n in zip(sums, norms)]
+    units = np.divide(sums, norms[:, None], out=sums, where=norms[:, None] > 0)
+    ends = np.arange(len(sizes) + 1, dtype=np.int32) * known.dims
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(units.ravel()), mask=pa.array(norms == 0))
 
 
-def embed_hash(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
-    """(doc_id, vector): signed-hash embedding with md5 digests over lower-cased words; word-free texts are left out."""
+def _embedded(rows: DataFrame, words_of: Callable[[pa.Array], pa.ListArray], dims: int, digest: Callable[[str], tuple[int, int]]) -> DataFrame:
+    """(doc_id, vector) of ``rows`` (doc_id, body)."""
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(words: pd.Series) -> pd.Series:
-        return pd.Series(_hash_vectors(words.tolist(), dims, _md5))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordVectors(dims, digest)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _unit_sums(words_of(part.column("body")), known)], ["doc_id", "vector"])
+
+    return rows.mapInArrow(run, schema).where("vector IS NOT NULL")
 
-    encode = encode.asNondeterministic()  # evaluated once per row, not once per use
+
+def embed_hash(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
+    """(doc_id, vector): signed-hash embedding with md5 digests over lower-cased words; word-free texts are left out."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(K.WORD_PATTERN), F.lit(0))
-    return docs.select(F.col(doc_id).alias("doc_id"), encode(words).alias("vector")).where("vector IS NOT NULL")
+    return _embedded(docs.select(F.col(doc_id).alias("doc_id"), words.alias("body")), lambda lists: lists, dims, _md5)
 
 
 def embed_blake2b(docs: DataFrame, doc_id: str, text: str, dims: int = 256) -> DataFrame:
     """The same embedding with 8-byte blake2b digests over case-folded words, which Spark has no functions for."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(s: pd.Series) -> pd.Series:
-        return pd.Series(_hash_vectors([re.findall(r"[^\W_]+", t.casefold()) for t in s], dims, _blake2b))
+    def words_of(texts: pa.Array) -> pa.ListArray:
+        return pa.array([re.findall(r"[^\W_]+", t.casefold()) if t is not None else None for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    encode = encode.asNondeterministic()  # evaluated once per row, not once per use
-    return docs.select(F.col(doc_id).alias("doc_id"), encode(F.col(text)).alias("vector")).where("vector IS NOT NULL")
+    return _embedded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), words_of, dims, _blake2b)
 
 
 def embed_with(docs: DataFrame, doc_id: str, text: str, fn: Callable[[list[str]], Sequence[Sequence[float]]],
@@ -135,24 +183,21 @@ def vector_quality(df: DataFrame, vector: str, dims: int, tolerance: float = 1e-
 
 
 # --- exact search ----------------------------------------------------------------
-def _best(qids, scores: np.ndarray, block: pd.DataFrame, keep: list[str], k: int, group: str) -> pd.DataFrame:
-    """Best row per (query, group), then the k best groups per query, inside one block."""
-    names, code = np.unique(block[group].to_numpy(), return_inverse=True)
-    ties = [pd.factorize(block[c], sort=True)[0] for c in reversed(keep)]
-    out = []
-    for j, qid in enumerate(qids):
-        s = scores[:, j]
-        order = np.lexsort((*ties, -s, code))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = code[order][1:] != code[order][:-1]
-        best = order[first]
-        best = best[np.lexsort((code[best], -s[best]))][:k]
-        part = block[keep].iloc[best].copy()
-        part["qid"] = qid
-        part[group] = names[code[best]]
-        part["score"] = s[best]
-        out.append(part)
-    return pd.concat(out)
+def _best(qids, scores: np.ndarray, block: pd.DataFrame, keep: list[str], k: int, group: str, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """Best row per (query, group) of the groups that reach the k-th best group of the query in this block (ties too), where
+    that is above ``floor``, the k-th best before; ``floor`` is raised."""
+    code, names = pd.factorize(block[group], use_na_sentinel=False)
+    values, scores = scores, np.where(np.isnan(scores), np.inf, scores)  # as in SQL, not-a-number is above every number
+    order = np.argsort(code, kind="stable")
+    top = np.maximum.reduceat(scores[order], np.searchsorted(code[order], np.arange(len(names))), axis=0)
+    least = np.partition(top, -k, axis=0)[-k] if len(top) > k else np.full(len(qids), -np.inf)
+    if floor is not None:
+        least = floor[:] = np.maximum(floor, least)
+    # rows that hold the best score of a group that may be among the k best
+    row, query = np.nonzero((scores >= least) & (scores == top[code]))
+    part = block[[*keep, group]].iloc[row].copy()
+    part["qid"], part["score"], part["_q"] = np.asarray(qids)[query], values[row, query], query
+    return part.sort_values(keep).drop_duplicates(["_q", group]).drop(columns="_q") if keep else part.drop_duplicates(["_q", group]).drop(columns="_q")
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -175,9 +220,9 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, group: str, keep:
         [queries.schema["qid"], slim.schema[group], *[slim.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
-    def score_block(qids, qm: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
+    def score_block(qids, qm: np.ndarray, block: pd.DataFrame, floor: np.ndarray | None = None) -> pd.DataFrame:
         scores = np.round(_matrix(block["vector"]) @ qm.T, 6)
-        return _best(qids, scores, block, keep, k, group)[names]
+        return _best(qids, scores, block, keep, k, group, floor)[names]
 
     q = queries.select("qid", "vector")
     if scale.fits(q, query_limit):
@@ -186,9 +231,10 @@ def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, group: str, keep:
         qm = np.array([r["vector"] for r in rows], dtype="float64")
 
         def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for block in parts:
-                if len(block) and len(qids):
-                    yield score_block(qids, qm, block)
+            floor = np.full(len(qids), -np.inf)  # the k-th best group of each query in a block of this task
+            for part in parts:
+                for at in range(0, len(part) if len(qids) else 0, SCAN_ROWS):
+                    yield score_block(qids, qm, part.iloc[at:at + SCAN_ROWS], floor)
 
         partial = slim.mapInPandas(scan, schema)
     else:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,43 @@ def test_scan_moves_no_postings(frame, tmp_path):
         assert [r.doc_id for r in hits.orderBy("qid", "rank").collect()] == best * 30
 
 
+def test_task_memory_follows_neither_batch_nor_table(monkeypatch):
+    """Words are hashed for a few documents at a time; vectors of words stay right when the kept ones are dropped."""
+    monkeypatch.setattr(VX, "KEPT_WORDS", 3)
+    known, words = VX._WordVectors(16, VX._md5), [f"w{i % 7}" for i in range(40)] + ["", "a", "é"]
+    for i in range(0, len(words), 2):
+        pair = list(dict.fromkeys(words[i:i + 2]))
+        places = known.rows(pair)
+        for word, row in zip(pair, known.table[places]):
+            want = [0] * 16
+            for feature in [f"token:{word}", *(f"trigram:{f'^{word}$'[j:j + 3]}" for j in range(max(1, len(word))))]:
+                d, sign = VX._md5(feature)
+                want[d % 16] += 1 if sign & 1 else -1
+            assert row.tolist() == want
+    assert len(known.place) <= 5 and len(known.table) <= 1024
+
+
+def test_vector_search_hands_on_few_rows(frame):
+    """Of one block only rows that may be among the k best groups leave it, ties and not-a-number included."""
+    block = pd.DataFrame({"g": [i // 2 for i in range(1000)], "p": [f"{i:04}" for i in range(1000)]})
+    scores = np.array([[(i % 500) / 500] for i in range(1000)])
+    scores[7, 0] = float("nan")
+    floor = np.full(1, -np.inf)
+    out = VX._best([5], scores, block, ["p"], 3, "g", floor)
+    assert len(out) < 10 and out["g"].is_unique and out["score"].isna().sum() == 1
+    assert floor[0] == np.sort(np.where(np.isnan(scores), np.inf, scores).reshape(500, 2).max(axis=1))[-3]
+    assert len(VX._best([5], scores - 1, block, ["p"], 3, "g", floor)) <= 1
+
+
+def test_packing_yields_small_batches(spark):
+    """A batch of documents leaves as batches of the chunks of a few documents."""
+    rows = [(f"e{i}", "p", "h", 1, "line one\nline two\n\nline three " * 40) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id string, source_path string, heading string, line_start long, content string").coalesce(1)
+    sizes = PK.pack_paragraphs(df, size=60).groupBy("event_id").count()
+    assert sizes.count() == 300 and sizes.agg(F.min("count"), F.max("count")).first()[0] > 1
+    assert PK.ROWS_AT_ONCE < 300
+
+
 def test_index_tables(frame, tmp_path):
     index = index_of(frame([(1, "b a b", "a"), (2, None, None), (3, "", "c")], "id long, text string, title string"), "id", {"text": 1.0, "title": 0.5}, tmp_path)
     assert rows_of(index.postings(), "doc_id", "dl", "term", "tf") == [(1, 4, "a", 1.5), (1, 4, "b", 2.0), (3, 1, "c", 0.5)]
