@@ -32,6 +32,13 @@ def same_as_sql(spark, name, folder):
     assert ok, note
 
 
+def test_fetch_evidence_of_long_files(spark, folder):
+    """A range of 700 lines is fetched whole."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = docs.limit(3).selectExpr("doc_id + 100000 AS doc_id", "array_join(transform(sequence(1, 700), i -> 'line ' || i), '\n') AS text", "lang", "source", "n_chars")
+    same_as_sql(spark, "e6_fetch_evidence", folder(documents=docs.unionByName(long)))
+
+
 def test_ledger_scan_of_days_in_several_files(spark):
     """Days too large for one task are written as several files; lines are counted per day all the same."""
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
