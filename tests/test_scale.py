@@ -96,3 +96,16 @@ def test_shared_folder_needs_a_setting_off_local_masters():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+
+
+def test_resampling_draws_every_observation(frame):
+    """Draw j of resample b is observation md5(seed:b:j) mod n, by broadcast and by join; equal values are drawn one by one."""
+    import hashlib
+
+    values = [0.25] * 30 + [0.75] * 10 + [i / 100 for i in range(20)]
+    df = frame([("g", i * 3, v) for i, v in enumerate(values)], "g string, i long, v double")
+    draw = lambda b, j: values[int(hashlib.md5(f"7:{b}:{j}".encode()).hexdigest()[:15], 16) % len(values)]
+    means = sorted(round(sum(draw(b, j) for j in range(len(values))) / len(values), 9) for b in range(200))
+    for small in (1_000_000, 1):
+        r = A.resampled_ci(df, ["g"], "i", "v", samples=200, seed=7, small=small).first()
+        assert (r.n, r.ci_low, r.ci_high) == (60, pytest.approx(means[4], abs=2e-6), pytest.approx(means[194], abs=2e-6))
