@@ -48,7 +48,8 @@ def split_once(counts: DataFrame, n_sources: int, seed: int) -> DataFrame:
     blocks of the source among the ``take`` blocks of the left child.
 
     The multivariate draw runs over a binary tree of the sources: the draw of a group of sources is split between its two
-    halves by one hypergeometric draw, down to single sources.  Each level is one aggregate and one equi-join.
+    halves by one hypergeometric draw, down to single sources.  Each level is one aggregate and one equi-join.  The joins are
+    merge joins: as broadcasts of a few rows each would take pages of megabytes in the driver, dozens at once.
     """
     depth = max(0, (n_sources - 1).bit_length())
     group = lambda level: F.shiftright("source_index", level)
@@ -60,7 +61,7 @@ def split_once(counts: DataFrame, n_sources: int, seed: int) -> DataFrame:
             F.sum("blocks").alias("every"), F.sum(F.when(group(level - 1) % 2 == 0, F.col("blocks")).otherwise(0)).alias("marked"),
             F.first("take").alias("drawn"))
         # the whole set of sources draws what the left child takes, a half what was drawn for it above
-        both = halves if drawn is None else halves.drop("drawn").join(drawn, ["node", "g"])
+        both = halves if drawn is None else halves.drop("drawn").join(drawn.hint("merge"), ["node", "g"])
         both = both.withColumn("u", uniform(F.lit(seed), F.col("node"), F.lit(level), F.col("g")))
         both = hypergeometric(both, "every", "marked", "drawn", "u", "first_half")
         sides = F.array(
@@ -68,7 +69,7 @@ def split_once(counts: DataFrame, n_sources: int, seed: int) -> DataFrame:
             F.struct((F.col("g") * 2 + 1).alias("g"), (F.col("drawn") - F.col("first_half")).alias("drawn")))
         drawn = both.select("node", F.explode(sides).alias("s")).select("node", "s.g", "s.drawn")
     left = drawn.select("node", F.col("g").alias("source_index"), F.col("drawn").alias("left"))
-    return counts.join(left, ["node", "source_index"])
+    return counts.join(left.hint("merge"), ["node", "source_index"])
 
 
 def shard_quotas(quotas: DataFrame, n_sources: int, n_shards: int, seed: int) -> DataFrame:

@@ -83,3 +83,11 @@ def test_every_block_is_drawn_once_in_a_pass(spark):
         words[r.shard] += r.words
     assert set(words) == set(range(8)) and max(words.values()) - min(words.values()) <= 2 * 20
     assert len({r.shard for r in rows if r.row.source == "a" and r["pass"] == 0}) > 1
+
+
+def test_splitting_broadcasts_nothing(spark):
+    """A split of few rows takes no memory of the driver for broadcasts."""
+    counts = spark.createDataFrame([(1, s, 10 + s, 30) for s in range(5)], "node long, source_index int, blocks long, take long")
+    split = splitting.split_once(counts, 5, 3)
+    assert sum(r.left for r in split.collect()) == 30
+    assert "BroadcastHashJoin" not in split._jdf.queryExecution().executedPlan().toString()
