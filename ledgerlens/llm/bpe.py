@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 RANKS = "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 100_000
 CHUNK_CHARS = 1 << 20
+CLASSED = 1 << 14  # characters that odd_characters compares at once
 
 
 def byte_alphabet() -> list[str]:
@@ -67,19 +68,24 @@ def tokenizer_json(path: str, pattern: str = public_tokenizers.PATTERN) -> str:
 
 @lru_cache(1)
 def odd_characters() -> str:
-    """A character class of what the regex module and the tokenizers library class differently ("" if nothing)."""
+    """A character class of what the regex module and the tokenizers library class differently ("" if nothing).
+
+    Characters are classed ``CLASSED`` at a time: the library holds some 100 bytes per character of what it cuts, which for
+    all of Unicode at once is 340 MB of the driver."""
     from tokenizers import Regex, pre_tokenizers
 
-    codes = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
-    every, odd = "".join(map(chr, codes)), np.zeros(len(codes), bool)
-    for kind in (r"\p{L}+", r"\p{N}+", r"\s+"):
-        ours, theirs = np.zeros((2, len(codes)), bool)
-        for m in regex.finditer(kind, every):
-            ours[m.start() : m.end()] = True
-        theirs[:] = True
-        for _, (start, end) in pre_tokenizers.Split(Regex(kind), "removed").pre_tokenize_str(every):
-            theirs[start:end] = False
-        odd |= ours ^ theirs
+    codes = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.int32)
+    odd = np.zeros(len(codes), bool)
+    kinds = [(regex.compile(k), pre_tokenizers.Split(Regex(k), "removed")) for k in (r"\p{L}+", r"\p{N}+", r"\s+")]
+    for low in range(0, len(codes), CLASSED):
+        some = "".join(map(chr, codes[low : low + CLASSED].tolist()))
+        for pattern, split in kinds:
+            ours, theirs = np.zeros(len(some), bool), np.ones(len(some), bool)
+            for m in pattern.finditer(some):
+                ours[m.start() : m.end()] = True
+            for _, (start, end) in split.pre_tokenize_str(some):
+                theirs[start:end] = False
+            odd[low : low + len(some)] |= ours ^ theirs
     edges = np.flatnonzero(np.diff(np.concatenate([[False], odd, [False]]).astype(np.int8)))
     firsts, lasts = codes[edges[::2]], codes[edges[1::2] - 1]
     return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts)) + "]" if len(firsts) else ""

@@ -61,6 +61,17 @@ def test_bpe_like_tiktoken_on_mixed_scripts(monkeypatch):
         assert "".join(own.decode_stream([ids[:k], ids[k:]])) == text
 
 
+def test_odd_characters_take_little_memory():
+    """The driver classes all of Unicode; at once that held 340 MB beside its heap."""
+    import subprocess
+    import sys
+
+    code = ("import resource; from ledgerlens.llm import bpe; peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; before = peak(); "
+            "assert bpe.odd_characters(); print(peak() - before)")
+    done = subprocess.run([sys.executable, "-c", code], cwd=bpe.__file__.rsplit("/", 3)[0], capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[-1]) < 150_000
+
+
 def test_context_mixing(spark, odd, none):
     got = context_mixing.score_texts(odd, hot_words=2)
     rows = got.collect()
