@@ -9,7 +9,7 @@ from ledgerlens.operators import evidence as E
 from ledgerlens.operators import vectors as VX
 from ledgerlens.plans import tables as T
 from ledgerlens.plans.registry import CTES, query
-from ledgerlens.session import new_folder
+from ledgerlens.session import new_folder, written
 from ledgerlens.streaming import flows as S
 from ledgerlens.streaming import refresh as R
 
@@ -20,6 +20,15 @@ def table_stream(spark, d, name):
     return S.file_stream(spark, d, T.load(spark, d, name).schema, f"{name}.parquet")
 
 
+def write_arrivals(spark, parts, folder) -> int:
+    """Write the parts one after the other, so that they arrive in this order; returns how many files a trigger has to take
+    for one part.  A part is dealt over that many files: one file would be written, and its input be made, by one task."""
+    files = spark.sparkContext.defaultParallelism
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
 @query("m1_file_stream", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type")
 def m1(spark, d):
     out = new_folder(spark, "m1")
@@ -66,14 +75,14 @@ def m2_refresh(spark, d):
     """Events arrive, then corrections of the end of every fifth event's range: half of them pending, some with a wrong recorded value."""
     base = new_folder(spark, "m2-refresh")
     names = [c.split()[0] for c in R.LEDGER_DDL.split(", ")]
-    e = T.events(spark, d).select(*[c.split()[0] for c in R.EVENT_DDL.split(", ") if c.split()[0] != "summary"])
+    e = written(T.events(spark, d).select(*[c.split()[0] for c in R.EVENT_DDL.split(", ") if c.split()[0] != "summary"]), "m2-events")
     rows = e.selectExpr("*", "event_id AS summary", "CAST(NULL AS STRING) AS target_id", "CAST(NULL AS STRING) AS field", "CAST(NULL AS LONG) AS recorded", "CAST(NULL AS LONG) AS corrected")
     fixes = e.where("position % 5 = 0").selectExpr(
         "concat('fix_', position) AS event_id", "position + 1000000000 AS position", "'amendment' AS event_type", "CASE WHEN position % 10 = 0 THEN 'completed' ELSE 'proposed' END AS status",
         "CAST(NULL AS STRING) AS source_path", "CAST(NULL AS STRING) AS heading", "CAST(NULL AS LONG) AS line_start", "CAST(NULL AS LONG) AS line_end", "'' AS summary",
         "event_id AS target_id", "'line_end' AS field", "line_end + CAST(position % 35 = 0 AS INT) AS recorded", "greatest(1L, CAST(floor(line_end / 2) AS LONG)) AS corrected")
-    for part in (rows.where("position % 2 = 0"), rows.where("position % 2 = 1"), fixes):  # one after the other, so that they arrive in this order
-        part.select(*names).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    parts = rows.where("position % 2 = 0"), rows.where("position % 2 = 1"), fixes
+    files = write_arrivals(spark, [part.select(*names) for part in parts], f"{base}/in")
     blocks = T.line_blocks(spark, d)
 
     def passages_of(events):
@@ -85,7 +94,7 @@ def m2_refresh(spark, d):
         return passages.join(v, "text_sha256")
 
     views = R.RefreshedViews(spark, f"{base}/views", passages_of, embed, buckets=8)
-    S.run_available(S.file_stream(spark, f"{base}/in", rows.select(*names).schema, "*.parquet", per_trigger=1), views, f"{base}/checkpoint")
+    S.run_available(S.file_stream(spark, f"{base}/in", rows.select(*names).schema, "*.parquet", per_trigger=files), views, f"{base}/checkpoint")
     return views.passages().where("size(vector) = 16").select("event_id", "page", "text_sha256")
 
 
@@ -95,10 +104,10 @@ def m4(spark, d):
     out = new_folder(spark, "m4")
     e = T.load(spark, d, "events").select("user_id", "event_id")
     bounds = e.agg(F.expr("percentile_approx(event_id, array(0.1, 0.5))").alias("b")).first().b
-    for low, high in zip([-1, *bounds], [*bounds, 1 << 62]):
-        e.where(f"event_id > {low} AND event_id <= {high}").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    parts = [e.where(f"event_id > {low} AND event_id <= {high}") for low, high in zip([-1, *bounds], [*bounds, 1 << 62])]
+    files = write_arrivals(spark, parts, f"{out}/in")
     sink = S.UniqueIds(spark, f"{out}/ids", "user_id", "event_id", buckets=8, pages=2)
-    S.run_available(S.file_stream(spark, f"{out}/in", e.schema, "*.parquet", per_trigger=1), sink, f"{out}/checkpoint")
+    S.run_available(S.file_stream(spark, f"{out}/in", e.schema, "*.parquet", per_trigger=files), sink, f"{out}/checkpoint")
     return sink.accepted(e.schema)
 
 

@@ -233,3 +233,16 @@ def test_file_touched_three_times_is_announced_once(spark, frame, tmp_path, rock
     put([("a", 3, 12, "h3"), ("b", 1, 12, "g")])
     assert run_for(query, lambda: spark.table("quiet").count() >= 2)
     assert rows_of(spark.table("quiet"), "path", "size", "sha256") == [("a", 3, "h3"), ("b", 1, "g")]
+
+
+def test_arrivals_are_written_by_many_tasks_and_arrive_in_order(spark, tmp_path):
+    """One file a part, as before, has the whole input of the part made by one task."""
+    from ledgerlens.plans.stream_queries import write_arrivals
+
+    parts = [spark.range(i * 1000, i * 1000 + 1000) for i in range(3)]
+    files = write_arrivals(spark, parts, str(tmp_path / "in"))
+    assert files > 1 and len(list((tmp_path / "in").glob("*.parquet"))) == 3 * files
+    seen = []
+    stream = S.file_stream(spark, str(tmp_path / "in"), parts[0].schema, "*.parquet", per_trigger=files)
+    S.run_available(stream, lambda batch, n: seen.append(batch.agg(F.min("id"), F.max("id"), F.count("*")).first()), str(tmp_path / "cp"))
+    assert [tuple(r) for r in seen] == [(i * 1000, i * 1000 + 999, 1000) for i in range(3)]
