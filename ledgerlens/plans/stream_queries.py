@@ -125,14 +125,14 @@ SELECT run_id, sequence, problem FROM (SELECT run_id, sequence, CASE WHEN from_s
  FROM (SELECT *, lag(to_state) OVER (PARTITION BY run_id ORDER BY sequence) AS prev FROM runtime_events)) WHERE problem IS NOT NULL""")
 def m5(spark, d):
     out = new_folder(spark, "m5")
-    e = T.runtime_events(spark, d).select("run_id", "sequence", "from_state", "to_state")
-    for part in (2, 0, 1):  # out of order: events wait for those before them
-        e.where(F.floor(F.col("sequence") / 2) % 3 == part).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    e = written(T.runtime_events(spark, d).select("run_id", "sequence", "from_state", "to_state"), "m5-events")
+    parts = [e.where(F.floor(F.col("sequence") / 2) % 3 == part) for part in (2, 0, 1)]  # out of order: events wait for those before them
+    files = write_arrivals(spark, parts, f"{out}/in")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKS)
     try:
-        stream = S.file_stream(spark, f"{out}/in", e.schema, "*.parquet", per_trigger=1)
+        stream = S.file_stream(spark, f"{out}/in", e.schema, "*.parquet", per_trigger=files)
         S.run_available(S.check_transitions_stream(stream, K.RUN_TRANSITIONS), f"{out}/data", f"{out}/checkpoint")
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -188,16 +188,19 @@ class ChainState(StatefulProcessor):
         self.last = handle.getValueState("last", "sequence long, state string")
         self.waiting = handle.getMapState("waiting", "sequence long", "from_state string, to_state string")
 
-    def _advance(self, run: str, sequence: int, current: str | None, out: list) -> tuple[int, str | None]:
-        """Check waiting events as long as the next number is there."""
-        while self.waiting.containsKey((sequence + 1,)):
-            start, to = self.waiting.getValue((sequence + 1,))
-            self.waiting.removeKey((sequence + 1,))
+    def _advance(self, run: str, sequence: int, current: str | None, out: list, fresh: dict, stored: bool) -> tuple[int, str | None]:
+        """Check events as long as the next number is there, in ``fresh`` or, if ``stored``, among those that wait."""
+        while True:
+            event = fresh.pop(sequence + 1, None)
+            if event is None and stored and (event := self.waiting.getValue((sequence + 1,))) is not None:
+                self.waiting.removeKey((sequence + 1,))
+            if event is None:
+                return sequence, current
+            start, to = event
             problem = "from_state" if start != current else "transition" if (current or "", to) not in self.legal else None
             if problem:
                 out.append((run, sequence + 1, problem))
             sequence, current = sequence + 1, to
-        return sequence, current
 
     def _timers(self, now: int) -> None:
         """One timer while something waits, none else."""
@@ -212,18 +215,24 @@ class ChainState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, out = key[0], []
         sequence, current = self.last.get() if self.last.exists() else (0, None)
-        for part in rows:  # one batch of rows at a time
+        stored = self.waiting.exists()
+        for part in rows:  # one batch of rows at a time; only events that wait on go to the state, where each call is a round trip
+            fresh: dict[int, tuple] = {}
             for r in part.itertuples(index=False):
-                start = None if pd.isna(r.from_state) else r.from_state
-                if r.sequence <= sequence or self.waiting.containsKey((int(r.sequence),)):
-                    out.append((run, int(r.sequence), "late"))
+                n = int(r.sequence)
+                if n <= sequence or n in fresh or stored and self.waiting.containsKey((n,)):
+                    out.append((run, n, "late"))
                 else:
-                    self.waiting.updateValue((int(r.sequence),), (start, r.to_state))
-            sequence, current = self._advance(run, sequence, current, out)
+                    fresh[n] = (None if pd.isna(r.from_state) else r.from_state, r.to_state)
+            sequence, current = self._advance(run, sequence, current, out, fresh, stored)
+            for n, event in fresh.items():
+                self.waiting.updateValue((n,), event)
+            stored = stored or bool(fresh)
         self.last.update((sequence, current))
         if self.patience is not None:
             self._timers(timerValues.getCurrentProcessingTimeInMs())
-        yield pd.DataFrame(out, columns=["run_id", "sequence", "problem"])
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "sequence", "problem"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         run, out = key[0], []
@@ -233,7 +242,7 @@ class ChainState(StatefulProcessor):
             out.append((run, int(first), "sequence"))
             _, to = self.waiting.getValue((first,))
             self.waiting.removeKey((first,))
-            sequence, current = self._advance(run, int(first), to, out)
+            sequence, current = self._advance(run, int(first), to, out, {}, True)
             self.last.update((sequence, current))
         if next(iter(self.waiting.keys()), None) is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)

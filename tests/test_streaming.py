@@ -246,3 +246,46 @@ def test_arrivals_are_written_by_many_tasks_and_arrive_in_order(spark, tmp_path)
     stream = S.file_stream(spark, str(tmp_path / "in"), parts[0].schema, "*.parquet", per_trigger=files)
     S.run_available(stream, lambda batch, n: seen.append(batch.agg(F.min("id"), F.max("id"), F.count("*")).first()), str(tmp_path / "cp"))
     assert [tuple(r) for r in seen] == [(i * 1000, i * 1000 + 999, 1000) for i in range(3)]
+
+
+def test_events_in_order_do_not_go_through_the_waiting_state():
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.value, self.map, self.calls = None, {}, 0
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def exists(self):
+            return self.value is not None or bool(self.map)
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self.map
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.map.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.map[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self.map[key]
+
+    chain = S.ChainState(K.RUN_TRANSITIONS, None)
+    chain.last, chain.waiting = Held(), Held()
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["run_id", "sequence", "from_state", "to_state"])])
+    assert not list(chain.handleInputRows(("r",), rows(("r", 2, "created", "materialized"), ("r", 1, None, "created")), None))
+    assert chain.waiting.calls == 0 and chain.last.value == (2, "materialized")
+    late = list(chain.handleInputRows(("r",), rows(("r", 4, "x", "governor_running"), ("r", 4, "x", "x"), ("r", 2, None, "x")), None))
+    assert [tuple(t) for t in late[0].itertuples(index=False)] == [("r", 4, "late"), ("r", 2, "late")] and chain.waiting.calls == 1
+    last = list(chain.handleInputRows(("r",), rows(("r", 3, "materialized", "preflight_passed")), None))
+    assert [tuple(t) for t in last[0].itertuples(index=False)] == [("r", 4, "from_state")] and not chain.waiting.map
