@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
 SCAN_ROWS = 4096
 WORD_SLICE = 50_000
+ADDED_AT_ONCE = 4096  # vectors that a processor's own memory holds
 ROWS_AT_ONCE = 512
 KEPT_WORDS = 200_000
 
@@ -36,48 +38,64 @@ KEPT_WORDS = 200_000
 # Arrow batch nor that of the table; each distinct word of them is hashed once, vectors of words are kept while there is room.
 
 
-def _md5(feature: str) -> tuple[int, int]:
-    d = hashlib.md5(feature.encode()).digest()
-    return int.from_bytes(d[:4], "big"), d[4]
+@dataclass(frozen=True)
+class _Digest:
+    """Bytes that decide a feature: four of the bucket, in the given order, and one of the sign."""
 
+    of: Callable[[bytes], bytes]
+    order: str
+
+    def slots(self, features: Iterable[str], dims: int) -> np.ndarray:
+        """Bucket, doubled, plus 1 where the sign is positive."""
+        raw = [self.of(f.encode()) for f in features]
+        table = np.frombuffer(b"".join(raw), dtype="u1").reshape(len(raw), -1)
+        bucket = np.ascontiguousarray(table[:, :4]).view(self.order).ravel() % dims
+        return bucket.astype(np.int64) * 2 + (table[:, 4] & 1)
+
+    def __call__(self, feature: str) -> tuple[int, int]:
+        raw = np.frombuffer(self.of(feature.encode()), dtype="u1")
+        return int(raw[:4].view(self.order)[0]), int(raw[4])
 
-def _blake2b(feature: str) -> tuple[int, int]:
-    d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-    return int.from_bytes(d[:4], "little"), d[4]
+
+_md5 = _Digest(lambda feature: hashlib.md5(feature).digest(), ">u4")
+_blake2b = _Digest(lambda feature: hashlib.blake2b(feature, digest_size=8).digest(), "<u4")
 
 
 class _WordVectors:
     """Vectors of words: signed buckets of ``token:word`` and of the trigrams of ``^word$``.  Words and trigrams are hashed when
     first met; at most about ``KEPT_WORDS`` of each are kept."""
 
-    def __init__(self, dims: int, digest: Callable[[str], tuple[int, int]]) -> None:
+    def __init__(self, dims: int, digest: _Digest) -> None:
         self.dims, self.digest = dims, digest
         self.place: dict[str, int] = {}
-        self.trigrams: dict[str, int] = {}
+        self.trigrams, self.slots = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # sorted, and the slot of each
         self.table = np.zeros((1024, dims), dtype="int32")
 
-    def _slot(self, feature: str) -> int:
-        """Bucket, doubled, plus 1 where the sign is positive."""
-        digest, sign = self.digest(feature)
-        return digest % self.dims * 2 + (sign & 1)
+    def _trigram_slots(self, codes: np.ndarray) -> np.ndarray:
+        """Slots of trigrams, given as three code points of 21 bits in a whole number."""
+        some, back = np.unique(codes, return_inverse=True)
+        if len(self.trigrams) > KEPT_WORDS:
+            self.trigrams, self.slots = self.trigrams[:0], self.slots[:0]
+        new = np.setdiff1d(some, self.trigrams, assume_unique=True)
+        if len(new):
+            letters = (np.stack([new >> 42, new >> 21, new], axis=1) & (1 << 21) - 1).astype("<u4").tobytes().decode("utf-32-le")
+            slots = self.digest.slots(("trigram:" + letters[i:i + 3].rstrip("\0") for i in range(0, len(letters), 3)), self.dims)
+            known = np.concatenate([self.trigrams, new])
+            order = np.argsort(known)
+            self.trigrams, self.slots = known[order], np.concatenate([self.slots, slots])[order]
+        return self.slots[np.searchsorted(self.trigrams, some)][back]
 
     def _hashed(self, words: list[str]) -> np.ndarray:
-        slots, sizes, trigrams = [], [], self.trigrams
-        if len(trigrams) > KEPT_WORDS:
-            trigrams.clear()
-        for word in words:
-            padded = f"^{word}$"
-            slots.append(self._slot(f"token:{word}"))
-            for i in range(max(1, len(word))):
-                part = padded[i:i + 3]
-                slot = trigrams.get(part)
-                if slot is None:
-                    slot = trigrams[part] = self._slot(f"trigram:{part}")
-                slots.append(slot)
-            sizes.append(max(1, len(word)) + 1)
-        flat = np.asarray(slots)
-        cells = np.repeat(np.arange(len(words)), sizes) * self.dims + flat // 2
-        return np.bincount(cells, flat % 2 * 2 - 1, len(words) * self.dims).astype("int32").reshape(-1, self.dims)
+        """Vectors of ``words``.  Their trigrams are read from one run of letters (a NUL fills that of the empty word), each distinct
+        one is hashed once."""
+        letters = np.frombuffer("".join(f"^{w}$" if w else "^$\0" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        sizes = np.maximum(1, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(owner)) + 2 * owner  # of the first letter of each trigram; a word has two letters more than trigrams
+        trigrams = self._trigram_slots(letters[at] << 42 | letters[at + 1] << 21 | letters[at + 2])
+        slots = np.concatenate([self.digest.slots((f"token:{w}" for w in words), self.dims), trigrams])
+        cells = np.concatenate([np.arange(len(words)), owner]) * self.dims + slots // 2
+        return np.bincount(cells, slots % 2 * 2 - 1, len(words) * self.dims).astype("int32").reshape(-1, self.dims)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of ``table`` that hold the vectors of the distinct ``words``; valid until the next call."""
@@ -101,15 +119,17 @@ def _unit_sums(lists: pa.ListArray, known: _WordVectors) -> pa.ListArray:
     for at in range(0, len(flat), WORD_SLICE):
         words, own = flat.slice(at, WORD_SLICE).dictionary_encode(), owner[at:at + WORD_SLICE]
         rows = known.rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums[own[starts]] += np.add.reduceat(known.table[rows], starts)
+        for low in range(0, len(rows), ADDED_AT_ONCE):
+            part = own[low:low + ADDED_AT_ONCE]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            sums[part[starts]] += np.add.reduceat(known.table[rows[low:low + ADDED_AT_ONCE]], starts)
     norms = np.sqrt((sums * sums).sum(axis=1))
     units = np.divide(sums, norms[:, None], out=sums, where=norms[:, None] > 0)
     ends = np.arange(len(sizes) + 1, dtype=np.int32) * known.dims
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(units.ravel()), mask=pa.array(norms == 0))
 
 
-def _embedded(rows: DataFrame, words_of: Callable[[pa.Array], pa.ListArray], dims: int, digest: Callable[[str], tuple[int, int]]) -> DataFrame:
+def _embedded(rows: DataFrame, words_of: Callable[[pa.Array], pa.ListArray], dims: int, digest: _Digest) -> DataFrame:
     """(doc_id, vector) of ``rows`` (doc_id, body)."""
     schema = T.StructType([rows.schema["doc_id"], T.StructField("vector", T.ArrayType(T.DoubleType()))])
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,24 @@ def test_task_memory_follows_neither_batch_nor_table(monkeypatch):
     assert len(known.place) <= 5 and len(known.table) <= 1024
 
 
+def test_terms_are_counted_for_many_rows_at_once():
+    """One sort of the tokens of some rows gives each row its terms in order, with weights added up from the least."""
+    heads, texts = [["b", "b"], [], ["é"]], [["a", "b", "b"], [], ["z", "é", "a", "z"]]
+    dl, terms = IX._bags([pa.array(heads, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))], np.array([0.6, 0.1]))
+    assert dl.to_pylist() == [5, 0, 5]
+    assert terms.to_pylist() == [
+        [{"term": "a", "tf": 0.1}, {"term": "b", "tf": 0.1 + 0.1 + 0.6 + 0.6}], [],
+        [{"term": "a", "tf": 0.1}, {"term": "z", "tf": 0.1 + 0.1}, {"term": "é", "tf": 0.1 + 0.6}]]
+
+
+def test_distinct_trigrams_are_hashed_once_for_many_words():
+    """Words that share their trigrams cost a digest each, not one per letter."""
+    asked = []
+    known = VX._WordVectors(16, VX._Digest(lambda f: (asked.append(f), hashlib.md5(f).digest())[1], ">u4"))
+    known.rows([f"{'ab' * 30}{i:02}" for i in range(50)])
+    assert len(asked) == len(set(asked)) and sum(f.startswith(b"trigram:") for f in asked) < 150
+
+
 def test_vector_search_hands_on_few_rows(frame):
     """Of one block only rows that may be among the k best groups leave it, ties and not-a-number included."""
     block = pd.DataFrame({"g": [i // 2 for i in range(1000)], "p": [f"{i:04}" for i in range(1000)]})
