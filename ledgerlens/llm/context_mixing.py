@@ -6,6 +6,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -39,6 +40,7 @@ TEXT_SLOTS = 21  # log2 of the most slots for the contexts of one order; small c
 TEXT_LEVELS = (1, 3, 16)
 TEXT_GATES = (len(TEXT_LEVELS) + 1) ** (TEXT_ORDERS - 1)
 TOKENS_AT_ONCE = 2048
+TEXTS_AT_ONCE = 256
 START = (1 << 31) - 1  # stands before the first token of a text
 
 
@@ -247,28 +249,31 @@ def earlier_tokens(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
 
 @dataclass
 class TextEvents:
-    """Bit events of tokens of running text: slots (TEXT_ORDERS x events), bit and token of each event."""
+    """Bit events of tokens of running text: slots (TEXT_ORDERS x events) and bit of each event, number of events of each token."""
 
     slots: np.ndarray
     bits: np.ndarray
-    token: np.ndarray
+    lengths: np.ndarray
 
 
 def text_events(words: np.ndarray, one: np.ndarray, two: np.ndarray, code: TextCode) -> TextEvents:
     """Bits of the code of each token, each with its contexts over the earlier tokens of the text (see earlier_tokens)."""
     first, nodes, bits = code.tree
     symbols = np.minimum(words, code.words)
-    lengths = first[symbols + 1] - first[symbols]
-    token = np.repeat(np.arange(len(words)), lengths)
-    flat = np.arange(len(token)) + np.repeat(first[symbols] - np.cumsum(lengths) + lengths, lengths)
-    node = nodes[flat]
-    slots = np.empty((TEXT_ORDERS, len(token)), np.int64)
-    slots[0] = node
-    salt = (node.astype(U) + U(1)) * U(0xD1342543DE82EF95)
+    start = first.take(symbols)
+    lengths = first.take(symbols + 1) - start
+    ends = np.cumsum(lengths)
+    flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + lengths, lengths)
+    slots = np.empty((TEXT_ORDERS, len(flat)), np.int64)
+    slots[0] = nodes.take(flat)
+    salt = (slots[0].view(U) + U(1)) * U(0xD1342543DE82EF95)
     for o, context in enumerate((one, two)):
-        key = ((context[token] ^ salt) * U(0x9E3779B97F4A7C15)) >> U(64 - code.size)
-        slots[o + 1] = key.astype(np.int64) + (code.words + (o << code.size))
-    return TextEvents(slots, bits[flat], token)
+        key = np.repeat(context, lengths)
+        key ^= salt
+        key *= U(0x9E3779B97F4A7C15)
+        key >>= U(64 - code.size)
+        np.add(key.view(np.int64), code.words + (o << code.size), out=slots[o + 1])
+    return TextEvents(slots, bits.take(flat), lengths)
 
 
 def text_lengths(batch: pa.RecordBatch) -> np.ndarray:
@@ -278,28 +283,42 @@ def text_lengths(batch: pa.RecordBatch) -> np.ndarray:
 
 def text_runs(batch: pa.RecordBatch, code: TextCode) -> Iterator[tuple[slice, TextEvents]]:
     """Events of all tokens of the column ``ids``, some thousand tokens at a time, in the order of the texts."""
-    words = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<i4")
+    words = np.frombuffer(b"".join(plain(batch.column("ids"))), "<i4")
     one, two = earlier_tokens(words, text_lengths(batch))
     for i in range(0, len(words), TOKENS_AT_ONCE):
         some = slice(i, i + TOKENS_AT_ONCE)
         yield some, text_events(words[some], one[some], two[some], code)
 
 
-def text_inputs(counts: np.ndarray, e: TextEvents, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds by each order, and which weights mix them: by how often the contexts came.  ``own``: the event itself is
-    among the counts and is left out."""
-    x = np.empty(e.slots.shape, np.float32)
-    g = np.zeros(e.slots.shape[1], np.int64)
-    for o, slots in enumerate(e.slots):
-        pair = counts.take(slots).view(np.uint32).astype(np.float32)
-        zero, one = pair[0::2], pair[1::2]
-        if own:
-            zero, one = zero - (1 - e.bits), one - e.bits
-        x[o] = stretched(zero, one)
-        if o:
-            total = zero + one
-            g = g * (len(TEXT_LEVELS) + 1) + sum((total >= least).astype(np.int8) for least in TEXT_LEVELS)
-    return x, g
+def known_steps() -> np.ndarray:
+    """How well a context is known that came 0, 1, .. times: number of TEXT_LEVELS reached."""
+    return np.searchsorted(TEXT_LEVELS, np.arange(TEXT_LEVELS[-1] + 1), "right")
+
+
+class TextInputs:
+    """Log odds by each order, and which weights mix them: by how often the contexts came.  ``own``: the events are themselves
+    among the counts and are left out.  Log odds without earlier tokens come from a table by node and bit."""
+
+    def __init__(self, counts: np.ndarray, words: int, own: bool) -> None:
+        self.counts, self.own, self.steps = counts, own, known_steps()
+        zero, one = counts[:words].view(np.uint32).astype(np.float32).reshape(-1, 2).T
+        less = np.float32(own)
+        self.first = np.stack([stretched(np.maximum(zero - less, 0), one), stretched(zero, np.maximum(one - less, 0))], axis=1).ravel()
+
+    def of(self, e: TextEvents) -> tuple[np.ndarray, np.ndarray]:
+        x = np.empty(e.slots.shape, np.float32)
+        x[0] = self.first.take(e.slots[0] * 2 + e.bits)
+        ones = e.bits.astype(np.float32)
+        g = np.zeros(e.slots.shape[1], np.int64)
+        for o in range(1, TEXT_ORDERS):
+            pair = self.counts.take(e.slots[o]).view(np.uint32).astype(np.float32)
+            zero, one = pair[0::2], pair[1::2]
+            if self.own:
+                zero, one = zero - (1 - ones), one - ones
+            x[o] = stretched(zero, one)
+            g *= len(TEXT_LEVELS) + 1
+            g += self.steps.take(np.minimum(zero + one, TEXT_LEVELS[-1]).astype(np.int64))
+        return x, g
 
 
 def text_mix(x: np.ndarray, weights: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -310,7 +329,8 @@ class TextTrainer:
     """Weights and refining table of running text, learnt online from texts in the order in which they come."""
 
     def __init__(self, counts: np.ndarray, code: TextCode) -> None:
-        self.counts, self.code = counts, code
+        self.code = code
+        self.inputs = None if counts is None else TextInputs(counts, code.words, own=True)
         self.weights = np.full((TEXT_ORDERS, TEXT_GATES), 0.35)
         self.weights[0, 0] = 1.0
         self.bend = np.full((TEXT_ORDERS, TEXT_GATES), 1e-3)
@@ -319,7 +339,7 @@ class TextTrainer:
 
     def learn(self, batch: pa.RecordBatch) -> None:
         for _, e in text_runs(batch, self.code):
-            x, g = text_inputs(self.counts, e, own=True)
+            x, g = self.inputs.of(e)
             mix = text_mix(x, self.weights, g)
             p = squash(mix)
             slope, bend = e.bits - p, p * (1 - p)
@@ -332,7 +352,7 @@ class TextTrainer:
             found = found.reshape(TEXT_GATES, STEPS, 2)
             self.ones += found[:, :, 1]
             self.all += found.sum(2)
-            self.tokens += int(e.token[-1]) + 1 if len(e.token) else 0
+            self.tokens += len(e.lengths) if len(e.bits) else 0
 
 
 @dataclass
@@ -349,14 +369,15 @@ class TextModel:
         all others the probabilities sum to one."""
         out = np.zeros(text_lengths(batch).sum())
         refined = self.refined.ravel().astype(np.float32)
+        inputs = TextInputs(self.counts, self.code.words, own=False)
         for some, e in text_runs(batch, self.code):
-            x, g = text_inputs(self.counts, e, own=False)
+            x, g = inputs.of(e)
             mix = text_mix(x, self.weights, g)
             low, part = refining_place(mix)
             cell = g * STEPS + low
             p = (squash(mix) + (1 - part) * refined.take(cell) + part * refined.take(cell + 1)) / 2
             p = np.clip(np.where(e.bits == 1, p, 1 - p), 1e-9, 1)
-            out[some] = np.bincount(e.token, np.log(p), len(out[some])) / LN10
+            out[some] = np.bincount(np.repeat(np.arange(len(e.lengths)), e.lengths), np.log(p), len(e.lengths)) / LN10
         return out
 
 
@@ -440,14 +461,27 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
+def plain(values: pa.Array) -> list:
+    """Python values; by way of NumPy, which makes them many times faster than one Arrow scalar each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """``tokens_of`` each text: a blank behind the last word makes the split end with an empty word."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, " ", "")))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all tokens of the column ``text``; the end of a text is the empty word.  Words are counted in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[bytes] = Counter()
-            for text in batch.column("text"):
-                found.update(tokens_of(text.as_py()))
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                counted = pc.value_counts(token_lists(batch.column("text").slice(i, TEXTS_AT_ONCE)).flatten())
+                for word, n in zip(plain(counted.field("values").cast(pa.binary())), plain(counted.field("counts"))):
+                    found[word] += n
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -457,7 +491,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.n
     for batch in batches:
         for i in range(0, batch.num_rows, WORDS_AT_ONCE):
             part = batch.slice(i, WORDS_AT_ONCE)
-            yield part.column("word").to_pylist(), part.column("n").to_numpy()
+            yield plain(part.column("word")), part.column("n").to_numpy()
 
 
 def _code(counts: DataFrame):
@@ -546,21 +580,33 @@ def _scored(rows: DataFrame, hot, coded: int) -> DataFrame:
         index, counts, scores = hot.value
         logs = np.log10(counts + 1.0)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                words = tokens_of(text.as_py())
-                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                known = at[at >= 0]
-                spelled = known[known >= coded]
-                new = np.flatnonzero(at < 0).tolist()
-                rare = Counter(words[i] for i in new)
-                at[new] = [len(index) + (crc32(words[i]) & 0x3FFFFFFF) for i in new]
-                out.append((len(words), sum(map(len, words)) + len(words), float(scores[spelled].sum()), float(logs[known].sum()), len(known),
-                            len(spelled) + len(new), at.astype("<i4").tobytes(), list(rare), list(rare.values())))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rid", "doc_id", "held_out")] + columns,
-                                             ["rid", "doc_id", "held_out", "n_tokens", "n_bytes", "hot_score", "hot_sum", "hot_known", "n_spelled", "ids", "rare", "times"])
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(i, TEXTS_AT_ONCE)
+                texts = token_lists(part.column("text"))
+                sizes = pc.list_value_length(texts).to_numpy().astype(np.int64)
+                tokens = texts.flatten().dictionary_encode()  # each distinct word is looked up once
+                distinct = tokens.dictionary.cast(pa.binary())
+                code, words = tokens.indices.to_numpy(), plain(distinct)
+                place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                number = np.array([p if p >= 0 else len(index) + (crc32(w) & 0x3FFFFFFF) for p, w in zip(place.tolist(), words)], "<i4").take(code)
+                at = place.take(code)
+                new = np.flatnonzero(at < 0)
+                pair, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[new] * len(words) + code[new], return_counts=True)
+                rare = np.r_[0, np.cumsum(np.bincount(pair // max(1, len(words)), minlength=len(texts)))].astype(np.int32)
+                length = pc.binary_length(distinct).to_numpy().astype(np.int64).take(code) + 1
+                out = []
+                for low, high in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist()):
+                    own = at[low:high]
+                    known = own[own >= 0]
+                    spelled = known[known >= coded]
+                    out.append((high - low, int(length[low:high].sum()), float(scores[spelled].sum()), float(logs[known].sum()), len(known),
+                                len(spelled) + high - low - len(known), number[low:high].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+                columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+                lists = [pa.ListArray.from_arrays(pa.array(rare), x) for x in (
+                    distinct.take(pa.array(pair % max(1, len(words)))), pa.array(times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("rid", "doc_id", "held_out")] + columns + lists,
+                                                 ["rid", "doc_id", "held_out", "n_tokens", "n_bytes", "hot_score", "hot_sum", "hot_known", "n_spelled", "ids", "rare", "times"])
 
     return rows.mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, hot_score double, hot_sum double, "
                                 "hot_known bigint, n_spelled bigint, ids binary, rare array<binary>, times array<int>")
@@ -579,7 +625,7 @@ def _rare_sums(rare: DataFrame, model) -> DataFrame:
             new = np.flatnonzero(n == 0)
             if len(new):
                 words = batch.column("word").take(pa.array(new)).dictionary_encode()
-                score[new] = model.value.log10(words.dictionary.to_pylist())[words.indices.to_numpy()]
+                score[new] = model.value.log10(plain(words.dictionary))[words.indices.to_numpy()]
             sums = [np.bincount(back, times * x, len(rid)) for x in (np.log10(n + 1.0), n > 0, score)]
             yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, sums)], ["rid", "rare_sum", "rare_known", "rare_score"])
 
@@ -601,7 +647,7 @@ def _hot_words(words: DataFrame, most: int) -> tuple[dict[bytes, int], np.ndarra
         return {}, np.zeros(0, np.int64), np.zeros(0)
     found = words.where(F.col("bin") >= least).select("word", "n", "score").toArrow()
     found = found.sort_by([("n", "descending"), ("word", "ascending")])
-    names = found.column("word").to_pylist()
+    names = plain(found.column("word").combine_chunks())
     return dict(zip(names, range(len(names)))), found.column("n").to_numpy(), found.column("score").to_numpy()
 
 

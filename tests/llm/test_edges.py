@@ -381,3 +381,32 @@ def test_classifier_learns_from_6000_rows(spark):
     assert np.array_equal(got.table, want.table) and np.array_equal(got.bias, want.bias)
     ids, n = classifier.counted(np.frombuffer(b"a b a b", np.uint8))
     assert n.itemsize == 1 and len(ids) == len(n) and len(classifier.counted(np.zeros(0, np.uint8))[0]) == 0
+
+
+def test_token_lists_are_the_tokens_of_each_text():
+    """The tokens cut for many texts at once are those of each text alone, whatever white space and letters it has."""
+    letters = random.Random(3)
+    texts = [None, "", " ", "\t\n", "A", " A b\x0b\x0cC\r\n", "É ÀB c   d", "x\x1cy\x1fz \x85 \x00", "İ ẞ"]
+    texts += ["".join(letters.choice("aB \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85 é") for _ in range(letters.randrange(40))) for _ in range(500)]
+    cut = context_mixing.token_lists(pa.array(texts, pa.string())).cast(pa.list_(pa.binary()))
+    assert cut.to_pylist() == [context_mixing.tokens_of(t) for t in texts]
+
+
+def test_text_inputs_leave_out_the_event_itself():
+    """Log odds by the table of nodes and bits are those of the counts without the event, in every order."""
+    code = context_mixing.TextCode.of(np.array([5, 3, 2]), 20)
+    words = np.array([0, 1, 2, 9, 0, 0, 1, 9], np.int64)
+    one, two = context_mixing.earlier_tokens(words, np.array([5, 3]))
+    e = context_mixing.text_events(words, one, two, code)
+    both = np.zeros((code.slots, 2), np.uint32)
+    for slots in e.slots:
+        np.add.at(both, (slots, e.bits), 1)
+    x, g = context_mixing.TextInputs(both.view(np.uint64).ravel(), code.words, own=True).of(e)
+    gates = np.zeros(len(e.bits), np.int64)
+    for o, slots in enumerate(e.slots):
+        zero, one_ = both[slots, 0] - (e.bits == 0), both[slots, 1] - (e.bits == 1)
+        assert np.allclose(x[o], np.log((one_ + 0.4) / (zero + 0.4)), atol=1e-5)
+        if o:
+            total = zero + one_
+            gates = gates * 4 + (total >= 1).astype(int) + (total >= 3) + (total >= 16)
+    assert (g == gates).all() and e.lengths.sum() == len(e.bits)
