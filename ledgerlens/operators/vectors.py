@@ -118,7 +118,7 @@ def _unit_sums(lists: pa.ListArray, known: _WordVectors) -> pa.ListArray:
     owner, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
     for at in range(0, len(flat), WORD_SLICE):
         words, own = flat.slice(at, WORD_SLICE).dictionary_encode(), owner[at:at + WORD_SLICE]
-        rows = known.rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        rows = known.rows(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         for low in range(0, len(rows), ADDED_AT_ONCE):
             part = own[low:low + ADDED_AT_ONCE]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
