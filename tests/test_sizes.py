@@ -39,6 +39,25 @@ def test_fetch_evidence_of_long_files(spark, folder):
     same_as_sql(spark, "e6_fetch_evidence", folder(documents=docs.unionByName(long)))
 
 
+def rows(spark, name, folder):
+    return sorted((tuple(r) for r in entry.queries()[name](spark, folder).collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["e6_fetch_evidence", "m2_corrections_refresh"])
+def test_repeated_rows_repeat_no_line(spark, folder, name):
+    """Documents and labels that are listed twice give the same ranges, once."""
+    twice = {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels")}
+    assert rows(spark, name, folder(**{t: df.unionByName(df.limit(20)) for t, df in twice.items()})) == rows(spark, name, SMALL)
+
+
+def test_fetch_evidence_of_two_files_at_a_path(spark, folder):
+    """Two revisions of a path: each reference gets the text of its own."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    both = docs.unionByName(docs.where("doc_id IN (0, 1, 2)").withColumn("text", docs.text.substr(1, 5)))
+    found = [r for r in entry.queries()["e6_fetch_evidence"](spark, folder(documents=both)).collect() if r.event_id in ("evt_0", "evt_1", "evt_2")]
+    assert len(found) == 6 and all(r.verified and r.n_lines == r.last_line - r.first_line + 1 for r in found)
+
+
 def test_ledger_scan_of_days_in_several_files(spark):
     """Days too large for one task are written as several files; lines are counted per day all the same."""
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
