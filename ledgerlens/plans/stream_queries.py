@@ -91,11 +91,11 @@ def m2_refresh(spark, d):
 
     def embed(passages):
         v = VX.embed_blake2b(passages.select("text_sha256", "content").distinct(), "text_sha256", "content", 16).withColumnRenamed("doc_id", "text_sha256")
-        return passages.join(v, "text_sha256")
+        return passages.join(v, "text_sha256", "left")  # a text whose signed features cancel out has no vector
 
     views = R.RefreshedViews(spark, f"{base}/views", passages_of, embed, buckets=8)
     S.run_available(S.file_stream(spark, f"{base}/in", rows.select(*names).schema, "*.parquet", per_trigger=files), views, f"{base}/checkpoint")
-    return views.passages().where("size(vector) = 16").select("event_id", "page", "text_sha256")
+    return views.passages().where("vector IS NULL OR size(vector) = 16").select("event_id", "page", "text_sha256")
 
 
 @query("m4_stream_unique_ids", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")

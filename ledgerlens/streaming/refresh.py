@@ -20,10 +20,11 @@ class RefreshedViews:
     """foreachBatch sink over ledger rows (``LEDGER_DDL``) with three linked views: events, corrections by target, passages.
 
     ``passages_of(events)`` cuts the ranges of (event_id, source_path, heading, line_start, line_end) into rows with at least
-    event_id and text_sha256; ``embed(passages)`` adds vector columns.  All views are bucketed by the event id (corrections
+    event_id and text_sha256; ``embed(passages)`` adds vector columns and keeps every row.  All views are bucketed by the event id (corrections
     by their target's), so one batch reads and rewrites the buckets of its events and its targets only.
 
-    - The row of the greatest position wins per event; rows that are not newer change nothing.
+    - The row of the greatest position wins per event, in one batch and position the one of the greatest values; rows that
+      are not newer change nothing.
     - A completed amendment with a target is a correction; a repeated one changes nothing.  A correction of an event that is
       neither stored nor in the batch fails the batch.
     - Passages of new, newer and corrected events are cut anew by their resolved range (recorded values must match, else
@@ -64,7 +65,7 @@ class RefreshedViews:
         old_events = store.read("events", EVENT_DDL, state, touched)
         old_fixes = store.read("corrections", FIX_DDL, state, touched)
         fields = [c.split()[0] for c in EVENT_DDL.split(", ")][1:]
-        newest = rows.groupBy("event_id").agg(F.max_by(F.struct(*fields), F.col("position")).alias("r")).select("event_id", "r.*")
+        newest = rows.groupBy("event_id").agg(F.max(F.struct(*fields)).alias("r")).select("event_id", "r.*")
         known = old_events.select("event_id", F.col("position").alias("_p"))
         newer = newest.join(known, "event_id", "left").where("_p IS NULL OR position > _p").withColumn("_new", F.col("_p").isNull()).drop("_p")
         newer = self._staged(newer, "newer")

@@ -58,6 +58,13 @@ def test_fetch_evidence_of_two_files_at_a_path(spark, folder):
     assert len(found) == 6 and all(r.verified and r.n_lines == r.last_line - r.first_line + 1 for r in found)
 
 
+def test_corrections_refresh_keeps_texts_without_vector(spark, folder):
+    """The signed features of ``1: hgi`` cancel out; its passage stays."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    short = spark.createDataFrame([(100000, "hgi", "en", "src1", 3), (100001, "ijf", "en", "src1", 3)], docs.schema)
+    same_as_sql(spark, "m2_corrections_refresh", folder(documents=docs.unionByName(short)))
+
+
 def test_ledger_scan_of_days_in_several_files(spark):
     """Days too large for one task are written as several files; lines are counted per day all the same."""
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
