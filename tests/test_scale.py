@@ -109,3 +109,37 @@ def test_resampling_draws_every_observation(frame):
     for small in (1_000_000, 1):
         r = A.resampled_ci(df, ["g"], "i", "v", samples=200, seed=7, small=small).first()
         assert (r.n, r.ci_low, r.ci_high) == (60, pytest.approx(means[4], abs=2e-6), pytest.approx(means[194], abs=2e-6))
+
+
+def test_md5_numbers_are_those_of_hashlib():
+    """All lengths of b and j, constant and changing ones, numbers of more than 32 bits."""
+    import hashlib
+
+    import numpy as np
+
+    from ledgerlens.functions.draws import md5_numbers
+
+    one = lambda s, b, j: int(hashlib.md5(f"{s}:{b}:{j}".encode()).hexdigest()[:15], 16)
+    for seed, n, low, high in ((7, 60, 0, 200), (20260804, 3, 95, 1005), (-5, 12000, 9, 11), (2**63, 1, 0, 5), (0, 11, 99990, 100010)):
+        b, j = np.repeat(np.arange(low, high), n), np.tile(np.arange(n), high - low)
+        assert md5_numbers(seed, b, j).tolist() == [one(seed, x, y) for x, y in zip(b.tolist(), j.tolist())]
+    large = np.array([10**9 - 1, 10**9, 2**40, 10**17])
+    assert md5_numbers(1, np.full(4, 12), large).tolist() == [one(1, 12, y) for y in large.tolist()]
+
+
+def test_resampling_of_groups_in_pieces_makes_no_row_of_a_draw(frame):
+    """Groups of several sizes, whole and in pieces of seven values; draws are made and summed inside the tasks."""
+    import hashlib
+
+    groups = {"a": [i * i / 8 for i in range(23)], "b": [-1.5, 2.25], "c": [4.0], "d": [i % 7 / 4 for i in range(110)]}
+    df = frame([(g, 1000 - i, v) for g, values in groups.items() for i, v in enumerate(reversed(values))], "g string, i long, v double")
+    for small in (1 << 24, 7):
+        out = A.resampled_ci(df, ["g"], "i", "v", samples=120, seed=3, small=small)
+        assert "md5" not in out._jdf.queryExecution().toString()
+        found = {r.g: r for r in out.collect()}
+        for g, values in groups.items():
+            ordered = [v for _, v in sorted((1000 - i, v) for i, v in enumerate(reversed(values)))]
+            n = len(values)
+            means = sorted(round(sum(ordered[int(hashlib.md5(f"3:{b}:{j}".encode()).hexdigest()[:15], 16) % n] for j in range(n)) / n, 9) for b in range(120))
+            assert (found[g].n, found[g].mean) == (n, pytest.approx(sum(values) / n, abs=1e-6))
+            assert (found[g].ci_low, found[g].ci_high) == (pytest.approx(means[2], abs=2e-6), pytest.approx(means[116], abs=2e-6))
